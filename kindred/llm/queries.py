@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.mixing import mix_sources
 from kindred.llm.near_dedup import NearParams, near_duplicates
+from kindred.llm.pii import digest, find_pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +22,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op6_mixing": op6_mixing,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
