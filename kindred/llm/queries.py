@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm import language
 from kindred.llm.mixing import mix_sources
 from kindred.llm.near_dedup import NearParams, near_duplicates
 from kindred.llm.pii import digest, find_pii
+from kindred.llm.tokens import count_tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,10 +29,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op9_pii": op9_pii,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
