@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language
+from kindred.llm import language, toxicity
+from kindred.llm.embedding_dedup import near_duplicate_vectors
+from kindred.llm.html_text import extract_text
 from kindred.llm.mixing import mix_sources
 from kindred.llm.near_dedup import NearParams, near_duplicates
 from kindred.llm.pii import digest, find_pii
@@ -29,6 +31,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,8 +55,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_html_extraction": op7_html_extraction,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
