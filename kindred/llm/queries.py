@@ -11,6 +11,7 @@ from kindred.llm.html_text import extract_text
 from kindred.llm.mixing import mix_sources
 from kindred.llm.near_dedup import NearParams, near_duplicates
 from kindred.llm.pii import digest, find_pii
+from kindred.llm.suffix_dedup import remove_repeats
 from kindred.llm.tokens import count_tokens
 
 
@@ -33,7 +34,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return toxicity.score_toxicity(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels"))).drop("severe", "toxic_junk")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,

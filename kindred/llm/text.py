@@ -18,6 +18,9 @@ _INV = pow(BASE, -1, 1 << 64)
 TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Also all ASCII characters but letters and digits.
+MARKS = SPACE.copy()
+MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_TABLE = TABLE[LOWER]
@@ -64,11 +67,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) ->
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of texts: starts, ends (in `buf`), 64-bit hashes of their lower-cased (A-Z) bytes, and first[i]..first[i+1], the words of text i."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], between: np.ndarray = SPACE):
         self.buf = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]), dtype=np.uint8)
         size = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.offset = np.concatenate([[1], 1 + np.cumsum(size)]).astype(np.int64)
-        inside = ~SPACE[self.buf]
+        inside = ~between[self.buf]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.offset)
