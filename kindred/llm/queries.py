@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import language, toxicity
+from kindred.llm.decontamination import find_leaks
 from kindred.llm.embedding_dedup import near_duplicate_vectors
 from kindred.llm.html_text import extract_text
 from kindred.llm.mixing import mix_sources
@@ -49,6 +50,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_html_extraction": op7_html_extraction,
+    "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
