@@ -29,8 +29,8 @@ _ROWS = 64
 class LanguageParams:
     """per_language: texts of a language to learn from, about (the bound of the fit's sample); landmarks of a language; ridge; sharpness of the score's softmax."""
 
-    per_language: int = 600
-    landmarks: int = 48
+    per_language: int = 400
+    landmarks: int = 32
     ridge: float = 0.5
     sharpness: float = 5.0
 
