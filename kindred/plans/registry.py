@@ -34,7 +34,7 @@ def query(name: str, sql: str | None, *needs: str):
     return register
 
 
-one = F.count_if(F.lit(True))
+one = lambda: F.count_if(F.lit(True))
 L = lambda c: F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 BI = "CAST({} AS BIGINT)".format
 
@@ -53,7 +53,7 @@ query("SNK7_pair_report", "SELECT p.file_a, p.file_b, a.path AS path_a, b.path A
 # ---- 2.2 filters and projections
 _REASON = "CASE WHEN is_image AND size_bytes < 400 THEN 'images off' WHEN folder = '/lib/src3' OR starts_with(folder, '/lib/src3/') THEN 'excluded folder' WHEN NOT (starts_with(folder, '/lib/src')) THEN 'not included' WHEN (flags & 1) > 0 THEN 'manual' WHEN (flags & 2) > 0 THEN 'too dark' WHEN size_bytes NOT BETWEEN 200 AND 20000 THEN 'size' WHEN path LIKE '%9%.txt' THEN 'name' END"
 query("FLT1_eligibility", f"SELECT file_id, {_REASON} AS reason FROM files", "files")(lambda f: f.select("file_id", S.rejection().alias("reason")))
-query("FLT2_excluded_tally", f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM files) t WHERE reason IS NOT NULL GROUP BY reason", "files")(lambda f: f.select(S.rejection().alias("reason")).where("reason is not null").groupBy("reason").agg(one.alias("n")))
+query("FLT2_excluded_tally", f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM files) t WHERE reason IS NOT NULL GROUP BY reason", "files")(lambda f: f.select(S.rejection().alias("reason")).where("reason is not null").groupBy("reason").agg(one().alias("n")))
 query("FLT2_WIN14_excluded_examples", f"SELECT reason, file_id FROM (SELECT reason, file_id, row_number() OVER (PARTITION BY reason ORDER BY file_id) AS rn FROM (SELECT file_id, {_REASON} AS reason FROM files) t WHERE reason IS NOT NULL) u WHERE rn <= 5", "files")(
     lambda f: f.select("file_id", S.rejection().alias("reason")).where("reason is not null").withColumn("rn", F.row_number().over(Window.partitionBy("reason").orderBy("file_id"))).where("rn <= 5").select("reason", "file_id"))
 query("FLT3_folder_prefix", "SELECT file_id FROM files WHERE folder = '/lib/src1' OR starts_with(folder, '/lib/src1/')", "files")(lambda f: f.where(S.within_folder(F.col("folder"), "/lib/src1")).select("file_id"))
@@ -74,10 +74,10 @@ query("FLT15_pair_filter", "SELECT file_a, file_b FROM pairs WHERE sim >= 900 AN
 query("FLT16_text_filter", "SELECT file_id FROM files WHERE contains(lower(path), '.jpg')", "files")(lambda f: f.where(F.lower("path").contains(".jpg")).select("file_id"))
 query("FLT17_missing_fingerprints", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.toxic = 1", "@documents", "@labels")(lambda d, l: d.join(l, "doc_id", "left").where("quality is null or toxic = 1").select("doc_id"))
 query("FLT18_UDF1_UDF4_user_predicate", "SELECT file_id FROM files WHERE size_bytes > 500 AND path LIKE '%.mkv' AND (flags & 4) = 0", "files")(lambda f: S.user_filter(f, "size_bytes > 500 and path like '%.mkv' and (flags & 4) = 0").select("file_id"))
-query("FLT19_user_group_policy", "SELECT group_id FROM members GROUP BY group_id HAVING count_if(size_bytes >= 1) = count(*)", "members")(lambda m: m.groupBy("group_id").agg(F.count_if(F.expr("size_bytes >= 1")).alias("k"), one.alias("n")).where("k = n").select("group_id"))
+query("FLT19_user_group_policy", "SELECT group_id FROM members GROUP BY group_id HAVING count_if(size_bytes >= 1) = count(*)", "members")(lambda m: m.groupBy("group_id").agg(F.count_if(F.expr("size_bytes >= 1")).alias("k"), one().alias("n")).where("k = n").select("group_id"))
 query("FLT20_custom_selection", "SELECT group_id, item_id FROM (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY created, item_id) AS rn FROM members WHERE NOT is_image AND size_bytes BETWEEN 3 AND 40 AND sim >= 910) t WHERE rn > 1", "members")(
     lambda m: R.ranked(m.where("not is_image and size_bytes between 3 and 40 and sim >= 910"), [F.col("created"), F.col("item_id")]).where("rn > 1").select("group_id", "item_id"))
-query("FLT21_identity", "SELECT group_id, size_bytes, duration, count(*) AS n FROM members GROUP BY ALL HAVING count(*) > 1", "members")(lambda m: m.groupBy("group_id", "size_bytes", "duration").agg(one.alias("n")).where("n > 1"))
+query("FLT21_identity", "SELECT group_id, size_bytes, duration, count(*) AS n FROM members GROUP BY ALL HAVING count(*) > 1", "members")(lambda m: m.groupBy("group_id", "size_bytes", "duration").agg(one().alias("n")).where("n > 1"))
 query("PRJ1_best_stream", "SELECT o_custkey, arg_max(o_orderkey, (CAST(floor(o_totalprice / 10000) AS BIGINT), -o_orderkey)) AS stream FROM orders GROUP BY o_custkey", "@orders")(
     lambda o: o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(F.floor(F.col("o_totalprice") / 10000), -F.col("o_orderkey"))).alias("stream")))
 query("PRJ2_derived", "SELECT file_id, width + height AS frame_size, CAST(len(string_split(folder, '/')) - 1 AS INT) AS depth, CASE WHEN flags >= 12 THEN 4 WHEN flags >= 8 THEN 3 WHEN flags >= 4 THEN 2 WHEN flags >= 2 THEN 1 ELSE 0 END AS hdr_rank FROM files", "files")(
@@ -165,19 +165,19 @@ query("SIM9_match_offset", "SELECT user_id, event_id, try_cast(nullif(regexp_ext
 
 # ---- 2.5 aggregations
 query("AGG1_AGG6_group_stats", "SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS items, round(avg(n), 6) AS mean, max(n) AS most, count_if(n > 5)::BIGINT AS over5, count_if(n > 80)::BIGINT AS over80, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT group_id, count(*) AS n, sum(size_bytes) AS bytes FROM members GROUP BY group_id) t", "members")(
-    lambda m: m.groupBy("group_id").agg(one.alias("n"), F.sum("size_bytes").alias("bytes")).agg(one.alias("n_groups"), F.sum("n").alias("items"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > 5).alias("over5"), F.count_if(F.col("n") > 80).alias("over80"), F.sum("bytes").alias("bytes")))
+    lambda m: m.groupBy("group_id").agg(one().alias("n"), F.sum("size_bytes").alias("bytes")).agg(one().alias("n_groups"), F.sum("n").alias("items"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > 5).alias("over5"), F.count_if(F.col("n") > 80).alias("over80"), F.sum("bytes").alias("bytes")))
 query("AGG2_library_stats", "SELECT count(*) AS n_pairs, CAST(sum(CASE WHEN a.size_bytes > 0 AND b.size_bytes > 0 THEN least(a.size_bytes, b.size_bytes) ELSE 0 END) AS BIGINT) AS waste FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b", "pairs", "files")(
-    lambda p, f: p.join(f.select(F.col("file_id").alias("file_a"), F.col("size_bytes").alias("sa")), "file_a").join(f.select(F.col("file_id").alias("file_b"), F.col("size_bytes").alias("sb")), "file_b").agg(one.alias("n_pairs"), F.sum(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.least("sa", "sb")).otherwise(0)).alias("waste")))
-query("AGG3_by_method", "SELECT method, count(*) AS n FROM pairs GROUP BY method ORDER BY n DESC, method", "pairs")(lambda p: p.groupBy("method").agg(one.alias("n")).orderBy(F.desc("n"), "method"))
+    lambda p, f: p.join(f.select(F.col("file_id").alias("file_a"), F.col("size_bytes").alias("sa")), "file_a").join(f.select(F.col("file_id").alias("file_b"), F.col("size_bytes").alias("sb")), "file_b").agg(one().alias("n_pairs"), F.sum(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.least("sa", "sb")).otherwise(0)).alias("waste")))
+query("AGG3_by_method", "SELECT method, count(*) AS n FROM pairs GROUP BY method ORDER BY n DESC, method", "pairs")(lambda p: p.groupBy("method").agg(one().alias("n")).orderBy(F.desc("n"), "method"))
 query("AGG4_AGG17_cluster_stats", "SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS files, CAST(sum(total - most) AS BIGINT) AS reclaimable, round(avg(top), 6) AS mean_top FROM (SELECT group_id, count(*) AS n, sum(size_bytes) AS total, max(size_bytes) AS most, max(sim) AS top FROM members GROUP BY group_id) t", "members")(
-    lambda m: m.groupBy("group_id").agg(one.alias("n"), F.sum("size_bytes").alias("total"), F.max("size_bytes").alias("most"), F.max("sim").alias("top")).agg(one.alias("n_groups"), F.sum("n").alias("files"), F.sum(F.col("total") - F.col("most")).alias("reclaimable"), F.round(F.avg("top"), 6).alias("mean_top")))
-query("AGG5_method_breakdown", "SELECT p.method, count(*) AS n_pairs, CAST(sum(f.size_bytes) AS BIGINT) AS bytes FROM pairs p JOIN files f ON f.file_id = p.file_a GROUP BY p.method", "pairs", "files")(lambda p, f: p.join(f, F.col("file_a") == F.col("file_id")).groupBy("method").agg(one.alias("n_pairs"), F.sum("size_bytes").alias("bytes")))
-query("AGG7_count", "SELECT count(*) AS n FROM files", "files")(lambda f: f.agg(one.alias("n")))
+    lambda m: m.groupBy("group_id").agg(one().alias("n"), F.sum("size_bytes").alias("total"), F.max("size_bytes").alias("most"), F.max("sim").alias("top")).agg(one().alias("n_groups"), F.sum("n").alias("files"), F.sum(F.col("total") - F.col("most")).alias("reclaimable"), F.round(F.avg("top"), 6).alias("mean_top")))
+query("AGG5_method_breakdown", "SELECT p.method, count(*) AS n_pairs, CAST(sum(f.size_bytes) AS BIGINT) AS bytes FROM pairs p JOIN files f ON f.file_id = p.file_a GROUP BY p.method", "pairs", "files")(lambda p, f: p.join(f, F.col("file_a") == F.col("file_id")).groupBy("method").agg(one().alias("n_pairs"), F.sum("size_bytes").alias("bytes")))
+query("AGG7_count", "SELECT count(*) AS n FROM files", "files")(lambda f: f.agg(one().alias("n")))
 query("AGG8_dry_run", "SELECT group_id, CAST(coalesce(sum(size_bytes) FILTER (WHERE checked), 0) AS BIGINT) AS saved, CAST(array_to_string(list(item_id ORDER BY item_id) FILTER (WHERE checked), ',') AS STRING) AS remove FROM members GROUP BY group_id", "members")(
     lambda m: m.groupBy("group_id").agg(F.coalesce(F.sum(F.when(F.col("checked"), F.col("size_bytes"))), F.lit(0)).alias("saved"), F.array_sort(F.collect_list(F.when(F.col("checked"), F.col("item_id")))).alias("r")).select("group_id", "saved", F.when(F.size("r") > 0, F.array_join("r", ",")).alias("remove")))
 query("AGG9_fingerprint_summary", "SELECT user_id, count_if(block <> 0)::BIGINT AS used, round(avg(value), 6) AS mean, arg_min(pos, (value, pos)) AS darkest FROM points GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.count_if(F.col("block") != 0).alias("used"), F.round(F.avg("value"), 6).alias("mean"), L(F.min_by("pos", F.struct("value", "pos"))).alias("darkest")))
 query("AGG10_WIN11_gap_stats", "SELECT user_id, max(g) AS most, min(g) AS least, count(g) AS n FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY pos) AS g FROM points) t GROUP BY user_id", "points")(lambda p: p.withColumn("g", F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("pos"))).groupBy("user_id").agg(F.max("g").alias("most"), F.min("g").alias("least"), F.count("g").alias("n")))
-query("AGG11_silence", "SELECT user_id, round(count_if(block = 0) / CAST(count(*) AS DOUBLE), 9) AS ratio, count_if(block = 0) * 2 < count(*) AND count(*) >= 10 AS reliable FROM points GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.count_if(F.col("block") == 0).alias("z"), one.alias("n")).select("user_id", F.round(F.col("z") / F.col("n"), 9).alias("ratio"), ((F.col("z") * 2 < F.col("n")) & (F.col("n") >= 10)).alias("reliable")))
+query("AGG11_silence", "SELECT user_id, round(count_if(block = 0) / CAST(count(*) AS DOUBLE), 9) AS ratio, count_if(block = 0) * 2 < count(*) AND count(*) >= 10 AS reliable FROM points GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.count_if(F.col("block") == 0).alias("z"), one().alias("n")).select("user_id", F.round(F.col("z") / F.col("n"), 9).alias("ratio"), ((F.col("z") * 2 < F.col("n")) & (F.col("n") >= 10)).alias("reliable")))
 query("AGG12_too_dark", f"SELECT vec_id, len(list_filter(f, lambda v: v <= 130)) * 100 >= len(f) * 60 AS dark FROM ({_PIX}) t", "@embeddings")(lambda e: pixels(e).select("vec_id", (F.size(F.filter("f", lambda v: v <= 130)) * 100 >= F.size("f") * 60).alias("dark")))
 query("AGG14_silent", "SELECT user_id, bool_and(block IN (0, 65535)) AS silent FROM points WHERE pos < 3 GROUP BY user_id", "points")(lambda p: p.where("pos < 3").groupBy("user_id").agg(F.bool_and(F.col("block").isin(0, 65535)).alias("silent")))
 query("AGG15_coverage", "SELECT group_id, count_if(is_image)::BIGINT AS clips, round(coalesce(sum(duration) FILTER (WHERE is_image), 0) / CAST(nullif(max(duration), 0) AS DOUBLE), 6) AS coverage FROM members GROUP BY group_id", "members")(lambda m: m.groupBy("group_id").agg(F.count_if("is_image").alias("clips"), F.round(F.coalesce(F.sum(F.when(F.col("is_image"), F.col("duration"))), F.lit(0)) / F.nullif(F.max("duration"), F.lit(0)), 6).alias("coverage")))
@@ -288,4 +288,4 @@ query("DML8_prune_blacklist", "SELECT entry_id FROM blacklist b GROUP BY entry_i
 query("DML9_mark_excluded", "SELECT file_id, CASE WHEN file_id = 12 THEN flags | 1 ELSE flags END AS flags FROM files", "files")(lambda f: f.select("file_id", F.when(F.col("file_id") == 12, F.col("flags").bitwiseOR(1)).otherwise(F.col("flags")).alias("flags")))
 query("DML10_DML12_action_plan", "SELECT item_id, CASE WHEN is_image THEN 'move' ELSE 'delete' END AS action, path AS source, CASE WHEN is_image THEN concat('/trash', path) END AS target FROM members WHERE checked", "members")(lambda m: m.where("checked").select("item_id", F.when(F.col("is_image"), "move").otherwise("delete").alias("action"), F.col("path").alias("source"), F.when(F.col("is_image"), F.concat(F.lit("/trash"), "path")).alias("target")))
 query("DML13_blacklist_entries", "SELECT entry_id, array_to_string(list_sort(list(DISTINCT path)), '|') AS paths, count(DISTINCT path) AS n FROM blacklist GROUP BY entry_id", "blacklist")(lambda b: b.groupBy("entry_id").agg(F.array_sort(F.collect_set("path")).alias("p")).select("entry_id", F.array_join("p", "|").alias("paths"), F.size("p").cast("long").alias("n")))
-query("STR1_progress_counts", "SELECT event_type, count(*) AS n, CAST(date_trunc('day', min(ts)) AS DATE) AS first_day FROM events GROUP BY event_type", "@events")(lambda e: e.groupBy("event_type").agg(one.alias("n"), F.to_date(F.min("ts")).alias("first_day")))
+query("STR1_progress_counts", "SELECT event_type, count(*) AS n, CAST(date_trunc('day', min(ts)) AS DATE) AS first_day FROM events GROUP BY event_type", "@events")(lambda e: e.groupBy("event_type").agg(one().alias("n"), F.to_date(F.min("ts")).alias("first_day")))
