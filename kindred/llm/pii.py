@@ -166,7 +166,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, scratch: Scratch | None =
     at = "case c.k " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
     out = docs.drop("base", "added").withColumn("txt", F.coalesce("text", F.lit("")))
     out = out.withColumn("base", F.expr(f"array_sort(concat({base}))"))
-    more = f"filter({_candidates()}, c -> 1 / (1 + exp(-{score})) >= {threshold} and not exists(base, b -> b.s < c.e and c.s < b.e))"
+    more = f"filter({_candidates()}, c -> 1 / (1 + exp(-({score}))) >= {threshold} and not exists(base, b -> b.s < c.e and c.s < b.e))"
     out = out.withColumn("added", F.expr(f"array_sort(transform({more}, c -> named_struct('s', c.s, 'o', {at}, 'e', c.e, 'k', c.k)))"))
     return out.drop("txt")
 
