@@ -37,7 +37,7 @@ from kindred.llm.text import _INV, BASE, TABLE, U, mix, powers, slices
 from kindred.plans.scratch import Scratch
 
 #: Strings of a run, and of a merged range, about.
-RUN, RANGE = 65_536, 50_000
+RUN, RANGE = 16_384, 50_000
 _PAD = 0xFF  # in no UTF-8 text
 _FULL = K + 2 * SIDE
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -50,18 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 512 << 10) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Parts of a batch with about `most` bytes of text each, one text at least, and the texts as UTF-8 (null: None)."""
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
+    texts = batch.column(column)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start), texts[start:i]
+    for i, n in enumerate([*size, most]):
+        if i > start and (held + n > most or i == len(size)):
+            yield batch.slice(start, i - start), texts.slice(start, i - start).cast(pa.large_binary()).to_pylist()
             start, held = i, 0
         held += n
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
 
 
 class Words:
