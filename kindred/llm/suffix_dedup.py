@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.where("octet_length(text) > 0").select(F.xxhash64("doc_id", "text").alias("rid"), "text")
     found = scratch.save(rows.mapInArrow(_anchor_rows, "h long, c long, rid long, p int, e1 int, e2 int"), "anchors")
-    again = found.groupBy("h").agg(F.count_if(F.lit(True)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    again = scratch.save(found.groupBy("h").agg(F.count_if(F.lit(True)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "again")  # saved, so that the adaptive skew join may split a hot string
     kept = scratch.save(found.join(again, "h"), "kept")
     scratch.drop(found)
     same = scratch.save(kept.groupBy("h", "c").agg(F.count_if(F.lit(True)).alias("m"), F.max("mixed").alias("mixed"), F.min(F.struct("rid", "p", "e1", "e2")).alias("r")), "contexts")
