@@ -171,6 +171,26 @@ def test_leaks(spark, data, docs, rows):
     assert decontamination.common([1, 2, 3, 4], [9, 2, 4, 3]) == 2
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """Copies of 5,000 items are all found, verbatim and, for a part, with one word in ten replaced."""
+    rng = np.random.default_rng(7)
+    vocabulary = np.array([f"w{i}" for i in range(20_000)])
+    draw = lambda n: vocabulary[(20_000 * rng.random(n) ** 3).astype(int)]
+    items = [list(draw(n)) for n in rng.integers(15, 60, 5_000)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    texts, true = [], set()
+    for i, x in enumerate(items):
+        if i % 10 == 0:
+            x = [f"other{i}" if j % 10 == 5 else y for j, y in enumerate(x)]
+        texts.append((i, " ".join([*draw(rng.integers(0, 40)), *x, *draw(rng.integers(0, 40))])))
+        true.add((i, i))
+    texts += [(10_000 + i, " ".join(draw(60))) for i in range(500)]
+    got = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), bench).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert not true - found
+    assert not [f for f in found if f[0] >= 10_000]
+
+
 def test_pipeline(spark, data):
     out = corpus_pipeline.run(spark, data).toPandas()
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copy"} and len(out)
