@@ -108,11 +108,21 @@ query("JN2_JN3_JN4_duration_band_join", "SELECT a.file_id AS a, b.file_id AS b F
 query("JN4_tolerance", "SELECT file_id, CAST(least(greatest(duration * 0.01, 5.0), 10.0) AS DOUBLE) AS tol FROM files", "files")(lambda f: f.select("file_id", J.tolerance(F.col("duration").cast("double"), 1, 5.0, 10.0).alias("tol")))
 query("JN5_JN6_containment_join", "SELECT c.file_id AS clip, s.file_id AS source FROM files c JOIN files s ON c.folder = s.folder WHERE c.duration >= 1 AND s.duration >= 1 AND c.duration * 10 >= s.duration AND c.duration * 100 < s.duration * 95", "files")(lambda f: J.containment_join(f, "file_id", "duration", (1, 10), (95, 100), ["folder"]))
 _TL = "SELECT user_id, list(block ORDER BY pos) AS b FROM points WHERE user_id < 24 {} GROUP BY user_id"
-timelines = lambda p, n=None: series(p.where("user_id < 24" + (f" and pos < {n}" if n else ""))).select("user_id", "b")
+timelines = lambda p, user, b: series(p).select(F.col("user_id").alias(user), F.col("b").alias(b))
+
+
+def shorter_over_longer(p: DataFrame) -> DataFrame:
+    """(clip, s, source, l) of all pairs of whole series, the shorter (of equal ones the lower id) as the clip.
+
+    A share of differing bits implies no equal block or band, so no equi-join finds all of them.
+    """
+    return timelines(p, "clip", "s").join(timelines(p, "source", "l"), F.struct(F.size("s"), "clip") < F.struct(F.size("l"), "source"))
+
+
 query("ARR1_JN6_audio_window", f"SELECT clip, source, CAST((best // 1000) AS INT) AS bits, CAST(best % 1000 AS INT) AS pos FROM (SELECT s.user_id AS clip, l.user_id AS source, list_min(list_transform(range(0, len(l.b) - len(s.b) + 1), lambda o: CAST(list_sum(list_transform(range(1, len(s.b) + 1), lambda k: bit_count(xor(s.b[k], l.b[o + k])))) AS BIGINT) * 1000 + o)) AS best FROM ({_TL.format('AND pos < 12')}) s JOIN ({_TL.format('')}) l ON s.user_id < l.user_id) t WHERE (best // 1000) * 100 <= 12 * 32 * 30", "points")(
-    lambda p: timelines(p, 12).select(F.col("user_id").alias("clip"), F.col("b").alias("s")).join(timelines(p).select(F.col("user_id").alias("source"), F.col("b").alias("l")), F.col("clip") < F.col("source")).withColumn("r", K.sliding_hamming("s", "l", 70)).where("r is not null").select("clip", "source", F.col("r.bits").alias("bits"), F.col("r.offset").alias("pos")))
+    lambda p: shorter_over_longer(p).withColumn("r", K.sliding_hamming("s", "l", 70)).where("r is not null").select("clip", "source", F.col("r.bits").alias("bits"), F.col("r.offset").alias("pos")))
 query("ARR2_JN7_timeline_join", None, "points")(
-    lambda p: timelines(p, 12).select(F.col("user_id").alias("clip"), F.col("b").alias("s")).join(timelines(p).select(F.col("user_id").alias("source"), F.col("b").alias("l")), F.col("clip") < F.col("source")).withColumn("r", K.sliding_runs("s", "l", K.hamming_budget(0.85), 1)).where("r.match >= 6").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
+    lambda p: shorter_over_longer(p).where("size(s) >= 2").withColumn("r", K.sliding_runs("s", "l", K.hamming_budget(0.85), 1)).where("r.match * 12 >= size(s) * 6").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
 query("JN8_average_hash_filter", f"WITH h AS ({_WORD_HASH}) SELECT p.file_a, p.file_b FROM pairs p JOIN h x ON x.doc_id = p.file_a JOIN h y ON y.doc_id = p.file_b WHERE bit_count(xor(x.hash, y.hash)) <= 25", "pairs", "@documents")(
     lambda p, d: p.join(word_hashes(d).select(F.col("id").alias("file_a"), F.col("hash").alias("x")), "file_a").join(word_hashes(d).select(F.col("id").alias("file_b"), F.col("hash").alias("y")), "file_b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 25).select("file_a", "file_b"))
 query("JN9_length_ratio_join", "SELECT a.file_id AS a, b.file_id AS b FROM files a JOIN files b ON a.folder = b.folder AND a.file_id < b.file_id WHERE (greatest(a.duration, b.duration) - least(a.duration, b.duration)) * 100 <= greatest(a.duration, b.duration) * 20", "files")(
@@ -159,7 +169,7 @@ query("SCL15_ORD10_hamming_knn", f"SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit
 query("SIM5_flipped", f"SELECT x.vec_id AS a, list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[i]))) AS d, list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[((i - 1) // 8) * 8 + 8 - (i - 1) % 8]))) AS dflip FROM ({_PIX}) x JOIN ({_PIX}) y ON y.vec_id = x.vec_id + 1".replace("AS d,", "::BIGINT AS d,").replace("AS dflip", "::BIGINT AS dflip"), "@embeddings")(
     lambda e: frames(e).select(F.col("x.vec_id").alias("a"), F.col("x.f").alias("p"), F.col("y.f").alias("q")).withColumn("r", K.flip("q", 8)).select("a", L(F.round(K.frame_difference("p", "q") * 64 * 256)).alias("d"), L(F.round(K.frame_difference("p", "r") * 64 * 256)).alias("dflip")))
 query("SIM10_SIM6_prefix_similarity", f"SELECT s.user_id AS a, l.user_id AS b, round(1 - list_sum(list_transform(range(1, 13), lambda k: bit_count(xor(s.b[k], l.b[k])))) / (12 * 32.0), 9) AS sim FROM ({_TL.format('AND pos < 12')}) s JOIN ({_TL.format('AND pos < 12')}) l ON s.user_id < l.user_id", "points")(
-    lambda p: timelines(p, 12).select(F.col("user_id").alias("a"), F.col("b").alias("s")).join(timelines(p, 12).select(F.col("user_id").alias("b"), F.col("b").alias("l")), F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.aggregate(F.zip_with("s", "l", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda z, x: z + x) / (12 * 32.0), 9).alias("sim")))
+    lambda p: timelines(p, "a", "s").join(timelines(p, "b", "l"), F.col("a") < F.col("b")).withColumn("n", F.least(F.size("s"), F.size("l"))).select("a", "b", F.round(1 - F.aggregate(F.zip_with(F.slice("s", 1, F.col("n")), F.slice("l", 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda z, x: z + x) / (F.col("n") * 32.0), 9).alias("sim")))
 query("SIM9_match_offset", "SELECT user_id, event_id, try_cast(nullif(regexp_extract(concat('x match at offset ', CAST(value AS STRING), ' y'), 'match at offset ([-0-9.]+)', 1), '') AS DOUBLE) AS off FROM events", "@events")(
     lambda e: e.select("user_id", "event_id", F.regexp_extract(F.concat(F.lit("x match at offset "), F.col("value").cast("string"), F.lit(" y")), "match at offset ([-0-9.]+)", 1).cast("double").alias("off")))
 
@@ -179,7 +189,7 @@ query("AGG9_fingerprint_summary", "SELECT user_id, count_if(block <> 0)::BIGINT
 query("AGG10_WIN11_gap_stats", "SELECT user_id, max(g) AS most, min(g) AS least, count(g) AS n FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY pos) AS g FROM points) t GROUP BY user_id", "points")(lambda p: p.withColumn("g", F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("pos"))).groupBy("user_id").agg(F.max("g").alias("most"), F.min("g").alias("least"), F.count("g").alias("n")))
 query("AGG11_silence", "SELECT user_id, round(count_if(block = 0) / CAST(count(*) AS DOUBLE), 9) AS ratio, count_if(block = 0) * 2 < count(*) AND count(*) >= 10 AS reliable FROM points GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.count_if(F.col("block") == 0).alias("z"), one().alias("n")).select("user_id", F.round(F.col("z") / F.col("n"), 9).alias("ratio"), ((F.col("z") * 2 < F.col("n")) & (F.col("n") >= 10)).alias("reliable")))
 query("AGG12_too_dark", f"SELECT vec_id, len(list_filter(f, lambda v: v <= 130)) * 100 >= len(f) * 60 AS dark FROM ({_PIX}) t", "@embeddings")(lambda e: pixels(e).select("vec_id", (F.size(F.filter("f", lambda v: v <= 130)) * 100 >= F.size("f") * 60).alias("dark")))
-query("AGG14_silent", "SELECT user_id, bool_and(block IN (0, 65535)) AS silent FROM points WHERE pos < 3 GROUP BY user_id", "points")(lambda p: p.where("pos < 3").groupBy("user_id").agg(F.bool_and(F.col("block").isin(0, 65535)).alias("silent")))
+query("AGG14_silent", "SELECT user_id, bool_and(block IN (0, 65535)) AS silent FROM points WHERE pos < 3 GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.bool_and(F.col("block").isin(0, 65535)).alias("silent")))
 query("AGG15_coverage", "SELECT group_id, count_if(is_image)::BIGINT AS clips, round(coalesce(sum(duration) FILTER (WHERE is_image), 0) / CAST(nullif(max(duration), 0) AS DOUBLE), 6) AS coverage FROM members GROUP BY group_id", "members")(lambda m: m.groupBy("group_id").agg(F.count_if("is_image").alias("clips"), F.round(F.coalesce(F.sum(F.when(F.col("is_image"), F.col("duration"))), F.lit(0)) / F.nullif(F.max("duration"), F.lit(0)), 6).alias("coverage")))
 query("AGG16_badges", "SELECT group_id, bit_or(flags) AS any_flags, bool_or((flags & 1) > 0) AS any_flipped, bool_and((flags & 2) > 0) AS all_partial FROM members GROUP BY group_id", "members")(lambda m: m.groupBy("group_id").agg(F.bit_or("flags").alias("any_flags"), F.bool_or(F.col("flags").bitwiseAND(1) > 0).alias("any_flipped"), F.bool_and(F.col("flags").bitwiseAND(2) > 0).alias("all_partial")))
 query("AGG18_distinct_groups", "SELECT DISTINCT group_id FROM members", "members")(lambda m: m.select("group_id").distinct())
