@@ -155,7 +155,7 @@ query("JN20_keeper_lookup", "SELECT m.item_id, k.keeper FROM members m JOIN (SEL
 
 # ---- 2.4 similarity predicates
 _PIX = "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 100) AS BIGINT) % 128 + 128) AS f FROM embeddings WHERE vec_id < 120"
-pixels = lambda e: e.where("vec_id < 120").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) % 128 + 128).alias("f"))
+pixels = lambda e: e.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) % 128 + 128).alias("f"))
 frames = lambda e: pixels(e).alias("x").join(pixels(e).alias("y"), F.col("x.vec_id") + 1 == F.col("y.vec_id"))
 _PIX = _PIX.replace("floor(x * 100)", "floor(CAST(x AS DOUBLE) * 100)")
 query("SIM1_frame_difference", f"SELECT x.vec_id AS a, round(list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[i]))) / 64.0 / 256, 9) AS diff FROM ({_PIX}) x JOIN ({_PIX}) y ON y.vec_id = x.vec_id + 1", "@embeddings")(lambda e: frames(e).select(F.col("x.vec_id").alias("a"), F.round(K.frame_difference("x.f", "y.f"), 9).alias("diff")))
