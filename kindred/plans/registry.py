@@ -63,7 +63,7 @@ query("FLT6_substring", "SELECT file_id FROM files WHERE contains(path, '/d2/')"
 query("FLT8_size_range", "SELECT file_id FROM files WHERE size_bytes BETWEEN 1000 AND 5000", "files")(lambda f: f.where(F.col("size_bytes").between(1000, 5000)).select("file_id"))
 query("FLT9_compare_eligible", "SELECT file_id FROM files WHERE (flags & 12) = 0 AND duration > 0", "files")(lambda f: f.where((F.col("flags").bitwiseAND(12) == 0) & (F.col("duration") > 0)).select("file_id"))
 query("FLT10_same_folder_at_depth", "SELECT p.file_a, p.file_b FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b WHERE lower(split_part(a.folder, '/', -2)) = lower(split_part(b.folder, '/', -2)) AND a.file_id % 3 = 0", "pairs", "files")(
-    lambda p, f: p.join((f := f.withColumn("parent", F.regexp_replace("folder", "/[^/]*$", ""))).select(F.col("file_id").alias("file_a"), S.tail_folders("parent", 1).alias("fa")), "file_a").join(f.select(F.col("file_id").alias("file_b"), S.tail_folders("parent", 1).alias("fb")), "file_b").where("fa = fb and file_a % 3 = 0").select("file_a", "file_b"))
+    lambda p, f: p.join((f := f.withColumn("parent", F.regexp_replace("folder", "/[^/]*$", ""))).select(F.col("file_id").alias("file_a"), S.tail_folders("parent", 1).alias("fa")), "file_a").join(f.select(F.col("file_id").alias("file_b"), S.tail_folders("parent", 1).alias("fb")), "file_b").where("fa = fb").select("file_a", "file_b"))
 query("FLT11_not_hardlinks", "SELECT p.file_a, p.file_b FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b WHERE NOT (a.ino = b.ino AND a.dev = b.dev)", "pairs", "files")(
     lambda p, f: p.join(f.select(F.col("file_id").alias("file_a"), F.col("ino").alias("ia"), F.col("dev").alias("da")), "file_a").join(f.select(F.col("file_id").alias("file_b"), F.col("ino").alias("ib"), F.col("dev").alias("db")), "file_b").where("not (ia = ib and da = db)").select("file_a", "file_b"))
 query("FLT12_result_filter", "SELECT group_id, item_id FROM (SELECT *, bool_or(path LIKE '%widget%' AND NOT is_image AND sim BETWEEN 950 AND 1000) OVER (PARTITION BY group_id) AS hit FROM members) t WHERE hit", "members")(
@@ -208,7 +208,7 @@ query("WIN3_WIN4_UDF2_criteria_order", f"SELECT group_id, item_id FROM ({_RN.for
 for _n, _s, _o in (("quality", "lowest_quality", _ORD(*_Q)), ("smallest", "smallest_file", "size_bytes DESC, item_id"), ("shortest", "shortest", "duration DESC, item_id"), ("resolution", "worst_resolution", "frame_size DESC, item_id")):
     query(f"WIN5_WIN6_delete_{_n}", f"SELECT group_id, item_id FROM ({_RN.format(_o)}) t WHERE rn > 1", "members")(lambda m, s=_s: R.deletions(m, s).select("group_id", "item_id"))
 query("WIN5_delete_identical", "SELECT group_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size_bytes DESC, item_id) AS rn, min(sim) OVER (PARTITION BY group_id) AS least FROM (SELECT concat(group_id, path LIKE '%1') AS group_id, item_id, size_bytes, CASE WHEN item_id % 2 = 0 THEN 1000 ELSE sim END AS sim FROM (SELECT group_id, item_id, path, size_bytes, sim FROM members WHERE item_id % 2 = 0) x) y) t WHERE rn > 1 AND least >= 1000".replace("concat(group_id, path LIKE '%1')", "group_id"), "members")(
-    lambda m: R.deletions(m.where("item_id % 2 = 0").withColumn("sim", F.lit(1000).cast("long")), "identical_only").select("group_id", "item_id"))
+    lambda m: R.deletions(m.withColumn("sim", F.when(F.col("group_id").endswith("1"), F.lit(1000).cast("long")).otherwise(F.col("sim"))), "identical_only").select("group_id", "item_id"))
 for _n, _c in (("oldest", "created DESC, item_id"), ("newest", "created, item_id"), ("smaller", "size_bytes DESC, item_id")):
     query(f"WIN7_WIN8_select_{_n}", f"SELECT group_id, item_id FROM ({_RN.format(_c)}) t WHERE rn > 1", "members")(lambda m, c=_c: R.ranked(m, [F.expr(x).desc() if d else F.expr(x).asc() for x, d in ((y.replace(" DESC", "").strip(), "DESC" in y) for y in c.split(","))]).where("rn > 1").select("group_id", "item_id"))
 query("WIN8_invert", "SELECT item_id, NOT checked AS checked FROM members", "members")(lambda m: m.select("item_id", (~F.col("checked")).alias("checked")))

@@ -113,3 +113,18 @@ def same_without(spark, con, name, *cuts):
 def test_all_vectors(spark, con, name):
     got, want = same_without(spark, con, name, " WHERE vec_id < 120")
     assert len(got) > 400 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_same_folder(spark, con):
+    got, want = same_without(spark, con, "FLT10_same_folder_at_depth", " AND a.file_id % 3 = 0")
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r[0] % 3 for r in got)
+
+
+def test_delete_identical(spark):
+    """All but the keeper of the groups that are all alike (those that end in 1), odd items too; none of the others."""
+    groups = {}
+    for r in view(spark, MORE, "members").collect():
+        groups.setdefault(r.group_id, []).append((-r.size_bytes, r.item_id))
+    want = {(g, i) for g, m in groups.items() if g.endswith("1") for _, i in sorted(m)[1:]}
+    got = [tuple(r) for r in registry.QUERIES["WIN5_delete_identical"](spark, MORE).select("group_id", "item_id").collect()]
+    assert len(got) == len(want) and set(got) == want and {g for g, _ in want} < set(groups)
