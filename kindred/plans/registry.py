@@ -252,7 +252,7 @@ query("SCL14_expression_helpers", "SELECT file_id FROM files WHERE length(path)
 # ---- 2.10 sorts, limits
 for _n, _c in (("size", "size_bytes"), ("resolution", "frame_size"), ("duration", "duration"), ("date", "created"), ("similarity", "sim")):
     for _d in ("asc", "desc"):
-        query(f"ORD1_ORD2_{_n}_{_d}", f"SELECT item_id, {_c} AS v FROM members ORDER BY {_c} {_d}, item_id LIMIT 100", "members")(lambda m, c=_c, d=_d: m.select("item_id", F.col(c).alias("v")).orderBy(F.col("v").asc() if d == "asc" else F.col("v").desc(), "item_id").limit(100))
+        query(f"ORD1_ORD2_{_n}_{_d}", f"SELECT item_id, {_c} AS v FROM members ORDER BY {_c} {_d}, item_id LIMIT 100", "members")(lambda m, c=_c, d=_d: m.select("item_id", F.col(c).alias("v")).orderBy(F.col("v").asc() if d == "asc" else F.col("v").desc(), "item_id"))
 query("ORD1_group_sorts", "SELECT group_id, item_id, count(*) OVER g AS n, CAST(sum(size_bytes) OVER g AS BIGINT) AS total, bool_or(checked) OVER g AS any_checked FROM members WINDOW g AS (PARTITION BY group_id) ORDER BY total DESC, group_id, item_id", "members")(
     lambda m: m.select("group_id", "item_id", F.count_if(F.lit(True)).over(Window.partitionBy("group_id")).alias("n"), F.sum("size_bytes").over(Window.partitionBy("group_id")).alias("total"), F.bool_or("checked").over(Window.partitionBy("group_id")).alias("any_checked")).orderBy(F.desc("total"), "group_id", "item_id"))
 query("ORD3_cluster_sort", "SELECT group_id, max(sim) AS top FROM members GROUP BY group_id ORDER BY top DESC, group_id", "members")(lambda m: m.groupBy("group_id").agg(F.max("sim").alias("top")).orderBy(F.desc("top"), "group_id"))

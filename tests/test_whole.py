@@ -128,3 +128,9 @@ def test_delete_identical(spark):
     want = {(g, i) for g, m in groups.items() if g.endswith("1") for _, i in sorted(m)[1:]}
     got = [tuple(r) for r in registry.QUERIES["WIN5_delete_identical"](spark, MORE).select("group_id", "item_id").collect()]
     assert len(got) == len(want) and set(got) == want and {g for g, _ in want} < set(groups)
+
+
+@pytest.mark.parametrize("name", [f"ORD1_ORD2_{c}_{d}" for c in ("size", "resolution", "duration", "date", "similarity") for d in ("asc", "desc")])
+def test_whole_sorts(spark, con, name):
+    got, want = same_without(spark, con, name, " LIMIT 100")
+    assert len(got) > 100 and got == want
