@@ -184,9 +184,11 @@ def near_duplicate_vectors(vectors: DataFrame, params: PQParams = PQParams(), sc
     unit = scratch.save(vectors.select("vec_id", "embedding").mapInArrow(_unit, f"vec_id {kind}, u binary"), "unit")
     live = unit.where("vec_id is not null and u is not null")
     reps = scratch.save(live.groupBy("u").agg(F.min("vec_id").alias("rep"), F.count_if(F.lit(True)).alias("w")), "reps")
-    lengths = {r["d"]: r["n"] for r in reps.groupBy(F.length("u").alias("d")).agg(F.count_if(F.lit(True)).alias("n")).orderBy(F.col("n").desc()).limit(64).collect()}
+    lengths = {r["d"]: r["n"] for r in reps.groupBy(F.length("u").alias("d")).agg(F.count_if(F.lit(True)).alias("n")).collect()}
+    # A length of one vector has nothing to compare; one of them is filed if there are no others, as the forest may not be missing.
+    several = {d: n for d, n in lengths.items() if n > 1} or dict(sorted(lengths.items())[:1])
     forest, counts = None, None
-    for d, n in sorted(lengths.items()):
+    for d, n in sorted(several.items()):
         own = reps.where(F.length("u") == d)
         deal = F.pmod(F.xxhash64("u", F.lit(3)), F.lit(1 << 30))
         picked = own.where(deal < min(1.0, p.sample / n) * (1 << 30)).select("u").limit(2 * p.sample).collect()

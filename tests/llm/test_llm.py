@@ -102,6 +102,15 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(201, 206))
 
 
+def test_vectors_of_many_lengths(spark):
+    """Two like vectors of each of 66 lengths link, and one of a length of its own links with nothing."""
+    rng = np.random.default_rng(2)
+    rows = [v for d in range(2, 68) for v in [rng.standard_normal(d)] for v in (v, v * (1 + 0.001 * rng.random(d)))]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*rows, rng.standard_normal(90)])], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(133)] == [1] * 132 + [0]
+    assert all(got[i].component_id == i - i % 2 for i in range(133))
+
+
 def test_token_counts(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     exact = Tokenizer.from_file(path)
