@@ -4,7 +4,9 @@ table cells aligned in columns.
 A tokenizer feeds a stack of open elements that closes what HTML lets authors leave open
 (p, li, dt, dd, option, table parts) and ignores end tags that match nothing. Elements that
 a browser without scripts doesn't show (head, script, style, template, closed details,
-hidden attributes, display:none) give no text.
+hidden attributes, display:none) give no text; nor do the options that a select does not
+show: the last one marked selected is shown, else the first that is not disabled, and all
+of a list box (multiple, or a size above 1).
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SELECT = re.compile(r"</?select[\s/>]", re.I)
 _GAP = re.compile(r"[ \t\n\f\r]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "iframe", "noembed", "noframes", "xmp", "textarea", "title"}
-UNSEEN = {"head", "script", "style", "template", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "svg", "math", "select", "meta", "link"}
+UNSEEN = {"head", "script", "style", "template", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "meta", "link"}
+#: Unseen inside svg and math; title is RAW and unseen anywhere.
+UNSEEN_DRAWN = {"desc", "defs", "metadata", "symbol", "annotation", "annotation-xml"}
 # Blocks with an empty line around, and blocks without.
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "figure", "table", "menu", "hr", "fieldset"}
 BLOCK = SPACED | set("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption tr thead tbody tfoot td th".split())
@@ -77,6 +82,16 @@ class Flow:
             self.gap = max(self.gap, 2 if space else 1)
 
 
+def _shown(options: str) -> int:
+    """The number of the option that a closed select shows; -1 if there is none."""
+    first = last = -1
+    for n, m in enumerate(m for m in _TAG.finditer(options) if m[3] and not m[2] and m[3].lower() == "option"):
+        got = {a[1].lower() for a in _ATTR.finditer(m[4])}
+        last = n if "selected" in got else last
+        first = n if first < 0 and "disabled" not in got else first
+    return last if last >= 0 else first
+
+
 class Page:
     def __init__(self):
         self.flow, self.stack = Flow(), []  # stack: [tag, hidden, extra]
@@ -101,7 +116,9 @@ class Page:
             self.flow = extra["flow"]
             self._table(extra["rows"])
             self.flow.block(True)
-        elif tag in BLOCK:
+        elif tag == "text" and self.flow.line:
+            self.flow.line.append(" ")
+        elif tag in BLOCK and extra != "inline":
             self.flow.block(tag in SPACED)
             if tag in ("ul", "ol", "menu", "dir", "blockquote", "dd"):
                 self.flow.indent -= 3 if tag == "ol" else 2
@@ -134,14 +151,15 @@ class Page:
         while at is not None and len(self.stack) > at:
             self.pop()
 
-    def open(self, tag: str, attrs: str) -> None:
+    def open(self, tag: str, attrs: str, rest: str = "") -> None:
         if tag in CLOSES_P:
             self.close({"p"}, SCOPE)
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
         got = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip(" /\n\t") else {}
         inside = self.stack[-1][0] if self.stack else ""
-        unseen = int(tag in UNSEEN or "hidden" in got or bool(_HIDDEN.search(got.get("style", ""))) or (tag == "dialog" and "open" not in got) or (inside == "details" and tag != "summary" and self.stack[-1][2] == "shut"))
+        drawn = tag in UNSEEN_DRAWN and any(e[0] in ("svg", "math") for e in self.stack)
+        unseen = int(tag in UNSEEN or drawn or "hidden" in got or bool(_HIDDEN.search(got.get("style", ""))) or (tag == "dialog" and "open" not in got) or (inside == "details" and tag != "summary" and self.stack[-1][2] == "shut"))
         if tag in VOID:
             if not self.hidden and not unseen:
                 if tag == "br":
@@ -149,7 +167,17 @@ class Page:
                 elif tag == "hr":
                     self.flow.block(True)
             return
+        if drawn and attrs.rstrip().endswith("/"):
+            return
+        box = next((e[2] for e in reversed(self.stack) if e[0] == "select"), None) if tag in ("option", "optgroup") else None
         extra = None
+        if tag == "option" and box:
+            unseen |= box["shown"] not in (None, box["n"])
+            box["n"] += 1
+        if box and box["shown"] is not None:
+            extra = "inline"
+        if tag == "select":
+            extra = {"shown": None if "multiple" in got or (got.get("size", "").isdigit() and int(got["size"]) > 1) else _shown(rest), "n": 0}
         if not self.hidden and not unseen:
             if tag == "table":
                 self.flow.block(True)
@@ -200,7 +228,7 @@ class Page:
                 return
 
     def text(self, s: str) -> None:
-        if not s or self.hidden or (self.stack and self.stack[-1][2] == "shut"):
+        if not s or self.hidden or (self.stack and (self.stack[-1][2] == "shut" or self.stack[-1][0] in ("select", "optgroup"))):
             return
         if self.stack and self.stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot") and self.stack[-1][2] and not s.strip():
             return
@@ -237,7 +265,8 @@ def render(html: str | None) -> tuple[str, int, int, int]:
             if m[2]:
                 page.shut(tag)
             else:
-                page.open(tag, m[4])
+                end = _SELECT.search(html, at) if tag == "select" else None
+                page.open(tag, m[4], html[at : end.start() if end else len(html)] if tag == "select" else "")
                 if tag in RAW:
                     end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                     if tag in ("textarea", "xmp"):

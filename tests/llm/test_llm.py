@@ -136,6 +136,15 @@ def test_html():
     assert html_text.render(None)[0] == "" and html_text.render("a < b <")[0] == "a < b <" and html_text.render("</p><td>x</li></table>")[0] == "x"
 
 
+def test_html_drawn_text_and_selects():
+    text = lambda page: html_text.render(page)[0]
+    assert text("<p>a <svg><title>no</title><defs><text>no</text></defs><desc/><text>one</text><text>two</text></svg> b") == "a one two b"
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>.") == "if x=1."
+    assert text("in <select><option>one<option selected>two</option><option>three</select> days") == "in two days"
+    assert text("in <select><optgroup label=x><option disabled>one<option>two</optgroup></select> days") == "in two days"
+    assert text("<select multiple><option>one<option>two</select>") == "one\ntwo"
+
+
 def test_pii(docs, rows):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(d[::-1])) % 10 == 0
     digits = lambda s: re.sub("[^0-9]", "", s)
