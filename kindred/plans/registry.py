@@ -62,7 +62,7 @@ query("FLT5_FLT7_glob_contains", "SELECT file_id FROM files WHERE (path LIKE '%s
 query("FLT6_substring", "SELECT file_id FROM files WHERE contains(path, '/d2/')", "files")(lambda f: f.where(F.contains("path", F.lit("/d2/"))).select("file_id"))
 query("FLT8_size_range", "SELECT file_id FROM files WHERE size_bytes BETWEEN 1000 AND 5000", "files")(lambda f: f.where(F.col("size_bytes").between(1000, 5000)).select("file_id"))
 query("FLT9_compare_eligible", "SELECT file_id FROM files WHERE (flags & 12) = 0 AND duration > 0", "files")(lambda f: f.where((F.col("flags").bitwiseAND(12) == 0) & (F.col("duration") > 0)).select("file_id"))
-query("FLT10_same_folder_at_depth", "SELECT p.file_a, p.file_b FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b WHERE lower(split_part(a.folder, '/', -2)) = lower(split_part(b.folder, '/', -2)) AND a.file_id % 3 = 0", "pairs", "files")(
+query("FLT10_same_folder_at_depth", "SELECT p.file_a, p.file_b FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b WHERE lower(split_part(a.folder, '/', -2)) = lower(split_part(b.folder, '/', -2))", "pairs", "files")(
     lambda p, f: p.join((f := f.withColumn("parent", F.regexp_replace("folder", "/[^/]*$", ""))).select(F.col("file_id").alias("file_a"), S.tail_folders("parent", 1).alias("fa")), "file_a").join(f.select(F.col("file_id").alias("file_b"), S.tail_folders("parent", 1).alias("fb")), "file_b").where("fa = fb").select("file_a", "file_b"))
 query("FLT11_not_hardlinks", "SELECT p.file_a, p.file_b FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b WHERE NOT (a.ino = b.ino AND a.dev = b.dev)", "pairs", "files")(
     lambda p, f: p.join(f.select(F.col("file_id").alias("file_a"), F.col("ino").alias("ia"), F.col("dev").alias("da")), "file_a").join(f.select(F.col("file_id").alias("file_b"), F.col("ino").alias("ib"), F.col("dev").alias("db")), "file_b").where("not (ia = ib and da = db)").select("file_a", "file_b"))
@@ -107,7 +107,7 @@ query("JN2_JN3_JN4_duration_band_join", "SELECT a.file_id AS a, b.file_id AS b F
     lambda f: J.band_join(f.where("not is_image"), "file_id", "duration", 2, ["codec", "is_image"]))
 query("JN4_tolerance", "SELECT file_id, CAST(least(greatest(duration * 0.01, 5.0), 10.0) AS DOUBLE) AS tol FROM files", "files")(lambda f: f.select("file_id", J.tolerance(F.col("duration").cast("double"), 1, 5.0, 10.0).alias("tol")))
 query("JN5_JN6_containment_join", "SELECT c.file_id AS clip, s.file_id AS source FROM files c JOIN files s ON c.folder = s.folder WHERE c.duration >= 1 AND s.duration >= 1 AND c.duration * 10 >= s.duration AND c.duration * 100 < s.duration * 95", "files")(lambda f: J.containment_join(f, "file_id", "duration", (1, 10), (95, 100), ["folder"]))
-_TL = "SELECT user_id, list(block ORDER BY pos) AS b FROM points WHERE user_id < 24 {} GROUP BY user_id"
+_TL = "SELECT user_id, list(block ORDER BY pos) AS b FROM points GROUP BY user_id"
 timelines = lambda p, user, b: series(p).select(F.col("user_id").alias(user), F.col("b").alias(b))
 
 
@@ -119,7 +119,7 @@ def shorter_over_longer(p: DataFrame) -> DataFrame:
     return timelines(p, "clip", "s").join(timelines(p, "source", "l"), F.struct(F.size("s"), "clip") < F.struct(F.size("l"), "source"))
 
 
-query("ARR1_JN6_audio_window", f"SELECT clip, source, CAST((best // 1000) AS INT) AS bits, CAST(best % 1000 AS INT) AS pos FROM (SELECT s.user_id AS clip, l.user_id AS source, list_min(list_transform(range(0, len(l.b) - len(s.b) + 1), lambda o: CAST(list_sum(list_transform(range(1, len(s.b) + 1), lambda k: bit_count(xor(s.b[k], l.b[o + k])))) AS BIGINT) * 1000 + o)) AS best FROM ({_TL.format('AND pos < 12')}) s JOIN ({_TL.format('')}) l ON s.user_id < l.user_id) t WHERE (best // 1000) * 100 <= 12 * 32 * 30", "points")(
+query("ARR1_JN6_audio_window", f"SELECT clip, source, CAST((best // 100000) AS INT) AS bits, CAST(best % 100000 AS INT) AS pos FROM (SELECT s.user_id AS clip, l.user_id AS source, len(s.b) AS n, list_min(list_transform(range(0, len(l.b) - len(s.b) + 1), lambda o: CAST(list_sum(list_transform(range(1, len(s.b) + 1), lambda k: bit_count(xor(s.b[k], l.b[o + k])))) AS BIGINT) * 100000 + o)) AS best FROM ({_TL}) s JOIN ({_TL}) l ON len(s.b) < len(l.b) OR (len(s.b) = len(l.b) AND s.user_id < l.user_id)) t WHERE (best // 100000) * 100 <= n * 32 * 30", "points")(
     lambda p: shorter_over_longer(p).withColumn("r", K.sliding_hamming("s", "l", 70)).where("r is not null").select("clip", "source", F.col("r.bits").alias("bits"), F.col("r.offset").alias("pos")))
 query("ARR2_JN7_timeline_join", None, "points")(
     lambda p: shorter_over_longer(p).where("size(s) >= 2").withColumn("r", K.sliding_runs("s", "l", K.hamming_budget(0.85), 1)).where("r.match * 12 >= size(s) * 6").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
@@ -154,7 +154,7 @@ query("JN20_keeper_lookup", "SELECT m.item_id, k.keeper FROM members m JOIN (SEL
     lambda m: m.where("checked").join(m.where("not checked").groupBy("group_id").agg(F.min("item_id").alias("keeper")), "group_id").select("item_id", "keeper"))
 
 # ---- 2.4 similarity predicates
-_PIX = "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 100) AS BIGINT) % 128 + 128) AS f FROM embeddings WHERE vec_id < 120"
+_PIX = "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 100) AS BIGINT) % 128 + 128) AS f FROM embeddings"
 pixels = lambda e: e.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100) % 128 + 128).alias("f"))
 frames = lambda e: pixels(e).alias("x").join(pixels(e).alias("y"), F.col("x.vec_id") + 1 == F.col("y.vec_id"))
 _PIX = _PIX.replace("floor(x * 100)", "floor(CAST(x AS DOUBLE) * 100)")
@@ -168,7 +168,7 @@ query("SCL15_ORD10_hamming_knn", f"SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit
     lambda e: signs(e).where("id <> 7").join(F.broadcast(signs(e).where("id = 7").limit(1).select(F.col("id").alias("a"), F.col("hash").alias("ha"))), F.lit(True)).select("a", F.col("id").alias("b"), F.bit_count(F.col("hash").bitwiseXOR(F.col("ha"))).cast("int").alias("dist")).orderBy("dist", "b").limit(50))
 query("SIM5_flipped", f"SELECT x.vec_id AS a, list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[i]))) AS d, list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[((i - 1) // 8) * 8 + 8 - (i - 1) % 8]))) AS dflip FROM ({_PIX}) x JOIN ({_PIX}) y ON y.vec_id = x.vec_id + 1".replace("AS d,", "::BIGINT AS d,").replace("AS dflip", "::BIGINT AS dflip"), "@embeddings")(
     lambda e: frames(e).select(F.col("x.vec_id").alias("a"), F.col("x.f").alias("p"), F.col("y.f").alias("q")).withColumn("r", K.flip("q", 8)).select("a", L(F.round(K.frame_difference("p", "q") * 64 * 256)).alias("d"), L(F.round(K.frame_difference("p", "r") * 64 * 256)).alias("dflip")))
-query("SIM10_SIM6_prefix_similarity", f"SELECT s.user_id AS a, l.user_id AS b, round(1 - list_sum(list_transform(range(1, 13), lambda k: bit_count(xor(s.b[k], l.b[k])))) / (12 * 32.0), 9) AS sim FROM ({_TL.format('AND pos < 12')}) s JOIN ({_TL.format('AND pos < 12')}) l ON s.user_id < l.user_id", "points")(
+query("SIM10_SIM6_prefix_similarity", f"SELECT a, b, round(1 - list_sum(list_transform(range(1, n + 1), lambda k: bit_count(xor(sb[k], lb[k])))) / (n * 32.0), 9) AS sim FROM (SELECT s.user_id AS a, l.user_id AS b, s.b AS sb, l.b AS lb, least(len(s.b), len(l.b)) AS n FROM ({_TL}) s JOIN ({_TL}) l ON s.user_id < l.user_id) t", "points")(
     lambda p: timelines(p, "a", "s").join(timelines(p, "b", "l"), F.col("a") < F.col("b")).withColumn("n", F.least(F.size("s"), F.size("l"))).select("a", "b", F.round(1 - F.aggregate(F.zip_with(F.slice("s", 1, F.col("n")), F.slice("l", 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda z, x: z + x) / (F.col("n") * 32.0), 9).alias("sim")))
 query("SIM9_match_offset", "SELECT user_id, event_id, try_cast(nullif(regexp_extract(concat('x match at offset ', CAST(value AS STRING), ' y'), 'match at offset ([-0-9.]+)', 1), '') AS DOUBLE) AS off FROM events", "@events")(
     lambda e: e.select("user_id", "event_id", F.regexp_extract(F.concat(F.lit("x match at offset "), F.col("value").cast("string"), F.lit(" y")), "match at offset ([-0-9.]+)", 1).cast("double").alias("off")))
@@ -189,7 +189,7 @@ query("AGG9_fingerprint_summary", "SELECT user_id, count_if(block <> 0)::BIGINT
 query("AGG10_WIN11_gap_stats", "SELECT user_id, max(g) AS most, min(g) AS least, count(g) AS n FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY pos) AS g FROM points) t GROUP BY user_id", "points")(lambda p: p.withColumn("g", F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("pos"))).groupBy("user_id").agg(F.max("g").alias("most"), F.min("g").alias("least"), F.count("g").alias("n")))
 query("AGG11_silence", "SELECT user_id, round(count_if(block = 0) / CAST(count(*) AS DOUBLE), 9) AS ratio, count_if(block = 0) * 2 < count(*) AND count(*) >= 10 AS reliable FROM points GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.count_if(F.col("block") == 0).alias("z"), one().alias("n")).select("user_id", F.round(F.col("z") / F.col("n"), 9).alias("ratio"), ((F.col("z") * 2 < F.col("n")) & (F.col("n") >= 10)).alias("reliable")))
 query("AGG12_too_dark", f"SELECT vec_id, len(list_filter(f, lambda v: v <= 130)) * 100 >= len(f) * 60 AS dark FROM ({_PIX}) t", "@embeddings")(lambda e: pixels(e).select("vec_id", (F.size(F.filter("f", lambda v: v <= 130)) * 100 >= F.size("f") * 60).alias("dark")))
-query("AGG14_silent", "SELECT user_id, bool_and(block IN (0, 65535)) AS silent FROM points WHERE pos < 3 GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.bool_and(F.col("block").isin(0, 65535)).alias("silent")))
+query("AGG14_silent", "SELECT user_id, bool_and(block IN (0, 65535)) AS silent FROM points GROUP BY user_id", "points")(lambda p: p.groupBy("user_id").agg(F.bool_and(F.col("block").isin(0, 65535)).alias("silent")))
 query("AGG15_coverage", "SELECT group_id, count_if(is_image)::BIGINT AS clips, round(coalesce(sum(duration) FILTER (WHERE is_image), 0) / CAST(nullif(max(duration), 0) AS DOUBLE), 6) AS coverage FROM members GROUP BY group_id", "members")(lambda m: m.groupBy("group_id").agg(F.count_if("is_image").alias("clips"), F.round(F.coalesce(F.sum(F.when(F.col("is_image"), F.col("duration"))), F.lit(0)) / F.nullif(F.max("duration"), F.lit(0)), 6).alias("coverage")))
 query("AGG16_badges", "SELECT group_id, bit_or(flags) AS any_flags, bool_or((flags & 1) > 0) AS any_flipped, bool_and((flags & 2) > 0) AS all_partial FROM members GROUP BY group_id", "members")(lambda m: m.groupBy("group_id").agg(F.bit_or("flags").alias("any_flags"), F.bool_or(F.col("flags").bitwiseAND(1) > 0).alias("any_flipped"), F.bool_and(F.col("flags").bitwiseAND(2) > 0).alias("all_partial")))
 query("AGG18_distinct_groups", "SELECT DISTINCT group_id FROM members", "members")(lambda m: m.select("group_id").distinct())
@@ -207,7 +207,7 @@ query("WIN2_WIN17_keeper", f"SELECT group_id, item_id FROM ({_RN.format(_ORD(*_Q
 query("WIN3_WIN4_UDF2_criteria_order", f"SELECT group_id, item_id FROM ({_RN.format(_ORD(('size_bytes', False), ('fps', True), ('duration', True), ('frame_size', False), ('bitrate', True), ('audio_rate', True)))}) t WHERE rn = 1", "members")(lambda m: R.ranked(m, R.order(["size", "nonsense", "fps"])).where("rn = 1").select("group_id", "item_id"))
 for _n, _s, _o in (("quality", "lowest_quality", _ORD(*_Q)), ("smallest", "smallest_file", "size_bytes DESC, item_id"), ("shortest", "shortest", "duration DESC, item_id"), ("resolution", "worst_resolution", "frame_size DESC, item_id")):
     query(f"WIN5_WIN6_delete_{_n}", f"SELECT group_id, item_id FROM ({_RN.format(_o)}) t WHERE rn > 1", "members")(lambda m, s=_s: R.deletions(m, s).select("group_id", "item_id"))
-query("WIN5_delete_identical", "SELECT group_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size_bytes DESC, item_id) AS rn, min(sim) OVER (PARTITION BY group_id) AS least FROM (SELECT concat(group_id, path LIKE '%1') AS group_id, item_id, size_bytes, CASE WHEN item_id % 2 = 0 THEN 1000 ELSE sim END AS sim FROM (SELECT group_id, item_id, path, size_bytes, sim FROM members WHERE item_id % 2 = 0) x) y) t WHERE rn > 1 AND least >= 1000".replace("concat(group_id, path LIKE '%1')", "group_id"), "members")(
+query("WIN5_delete_identical", "SELECT group_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size_bytes DESC, item_id) AS rn, min(s) OVER (PARTITION BY group_id) AS least FROM (SELECT *, CASE WHEN group_id LIKE '%1' THEN 1000 ELSE sim END AS s FROM members) x) t WHERE rn > 1 AND least >= 1000", "members")(
     lambda m: R.deletions(m.withColumn("sim", F.when(F.col("group_id").endswith("1"), F.lit(1000).cast("long")).otherwise(F.col("sim"))), "identical_only").select("group_id", "item_id"))
 for _n, _c in (("oldest", "created DESC, item_id"), ("newest", "created, item_id"), ("smaller", "size_bytes DESC, item_id")):
     query(f"WIN7_WIN8_select_{_n}", f"SELECT group_id, item_id FROM ({_RN.format(_c)}) t WHERE rn > 1", "members")(lambda m, c=_c: R.ranked(m, [F.expr(x).desc() if d else F.expr(x).asc() for x, d in ((y.replace(" DESC", "").strip(), "DESC" in y) for y in c.split(","))]).where("rn > 1").select("group_id", "item_id"))
@@ -252,7 +252,7 @@ query("SCL14_expression_helpers", "SELECT file_id FROM files WHERE length(path)
 # ---- 2.10 sorts, limits
 for _n, _c in (("size", "size_bytes"), ("resolution", "frame_size"), ("duration", "duration"), ("date", "created"), ("similarity", "sim")):
     for _d in ("asc", "desc"):
-        query(f"ORD1_ORD2_{_n}_{_d}", f"SELECT item_id, {_c} AS v FROM members ORDER BY {_c} {_d}, item_id LIMIT 100", "members")(lambda m, c=_c, d=_d: m.select("item_id", F.col(c).alias("v")).orderBy(F.col("v").asc() if d == "asc" else F.col("v").desc(), "item_id"))
+        query(f"ORD1_ORD2_{_n}_{_d}", f"SELECT item_id, {_c} AS v FROM members ORDER BY {_c} {_d}, item_id", "members")(lambda m, c=_c, d=_d: m.select("item_id", F.col(c).alias("v")).orderBy(F.col("v").asc() if d == "asc" else F.col("v").desc(), "item_id"))
 query("ORD1_group_sorts", "SELECT group_id, item_id, count(*) OVER g AS n, CAST(sum(size_bytes) OVER g AS BIGINT) AS total, bool_or(checked) OVER g AS any_checked FROM members WINDOW g AS (PARTITION BY group_id) ORDER BY total DESC, group_id, item_id", "members")(
     lambda m: m.select("group_id", "item_id", F.count_if(F.lit(True)).over(Window.partitionBy("group_id")).alias("n"), F.sum("size_bytes").over(Window.partitionBy("group_id")).alias("total"), F.bool_or("checked").over(Window.partitionBy("group_id")).alias("any_checked")).orderBy(F.desc("total"), "group_id", "item_id"))
 query("ORD3_cluster_sort", "SELECT group_id, max(sim) AS top FROM members GROUP BY group_id ORDER BY top DESC, group_id", "members")(lambda m: m.groupBy("group_id").agg(F.max("sim").alias("top")).orderBy(F.desc("top"), "group_id"))

@@ -98,11 +98,9 @@ def con():
     return c
 
 
-def same_without(spark, con, name, *cuts):
-    """The query's rows, in order, are those of its SQL without the cuts."""
+def both(spark, con, name):
+    """The query's rows and those of its SQL, in order."""
     sql = registry.ORACLE_SQL[name]
-    for c in cuts:
-        sql = sql.replace(c, "")
     df = registry.QUERIES[name](spark, MORE)
     cur = con.execute(sql)
     at = [[d[0] for d in cur.description].index(c) for c in df.columns]
@@ -111,12 +109,12 @@ def same_without(spark, con, name, *cuts):
 
 @pytest.mark.parametrize("name", ["SIM1_frame_difference", "SIM2_masked_difference", "SIM3_decision", "SIM5_flipped", "AGG12_too_dark", "ARR9_flip"])
 def test_all_vectors(spark, con, name):
-    got, want = same_without(spark, con, name, " WHERE vec_id < 120")
+    got, want = both(spark, con, name)
     assert len(got) > 400 and sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_same_folder(spark, con):
-    got, want = same_without(spark, con, "FLT10_same_folder_at_depth", " AND a.file_id % 3 = 0")
+    got, want = both(spark, con, "FLT10_same_folder_at_depth")
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r[0] % 3 for r in got)
 
 
@@ -132,5 +130,5 @@ def test_delete_identical(spark):
 
 @pytest.mark.parametrize("name", [f"ORD1_ORD2_{c}_{d}" for c in ("size", "resolution", "duration", "date", "similarity") for d in ("asc", "desc")])
 def test_whole_sorts(spark, con, name):
-    got, want = same_without(spark, con, name, " LIMIT 100")
+    got, want = both(spark, con, name)
     assert len(got) > 100 and got == want
