@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset (tests, one machine)."""
+    """The cluster's spark.checkpoint.dir, or the session's checkpoint folder. Where neither is set, a temporary folder is made if all runs on this machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -33,10 +35,12 @@ class Scratch:
         self.seq = 0
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+        """by: a column with few values, by which files are parted, so that filters on it read their own files only."""
         self.seq += 1
         path = f"{self.root}/{self.seq:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
