@@ -30,9 +30,9 @@ class Rolling:
 
 
 def anchors(texts: list[bytes], start_of: np.ndarray, buf: np.ndarray) -> dict[str, np.ndarray]:
-    """For texts laid end to end in buf (text i from start_of[i]): text, p (the anchor), e1 and e2 (first and last window that chose it), h and c (hashes of the anchor's string, and of it with SIDE bytes on either side as far as the text goes); places are within the text."""
+    """For texts laid end to end in buf (text i from start_of[i]): text, p (the anchor), e1 and e2 (first and last window that chose it), h (hash of the anchor's string); places are within the text."""
     size = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    none = {k: np.empty(0, dtype=np.int64) for k in ("text", "p", "e1", "e2")} | {k: np.empty(0, dtype=np.uint64) for k in ("h", "c")}
+    none = {k: np.empty(0, dtype=np.int64) for k in ("text", "p", "e1", "e2")} | {"h": np.empty(0, dtype=np.uint64)}
     if not len(buf) or not (size >= WINDOW).any():
         return none
     roll, n = Rolling(buf), len(buf)
@@ -55,7 +55,5 @@ def anchors(texts: list[bytes], start_of: np.ndarray, buf: np.ndarray) -> dict[s
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(window)]]) - 1
     text, p = owner[first], place[first]
-    base, stop = start_of[text], start_of[text] + size[text]
-    left, right = np.maximum(p - SIDE, base), np.minimum(p + WINDOW, stop)
-    clip = (p - left).astype(np.uint64) * U(1009) + (right - p).astype(np.uint64)
-    return {"text": text, "p": p - base, "e1": window[first] - base, "e2": window[last] - base, "h": roll.of(p, p + K), "c": mix(roll.of(left, right) + clip * U(0x9E3779B97F4A7C15))}
+    base = start_of[text]
+    return {"text": text, "p": p - base, "e1": window[first] - base, "e2": window[last] - base, "h": roll.of(p, p + K)}

@@ -4,28 +4,37 @@ Which bytes go: every byte of a WINDOW-byte string that also starts anywhere els
 all suffixes would move hundreds of bytes for each byte of text, so suffixes are taken at
 anchors only (see anchors.py): equal windows share an anchor at the same offset.
 
-1. Anchors whose K-byte string occurs once are dropped; those whose whole context occurs
-   again have all their windows repeated, which needs no sort.
-2. The distinct contexts that share their K-byte string with other contexts are sorted as
-   suffixes (from the anchor on, then the bytes before it, backwards). Each task sorts runs
-   in memory and front-codes them (length of the prefix shared with the string before, and
-   the rest); runs are cut at splitters and exchanged; a tree of losers merges each range,
-   comparing strings only from the prefix that both are known to share with the last
-   winner. Each run's slice brings the string on either side of its range along, so every
-   string meets its true neighbours.
-3. The longest prefix shared with a neighbour bounds how far any other context agrees to
-   the right of the anchor, which leaves few windows of a context in question; those are
-   counted by hash of their bytes together with that of the anchor's string (128 bits).
-
-No step gathers an anchor's occurrences: counts are pre-aggregated, ranges are balanced by
-splitters on whole strings, and a common passage's contexts spread over ranges.
+1. Screen: anchors whose K-byte string occurs once, by its hash, are dropped. Hashes decide
+   nothing else; a clash only lets an anchor through.
+2. The contexts of the other anchors are sorted as suffixes (from the anchor on, then the
+   bytes before it, backwards). Each task sorts runs in memory. Contexts that are equal in
+   all bytes within a run have all their windows repeated; one of them stands for them from
+   there on, so a common passage's copies cost about their number of runs. Runs are
+   front-coded (length of the prefix shared with the string before, and the rest), cut at
+   splitters and exchanged.
+3. A tree of losers merges each range, comparing strings only from the prefix that both are
+   known to share with the last winner. The shared prefixes decide: contexts whose merged
+   neighbours share K bytes form a group; where two of them share a bytes to the right of
+   the anchor's string and b to the left, all windows with at most a to the right and b to
+   the left are repeated. Joining the group's parts from the longest shared prefix to the
+   shortest, each in order of the bytes to the left, meets for each context the best b for
+   every a, without looking at all pairs.
+4. A group that a splitter cuts (a passage in more contexts than a range holds) is decided
+   as far as its range goes, and its windows are sorted and merged once more as strings of
+   their own, of which equal neighbours are repeated.
+
+No step gathers an anchor's occurrences in one task: counts are pre-aggregated, and ranges are
+balanced by splitters on whole strings.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +42,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.anchors import SIDE, WINDOW, K, anchors
-from kindred.llm.text import _INV, BASE, TABLE, U, mix, powers, slices
+from kindred.llm.text import slices
 from kindred.plans.scratch import Scratch
 
-#: Strings of a run, and of a merged range, about.
-RUN, RANGE = 16_384, 50_000
 _PAD = 0xFF  # in no UTF-8 text
-_FULL = K + 2 * SIDE
+_FULL = WINDOW + SIDE
+#: A place of an anchor: its text, where it is, and the first and last window that chose it.
+_ID = np.dtype([("rid", "<i8"), ("p", "<i4"), ("e1", "<i4"), ("e2", "<i4")])
+#: What a string of a run is: one that stands for several whose result is known; one to decide on; one of the next range.
+KNOWN, OWN, BEYOND = 0, 1, 2
+_FOUND = "rid long, p int, e1 int, e2 int, s binary"
+_NAMES = ["rid", "p", "e1", "e2", "s"]
+
+
+@dataclass(frozen=True)
+class SortParams:
+    """run: strings that a task sorts at once; range: strings of a merged range, about; most: ranges of one exchange (larger ranges are cut again, each by an exchange of its own); sample: strings a range that splitters are taken from."""
+
+    run: int = 16_384
+    range: int = 50_000
+    most: int = 2_000
+    sample: int = 32
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +72,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1].astype(np.int64)
             a = anchors(texts, start, np.frombuffer(b"".join(texts), dtype=np.uint8))
             rid = np.array(part.column("rid").to_pylist(), dtype=np.int64)[a["text"]]
-            cols = [a["h"].view(np.int64), a["c"].view(np.int64), rid, *[a[k].astype(np.int32) for k in ("p", "e1", "e2")]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "rid", "p", "e1", "e2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a["h"].view(np.int64), rid, *[a[k].astype(np.int32) for k in ("p", "e1", "e2")])], ["h", "rid", "p", "e1", "e2"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,52 +81,38 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([zlib.compress(t or b"", 1) for t in texts], pa.binary())], ["rid", "z"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings to sort: the anchor's K bytes, SIDE bytes after, SIDE bytes before (backwards), padded where the text ends."""
-    names = ["h", "c", "m", "rid", "p", "lo", "hi"]
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in [*names, "s"]}
-        for rid, z, refs in zip(batch.column("rid").to_pylist(), batch.column("z").to_pylist(), batch.column("refs").to_pylist()):
-            t = zlib.decompress(z)
-            for r in refs:
-                p = r["p"]
-                right, left = t[p : p + WINDOW], t[max(0, p - SIDE) : p][::-1]
-                out["s"].append(right + bytes([_PAD]) * (WINDOW - len(right)) + left + bytes([_PAD]) * (SIDE - len(left)))
-                for k, v in (("h", r["h"]), ("c", r["c"]), ("m", r["m"]), ("rid", rid), ("p", p), ("lo", p - r["e2"]), ("hi", p - r["e1"])):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.int64()) for k in names] + [pa.array(out["s"], pa.binary())], [*names, "s"])
-
-
-def front_code(strings: list[bytes], ids: bytes, own: list[bool]) -> bytes:
-    """Sorted strings of equal length as shared prefix lengths and rests. ids: 16 bytes each."""
-    n, size = len(strings), len(strings[0])
-    grid = np.frombuffer(b"".join(strings), dtype=np.uint8).reshape(n, size)
+def _mismatch(a: bytes, b: bytes, known: int) -> int:
+    """The length of the prefix that equally long strings share, of which `known` bytes are known."""
+    x = int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")
+    return len(a) - (x.bit_length() + 7) // 8
+
+
+def _shared(strings: list[bytes]) -> np.ndarray:
+    """The prefix that each of equally long strings shares with the one before."""
+    grid = np.frombuffer(b"".join(strings), dtype=np.uint8).reshape(len(strings), -1)
     differ = grid[1:] != grid[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
-    lcp = np.concatenate([[0], shared]).astype("<u2")
+    return np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), grid.shape[1])])
+
+
+def front_code(strings: list[bytes], ids: bytes, kinds: list[int]) -> bytes:
+    """Sorted strings of equal length as shared prefix lengths and rests. ids: 20 bytes each."""
+    lcp = _shared(strings).astype("<u2")
     rest = b"".join(s[k:] for s, k in zip(strings, lcp.tolist()))
-    head = np.array([n, size], dtype="<u4").tobytes()
-    return zlib.compress(head + lcp.tobytes() + np.array(own, dtype=np.uint8).tobytes() + ids + rest, 1)
+    return zlib.compress(np.array([len(strings), len(strings[0])], dtype="<u4").tobytes() + lcp.tobytes() + bytes(kinds) + ids + rest, 1)
 
 
-def decode(blob: bytes) -> Iterator[tuple[bytes, int, bool, bytes]]:
-    """(string, prefix shared with the one before, own, id) in order."""
-    raw = zlib.decompress(blob)
+def decode(blob: bytes) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(string, prefix shared with the one before, kind, id) in order."""
+    raw, width = zlib.decompress(blob), _ID.itemsize
     n, size = np.frombuffer(raw, dtype="<u4", count=2).tolist()
     lcp = np.frombuffer(raw, dtype="<u2", count=n, offset=8).tolist()
     at = 8 + 2 * n
-    own, ids, at = raw[at : at + n], at + n, at + 17 * n
+    kinds, ids, at = raw[at : at + n], at + n, at + (1 + width) * n
     last = b""
     for i, k in enumerate(lcp):
         last = last[:k] + raw[at : at + size - k]
         at += size - k
-        yield last, k, bool(own[i]), raw[ids + 16 * i : ids + 16 * i + 16]
-
-
-def _mismatch(a: bytes, b: bytes, known: int) -> int:
-    """The length of the prefix that equally long strings share, of which `known` bytes are known."""
-    x = int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")
-    return len(a) - (x.bit_length() + 7) // 8
+        yield last, k, kinds[i], raw[ids + width * i : ids + width * (i + 1)]
 
 
 class LoserTree:
@@ -142,12 +150,12 @@ class LoserTree:
         self.share[a] = k
         return b, a
 
-    def __iter__(self) -> Iterator[tuple[bytes, int, bool, bytes]]:
-        """(string, prefix shared with the string given out before, own, id)."""
+    def __iter__(self) -> Iterator[tuple[bytes, int, int, bytes]]:
+        """(string, prefix shared with the string given out before, kind, id)."""
         while self.top >= 0 and self.item[self.top] is not None:
             run = self.top
-            s, _, own, key = self.item[run]
-            yield s, self.share[run], own, key
+            s, _, kind, key = self.item[run]
+            yield s, self.share[run], kind, key
             self.item[run] = item = next(self.runs[run], None)
             if item is not None:
                 self.share[run] = item[1]
@@ -158,69 +166,235 @@ class LoserTree:
             self.top = winner
 
 
-def _runs(splitters: list[bytes]):
-    def cut(rows: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, bytes]]:
-        rows.sort()
-        strings = [s for s, _ in rows]
-        place = np.searchsorted(np.array(splitters, dtype=object), np.array(strings, dtype=object), side="right") if splitters else np.zeros(len(rows), dtype=int)
-        for dest in range(len(splitters) + 1):
-            a, b = np.searchsorted(place, [dest, dest + 1])
-            lo, hi = max(0, a - 1), min(len(rows), b + 1)
-            if lo < hi:
-                yield dest, front_code(strings[lo:hi], b"".join(k for _, k in rows[lo:hi]), [a <= i < b for i in range(lo, hi)])
+def cut_run(rows: list[tuple[bytes, int, bytes]], splitters: list[bytes], need: int) -> tuple[bytes, list[tuple[int, bytes, int]]]:
+    """From (string, kind, id): ids of strings to decide on that occur again in the run, and (range, front-coded part, strings) of each range.
+
+    A range's part ends with the strings beyond it that share `need` bytes with its splitter:
+    others can be no partner of the range's strings.
+    """
+    rows.sort()
+    first = np.flatnonzero(_shared([s for s, *_ in rows]) < len(rows[0][0]))
+    size = np.diff(np.append(first, len(rows)))
+    known = b"".join(rows[k][2] for i, n in zip(first[size > 1].tolist(), size[size > 1].tolist()) for k in range(i, i + n) if rows[k][1] == OWN)
+    left = [rows[i] if n == 1 or rows[i][1] == BEYOND else (rows[i][0], KNOWN, rows[i][2]) for i, n in zip(first.tolist(), size.tolist())]
+    strings = [s for s, *_ in left]
+    at = [0, *[bisect.bisect_left(strings, x) for x in splitters], len(left)]
+    parts = []
+    for dest in range(len(splitters) + 1):
+        a, b = at[dest], at[dest + 1]
+        lo = a - 1 if a and strings[a - 1][:need] == splitters[dest - 1][:need] else a
+        hi = b + 1 if b < len(left) and strings[b][:need] == splitters[dest][:need] else b
+        if lo < hi:
+            kinds = [left[i][1] if a <= i < b else BEYOND for i in range(lo, hi)]
+            parts.append((dest, front_code(strings[lo:hi], b"".join(x[2] for x in left[lo:hi]), kinds), hi - lo))
+    return known, parts
+
+
+def _runs(strings, splitters: list[bytes], need: int, most: int):
+    """strings: from a batch, (string, kind, id) one after the other. Rows with dest -1 hold the ids that a run decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[bytes, bytes]] = []
+        rows: list[tuple[bytes, int, bytes]] = []
 
         def flush() -> pa.RecordBatch:
-            got = list(cut(rows))
+            known, parts = cut_run(rows, splitters, need)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["dest", "blob"])
+            parts += [(-1, known, 0)] if known else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.int32()))], ["dest", "blob", "n"])
 
         for batch in batches:
-            ids = np.column_stack([np.array(batch.column("h"), dtype="<i8"), np.array(batch.column("c"), dtype="<i8")])
-            rows += [(s, i.tobytes()) for s, i in zip(batch.column("s").to_pylist(), ids)]
-            if len(rows) >= RUN:
-                yield flush()
+            for row in strings(batch):
+                rows.append(row)
+                if len(rows) >= most:
+                    yield flush()
         if rows:
             yield flush()
 
     return run
 
 
+def _contexts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, bytes]]:
+    """The anchor's K bytes, SIDE bytes after, SIDE bytes before (backwards), padded where the text ends."""
+    pad = bytes([_PAD])
+    for rid, z, refs in zip(batch.column("rid").to_pylist(), batch.column("z").to_pylist(), batch.column("refs").to_pylist()):
+        t = zlib.decompress(z)
+        for r in refs:
+            p = r["p"]
+            right, left = t[p : p + WINDOW], t[max(0, p - SIDE) : p][::-1]
+            s = right + pad * (WINDOW - len(right)) + left + pad * (SIDE - len(left))
+            yield s, OWN, np.array((rid, p, r["e1"], r["e2"]), dtype=_ID).tobytes()
+
+
+def _windows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, bytes]]:
+    """The windows of a context: the anchor's string, what is after and before it (backwards), and how much is before. A null rid: of known result."""
+    for rid, p, e1, e2, s in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
+        for e in range(e1, e2 + 1):
+            n = p - e  # bytes before the anchor
+            yield s[: WINDOW - n] + s[WINDOW : WINDOW + n] + bytes([n]), KNOWN if rid is None else OWN, np.array((rid or 0, p, e, e), dtype=_ID).tobytes()
+
+
+def repeated(strings: list[bytes], share: list[int]) -> list[list[tuple[int, int]]]:
+    """For sorted contexts of one anchor string (share: the prefix in common with the one before): (least, most) bytes before the anchor of repeated windows."""
+    n = len(strings)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+
+    def pair(i: int, j: int, right: int) -> None:
+        left = _mismatch(strings[i][WINDOW:], strings[j][WINDOW:], 0)
+        if left + right >= SIDE:
+            out[i].append((SIDE - right, left))
+            out[j].append((SIDE - right, left))
+
+    if n == 2:
+        pair(0, 1, min(share[1], WINDOW) - K)
+        return out
+    part: list[list[tuple[bytes, int]]] = [[(s[WINDOW:], i)] for i, s in enumerate(strings)]
+    up = list(range(n))
+    for k in sorted(range(1, n), key=lambda k: -min(share[k], WINDOW)):
+        right = min(share[k], WINDOW) - K
+        a, b = k - 1, k
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if len(part[a]) < len(part[b]):
+            a, b = b, a
+        large = part[a]
+        for x in part[b]:
+            at = bisect.bisect_left(large, x)
+            if at:
+                pair(large[at - 1][1], x[1], right)
+            if at < len(large):
+                pair(large[at][1], x[1], right)
+            large.insert(at, x)
+        part[b], up[b] = [], a
+    return out
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    keys, best, last = [], [], -1
-    for _, share, own, key in LoserTree([decode(b) for b in table.column("blob").to_pylist()]):
-        if last >= 0:
-            best[last] = max(best[last], share)
-        last = -1
-        if own:
-            last = len(keys)
-            keys.append(key)
-            best.append(share)
-    ids = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-    return pa.table({"h": pa.array(ids[:, 0]), "c": pa.array(ids[:, 1]), "best": pa.array(best, pa.int64())})
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of a context that may be in another: hash, and for contexts that occur once, text and start."""
-    inverse, power = powers(_INV, _FULL), powers(BASE, SIDE + 1)
+    """Repeated runs of windows (s null), and of cut groups the contexts whose windows are to be sorted."""
+    out: list[tuple] = []
+    group: list[tuple[bytes, int, int, bytes]] = []
+
+    def decide() -> None:
+        if len(group) > 1:
+            spans = repeated([g[0] for g in group], [g[1] for g in group])
+            cut = any(g[2] == BEYOND for g in group)
+            for i, (s, share, kind, key) in enumerate(group):
+                if kind == BEYOND:
+                    continue
+                rid, p, e1, e2 = np.frombuffer(key, dtype=_ID)[0].tolist() if kind == OWN else (None, SIDE, 0, SIDE)
+                if kind == OWN:
+                    out.extend((rid, p, max(e1, p - b), min(e2, p - a), None) for a, b in spans[i] if max(e1, p - b) <= min(e2, p - a))
+                if cut:  # what is shared with either neighbour bounds what any other shares to the right
+                    most = max(share if i else 0, group[i + 1][1] if i + 1 < len(group) else 0)
+                    e2 = min(e2, p - (SIDE - (min(most, WINDOW) - K)))
+                    if e1 <= e2:
+                        out.append((rid, p, e1, e2, s))
+        group.clear()
+
+    for s, share, kind, key in LoserTree([decode(b) for b in table.column("blob").to_pylist()]):
+        if share < K:
+            decide()
+        if share == len(s) and group and s == group[-1][0]:
+            # Equal in all bytes: both have every window repeated; one stands for them.
+            for k in (group[-1][2:], (kind, key)):
+                if k[0] == OWN:
+                    rid, p, e1, e2 = np.frombuffer(k[1], dtype=_ID)[0].tolist()
+                    out.append((rid, p, e1, e2, None))
+            group[-1] = (s, group[-1][1], KNOWN if BEYOND not in (kind, group[-1][2]) else BEYOND, key)
+        else:
+            group.append((s, share, kind, key))
+    decide()
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table({c: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(zip(_NAMES, kinds))})
+
+
+def _equal(table: pa.Table) -> pa.Table:
+    """The ids of merged strings that equal a neighbour."""
+    out, last = [], None
+    for s, share, kind, key in LoserTree([decode(b) for b in table.column("blob").to_pylist()]):
+        same = last is not None and share == len(s)
+        if same:
+            out += [k for x, k in (last, (kind, key)) if x == OWN]
+        last = (KNOWN if same else kind, key)
+    return _spans(b"".join(out))
+
+
+def _spans(ids: bytes) -> pa.Table:
+    rows = np.frombuffer(ids, dtype=_ID)
+    return pa.table({k: pa.array(np.ascontiguousarray(rows[k])) for k in ("rid", "e1", "e2")})
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            n = part.num_rows
-            grid = np.frombuffer(b"".join(part.column("s").to_pylist()), dtype=np.uint8).reshape(n, _FULL)
-            grid = np.concatenate([grid[:, WINDOW:][:, ::-1], grid[:, :WINDOW]], axis=1)
-            scan = np.zeros((n, _FULL + 1), dtype=np.uint64)
-            np.cumsum(TABLE[grid] * inverse, axis=1, out=scan[:, 1:])
-            w = mix((scan[:, WINDOW:] - scan[:, : SIDE + 1]) * power)  # by start, SIDE - offset
-            h, m, rid, p, lo, hi, best = (np.array(part.column(k), dtype=np.int64) for k in ("h", "m", "rid", "p", "lo", "hi", "best"))
-            offset = SIDE - np.arange(SIDE + 1)
-            right = np.minimum(SIDE, np.maximum(best - K, -1))  # bytes after the anchor's string that some other context shares
-            ok = (offset >= lo[:, None]) & (offset <= hi[:, None]) & (SIDE - offset <= right[:, None])
-            i, j = np.nonzero(ok)
-            start = np.where(m[i] == 1, p[i] - offset[j], -1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(w[i, j].view(np.int64)), pa.array(rid[i]), pa.array(start.astype(np.int32))], ["h", "w", "rid", "start"])
+        for blob in batch.column("blob").to_pylist():
+            yield from _spans(blob).to_batches()
+
+
+def _coded(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, bytes]]:
+    """The strings of front-coded parts."""
+    for blob in batch.column("blob").to_pylist():
+        for s, _, kind, key in decode(blob):
+            yield s, kind, key
+
+
+def _sampled(strings, one_in: float):
+    """A share of the strings, at equal distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = one_in / 2
+            got = []
+            for s, *_ in strings(batch):
+                step += 1
+                if step >= one_in:
+                    step -= one_in
+                    got.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["s"])
+
+    return run
+
+
+def _splitters(sample: list[bytes], parts: int) -> list[bytes]:
+    """Strings that cut the sorted order into about equal parts, as short as they can be: of the places between sampled strings."""
+    out, got = [], sorted(set(sample))
+    for i in sorted({len(got) * i // parts for i in range(1, parts)} - {0}):
+        k = next((k for k, (x, y) in enumerate(zip(got[i - 1], got[i])) if x != y), 0)
+        out.append(got[i][: k + 1])
+    return out
+
+
+@dataclass(frozen=True)
+class _Sort:
+    """A merge sort of strings. merge: a merged range's result, of the given schema; picked and share: rows that hold the given share of all strings, to sample from."""
+
+    scratch: Scratch
+    p: SortParams
+    need: int
+    merge: Callable[[pa.Table], pa.Table]
+    schema: str
+
+    def run(self, source: DataFrame, strings, n: int, picked: DataFrame | None = None, share: float = 1.0) -> tuple[list[DataFrame], list[DataFrame]]:
+        """What runs decide (blobs of ids), and the results of the ranges, each in parts to be put together; n: strings of source."""
+        parts = min(self.p.most, -(-n // self.p.range))
+        sample = (source if picked is None else picked).mapInArrow(_sampled(strings, max(1.0, n * share / (self.p.sample * parts))), "s binary").collect() if parts > 1 else []
+        splitters = _splitters([bytes(r["s"]) for r in sample], parts)
+        made = source.mapInArrow(_runs(strings, splitters, self.need, self.p.run), "dest int, blob binary, n int")
+        runs = self.scratch.save(made, "runs", "dest" if parts == self.p.most else None)
+        size = {r["dest"]: r["n"] for r in runs.where("dest >= 0").groupBy("dest").agg(F.sum("n").alias("n")).collect()}
+        # Strings that are equal can't be cut apart: a range that holds nearly all of what was cut is merged as it is.
+        large = [d for d, k in size.items() if len(size) > 1 and k > 8 * self.p.range]
+        known, merge = [runs.where("dest < 0").select("blob")], self.merge
+        ranges = runs.where((F.col("dest") >= 0) & ~F.col("dest").isin(large)) if large else runs.where("dest >= 0")
+        out = [self.scratch.save(ranges.select("dest", "blob").groupBy("dest").applyInArrow(lambda table: merge(table), self.schema), "merged")]
+        for d in large:
+            more = self.run(runs.where(F.col("dest") == d), _coded, size[d])
+            known, out = known + more[0], out + more[1]
+        return known, out
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def _cut(texts: bool):
@@ -243,44 +417,42 @@ def _cut(texts: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch | None = None, params: SortParams = SortParams()) -> DataFrame:
     """(rid, e1, e2): runs of first places of repeated windows, for texts that have any; rid is xxhash64(doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession)
+    one = F.count_if(F.lit(True))
     rows = docs.where("octet_length(text) > 0").select(F.xxhash64("doc_id", "text").alias("rid"), "text")
-    found = scratch.save(rows.mapInArrow(_anchor_rows, "h long, c long, rid long, p int, e1 int, e2 int"), "anchors")
-    again = scratch.save(found.groupBy("h").agg(F.count_if(F.lit(True)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "again")  # saved, so that the adaptive skew join may split a hot string
-    kept = scratch.save(found.join(again, "h"), "kept")
-    scratch.drop(found)
-    same = scratch.save(kept.groupBy("h", "c").agg(F.count_if(F.lit(True)).alias("m"), F.max("mixed").alias("mixed"), F.min(F.struct("rid", "p", "e1", "e2")).alias("r")), "contexts")
-    whole = kept.join(same.where("m > 1").select("h", "c"), ["h", "c"]).select("rid", "e1", "e2")
-    refs = same.where("mixed").select("r.rid", F.struct("h", "c", "m", "r.p", "r.e1", "r.e2").alias("ref")).groupBy("rid").agg(F.collect_list("ref").alias("refs"))
-    packed = rows.mapInArrow(_packed, "rid long, z binary")
-    text = packed.join(refs, "rid").dropDuplicates(["rid"])
-    strings = scratch.save(text.mapInArrow(_contexts, "h long, c long, m long, rid long, p long, lo long, hi long, s binary"), "strings")
-    n = strings.count()
-    parts = max(1, min(2000, -(-n // RANGE), n))
-    sample = sorted(bytes(r["s"]) for r in strings.where(F.pmod(F.xxhash64("c", "h"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, 8 * parts / max(1, n)))).select("s").limit(32 * parts).collect()) if parts > 1 else []
-    splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    runs = strings.select("h", "c", "s").mapInArrow(_runs(splitters), "dest int, blob binary")
-    merged = scratch.save(runs.groupBy("dest").applyInArrow(lambda table: _merge(table), "h long, c long, best long"), "merged")
-    asked = scratch.save(strings.join(merged.where(F.col("best") >= K), ["h", "c"]).mapInArrow(_windows, "h long, w long, rid long, start int"), "windows")
-    scratch.drop(strings)
-    twice = asked.groupBy("h", "w").agg(F.count_if(F.lit(True)).alias("n"), F.max("start").alias("any")).where("n > 1 and any >= 0").select("h", "w")
-    single = asked.where("start >= 0").join(twice, ["h", "w"]).select("rid", F.col("start").alias("e1"), F.col("start").alias("e2"))
-    return whole.union(single)
-
-
-def remove_repeats(docs: DataFrame, texts: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    found = scratch.save(rows.mapInArrow(_anchor_rows, "h long, rid long, p int, e1 int, e2 int"), "anchors")
+    again = scratch.save(found.groupBy("h").agg(one.alias("n")).where("n > 1").select("h"), "again")  # saved, so that the adaptive skew join may split a hot string
+    refs = found.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("p", "e1", "e2")).alias("refs"))
+    text = scratch.save(rows.mapInArrow(_packed, "rid long, z binary").join(refs, "rid").dropDuplicates(["rid"]), "texts")
+    scratch.drop(found, again)
+    n = text.agg(F.sum(F.size("refs")).alias("n")).first()["n"] or 0
+    # A sample for the splitters comes from as many texts as hold about 16 times its size.
+    share = min(1.0, 16 * params.sample / params.range)
+    picked = text.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(1_000_000)) < 1_000_000 * share)
+    known, merged = _Sort(scratch, params, K, _merge, _FOUND).run(text, _contexts, n, picked, share)
+    ids, found = "rid long, e1 int, e2 int", scratch.save(_all(merged), "found") if len(merged) > 1 else merged[0]
+    out = [_all(known).mapInArrow(_decided, ids), found.where("s is null").select("rid", "e1", "e2")]
+    asked = found.where("s is not null")
+    m = asked.agg(F.sum(F.col("e2") - F.col("e1") + 1).alias("n")).first()["n"] or 0
+    if m:
+        known, merged = _Sort(scratch, params, WINDOW + 1, _equal, ids).run(asked, _windows, m)
+        out += [_all(known).mapInArrow(_decided, ids), *merged]
+    return _all(out)
+
+
+def remove_repeats(docs: DataFrame, texts: bool = False, scratch: Scratch | None = None, params: SortParams = SortParams()) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts=True also kept (the remaining bytes).
 
     docs needs doc_id and text; other columns are not read. A null or empty text has 0 bytes
     and nothing removed. Rows that repeat count as places of their own, so long texts of
-    repeated rows go whole; a null doc_id is a row like others. Texts shorter than WINDOW
+    repeated rows go whole; a null doc_id is a row like others; an empty table gives none. Texts shorter than WINDOW
     bytes keep all. Removal works on bytes and may cut a character: kept is binary.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    spans = repeated_spans(rows, scratch).groupBy("rid").agg(F.collect_list(F.struct("e1", "e2")).alias("spans"))
+    spans = repeated_spans(rows, scratch, params).groupBy("rid").agg(F.collect_list(F.struct("e1", "e2")).alias("spans"))
     packed = rows.where("octet_length(text) > 0").select(F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(_packed, "rid long, z binary")
     cut = packed.join(spans, "rid").dropDuplicates(["rid"]).mapInArrow(_cut(texts), "rid long, removed long, spans long, sha string, kept binary")
     if not texts:

@@ -78,17 +78,6 @@ def test_repeats(docs, rows):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
-def test_loser_tree_and_front_coding():
-    rng = np.random.default_rng(0)
-    items = sorted({bytes(rng.integers(97, 99, 12, dtype=np.uint8)) for _ in range(400)})
-    runs = [sorted(items[i::5]) for i in range(5)]
-    coded = [suffix_dedup.front_code(r, b"".join(s.ljust(16) for s in r), [True] * len(r)) for r in runs]
-    out = list(suffix_dedup.LoserTree([suffix_dedup.decode(c) for c in coded]))
-    assert [s for s, *_ in out] == items
-    shared = lambda a, b: next((i for i in range(12) if a[i] != b[i]), 12)
-    assert [k for _, k, *_ in out][1:] == [shared(a, b) for a, b in zip(items, items[1:])]
-
-
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
