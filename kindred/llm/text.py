@@ -77,8 +77,15 @@ class Words:
         self.count = np.diff(self.first)
         scan = np.zeros(len(self.buf) + 1, dtype=np.uint64)
         np.cumsum(LOWER_TABLE[self.buf] * powers(_INV, len(self.buf)), out=scan[1:])
+        self.scan = scan
         self.hash = mix((scan[self.end] - scan[self.start]) * powers(BASE, len(self.buf))[self.start])
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more than n bytes, and hashes of their first n, unlike those of words of n."""
+        long = np.flatnonzero(self.end - self.start > n)
+        at = self.start[long]
+        return long, mix((self.scan[at + n] - self.scan[at]) * powers(BASE, len(self.buf))[at] + U(n * 0xD6E8FEB86659FD93 % (1 << 64)))
+
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n-word shingles in order, and the bounds of each text's share. A text with fewer words has its whole sequence as one; without words none."""
         w, m = self.hash, len(self.hash)

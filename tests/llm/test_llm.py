@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kindred.llm import decontamination, embedding_dedup, html_text, language, mixing, near_dedup, pii, suffix_dedup, tokens, toxicity
+from kindred.llm import decontamination, embedding_dedup, html_text, language, mixing, near_dedup, pii, suffix_dedup, tokens
 from kindred.llm.text import shingle_set
 from test_pii import base
 
@@ -150,14 +150,6 @@ def test_language(docs):
     assert language.predict(docs, language.fit(empty(docs))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_toxicity(spark, data, docs):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = toxicity.score_toxicity(more, toxicity.fit(more, labels)).join(labels.withColumnRenamed("toxic", "label"), "doc_id").toPandas()
-    assert (got.toxic == (got.label == 1)).mean() > 0.97
-    assert toxicity.score_toxicity(docs, None).where("toxic").count() == 0
-
-
 def test_leaks(spark, data, docs, rows):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     plain = lambda s: " " + " ".join(re.findall(r"[^\W_]+", s.lower())) + " "
