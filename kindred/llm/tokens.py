@@ -5,10 +5,19 @@ classes of code points. Each transition says whether a piece begins at the chara
 at the one before, or at both. A batch of texts is cut into chunks; each chunk's map from
 every start state to its end state is computed for all chunks at once; the maps compose
 through a parallel prefix scan, which gives each chunk its start state; then the boundaries
-are read off. Counting: a lexicon transducer, one arc a piece, emits the piece's tokens.
-Merging is not finite-state for pieces of any length, so arcs of pieces not met before are
-compiled by running the merges of all new pieces together as array operations; arcs are
-kept in a table of bounded size.
+are read off.
+
+Counting: merging is finite-state too. The last token of what the merges make of each prefix
+of a piece follows from the bytes before, within the longest token's length: of the tokens
+that the prefix ends with, it is the one that the merges leave standing next to the last
+token of what is before it, and there is just one (two tokens stand side by side if no merge
+across their border comes before the merges that make them). So a transition reads a byte,
+moves to the last tokens of the latest prefixes, and its count is that of the prefix before
+its token and one. Tokens that end at a place come from a trie of the vocabulary; the
+transducer runs over all new pieces of a batch in step. Pieces longer than a chunk are cut,
+each chunk is run from some way ahead, and a chunk's map holds if it starts in the state that
+the chunk before ends in; else it is run again from there. Counts of pieces are kept by
+their bytes in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +26,7 @@ import json
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -34,8 +43,10 @@ END, LETTER, NUMBER, SPACE, BLANK, QUOTE, OTHER, STMD, R, V, LL, E = range(12)
 #: Bits of a transition's output: a piece begins at this character; one begins at the character before.
 HERE, BEFORE = 1, 2
 _CHUNK = 128
-#: Arcs of the lexicon that a worker keeps.
-ARCS = 1_000_000
+#: Pieces whose counts a worker keeps.
+KEPT = 1_000_000
+#: Bytes of a chunk of a long piece, and how far ahead of it it is run.
+PART, AHEAD = 4096, 1024
 _NONE = np.int64(1 << 40)
 
 
@@ -115,14 +126,58 @@ def outputs(kind: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Merges:
-    """byte_id: symbol of each byte; pair: left << 32 | right, sorted, with rank and made (the symbol made); special: strings that are one token each."""
+    """rank: of the merge that makes a token (-1: a byte); left and right: its parts; size in bytes; pair: left << 32 | right of all merges, sorted, and pair_rank; edge: node << 8 | byte of the vocabulary's trie, sorted, and where it leads; token: of a node, or -1; special: strings that are one token each."""
 
-    byte_id: np.ndarray
-    pair: np.ndarray
     rank: np.ndarray
-    made: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    size: np.ndarray
+    pair: np.ndarray
+    pair_rank: np.ndarray
+    edge: np.ndarray
+    child: np.ndarray
+    token: np.ndarray
     special: tuple[bytes, ...]
 
+    def stand(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether the merges leave tokens a and b side by side; before: a rank from which on merges don't count.
+
+        From the two tokens back to their bytes: of the two at the border, the one that was made
+        last is taken apart (of equal ranks the right one, as merges go from the left). A merge
+        of the two at the border must not come before that which made either part of more.
+        """
+        out = np.zeros(len(a), dtype=bool)
+        live, before = np.arange(len(a)), np.full(len(a), _NONE) if before is None else before
+        while len(live):
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            good = ~((self.pair[at] == key) & (self.pair_rank[at] < before))
+            live, a, b = live[good], a[good], b[good]
+            ra, rb = self.rank[a], self.rank[b]
+            more = (ra >= 0) | (rb >= 0)
+            out[live[~more]] = True
+            live, a, b, ra, rb = live[more], a[more], b[more], ra[more], rb[more]
+            first = ra > rb
+            a, b, before = np.where(first, self.right[a], a), np.where(first, b, self.left[b]), np.where(first, ra, rb + 1)
+        return out
+
+    def ends(self, buf: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens that begin at places of buf, up to a stop each: number of the place, bytes, token."""
+        who, how, what = [], [], []
+        live, node, n = np.arange(len(at)), np.zeros(len(at), dtype=np.int64), 0
+        while len(live):
+            key = node << 8 | buf[at[live] + n]
+            to = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            hit = self.edge[to] == key
+            live, node, n = live[hit], self.child[to[hit]], n + 1
+            t = self.token[node]
+            who.append(live[t >= 0])
+            how.append(np.full(len(who[-1]), n))
+            what.append(t[t >= 0])
+            go = at[live] + n < stop[live]
+            live, node = live[go], node[go]
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (who, how, what))
+
 
 def load(path: str) -> Merges:
     """The merges of a byte-level BPE file in the tokenizers library's format, read on the driver."""
@@ -138,47 +193,115 @@ def load(path: str) -> Merges:
         if b not in char:
             char[b] = chr(256 + more)
             more += 1
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-    pair = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
-    made, order = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64), np.argsort(pair)
-    return Merges(np.array([vocab[char[b]] for b in range(256)], dtype=np.int64), pair[order], order.astype(np.int64), made[order], tuple(t["content"].encode() for t in spec["added_tokens"]))
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+    return compiled([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], [vocab[char[b]] for b in range(256)], tuple(t["content"].encode() for t in spec["added_tokens"]))
+
 
+def compiled(merges: list[tuple[int, int, int]], bytes_: list[int], special: tuple[bytes, ...] = ()) -> Merges:
+    """From (left, right, made) in the order of ranks and the tokens of the 256 bytes."""
+    n = max(max(bytes_), max((m for *_, m in merges), default=0)) + 1
+    rank, left, right = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    text: dict[int, bytes] = {t: bytes([b]) for b, t in enumerate(bytes_)}
+    for r, (a, b, made) in enumerate(merges):
+        if made in text or a not in text or b not in text:
+            raise ValueError("each token must have one merge, after those of its parts")
+        rank[made], left[made], right[made], text[made] = r, a, b, text[a] + text[b]
+    made = np.array([m for *_, m in merges], dtype=np.int64)
+    key = left[made] << 32 | right[made]
+    order = np.argsort(key)
+    empty = np.empty(0, dtype=np.int64)
+    m = Merges(rank, left, right, np.array([len(text.get(t, b"")) for t in range(n)]), key[order], rank[made][order], empty, empty, empty, special) if len(made) else Merges(rank, left, right, np.ones(n, np.int64), np.array([-1]), np.array([_NONE]), empty, empty, empty, special)
+    # A token that the merges make of its own bytes; others (their parts merge otherwise) are in no result.
+    own = dict.fromkeys(bytes_, True)
+    for t, alone in zip(made.tolist(), m.stand(left[made], right[made], rank[made]).tolist() if len(made) else []):
+        own[t] = alone and own[int(left[t])] and own[int(right[t])]
+    edges: dict[int, int] = {}
+    token = [-1]
+    for t, ok in own.items():
+        node = 0
+        for b in text[t] if ok else b"":
+            to = edges.get(node << 8 | b)
+            if to is None:
+                to = edges[node << 8 | b] = len(token)
+                token.append(-1)
+            node = to
+        if ok:
+            token[node] = t
+    edge = np.array(sorted(edges), dtype=np.int64)
+    return replace(m, edge=edge, child=np.array([edges[k] for k in edge.tolist()], dtype=np.int64), token=np.array(token, dtype=np.int64))
 
-def merge_counts(m: Merges, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Tokens of each piece buf[start:end] after all merges: in each round every piece merges all places of its best pair."""
+
+def last_tokens(m: Merges, buf: np.ndarray, start: np.ndarray, end: np.ndarray, told: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pieces buf[start:end], the last token of every prefix end to end (a piece has size + 1 places, the first -1), its count, and where pieces begin.
+
+    told: for each piece the last tokens of its first prefixes, where the state is known; places that begin before the first of them have -2.
+    """
     size = end - start
+    base = np.concatenate([[0], np.cumsum(size + 1)])
+    piece = np.repeat(np.arange(len(start)), size)
+    off = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+    who, n, t = m.ends(buf, start[piece] + off, end[piece])
+    goal = off[who] + n
+    at = base[piece[who]] + off[who]
+    last, count = np.full(base[-1], -2, dtype=np.int64), np.zeros(base[-1], dtype=np.int64)
+    last[base[:-1]] = -1
+    for i, x in enumerate(told or []):
+        last[base[i] : base[i] + len(x)] = x
+        if len(x):
+            late = (piece[who] != i) | (goal >= len(x))
+            goal, at, n, t, who = goal[late], at[late], n[late], t[late], who[late]
+    order = np.argsort(goal, kind="stable")
+    at, n, t, goal = at[order], n[order], t[order], goal[order]
+    cut = np.flatnonzero(np.diff(goal, prepend=-1, append=-1))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        a, b = last[at[lo:hi]], t[lo:hi]
+        ok = a == -1
+        ask = np.flatnonzero(a >= 0)
+        ok[ask] = m.stand(a[ask], b[ask])
+        to = at[lo:hi][ok] + n[lo:hi][ok]
+        last[to], count[to] = b[ok], count[at[lo:hi][ok]] + 1
+    return last, count, base
+
+
+def piece_counts(m: Merges, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tokens of each piece buf[start:end]."""
     total = np.zeros(len(start), dtype=np.int64)
-    word = np.repeat(np.arange(len(start)), size)
-    sym = m.byte_id[buf[np.repeat(start, size) + (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size))]]
-    while len(sym):
-        rank, made = np.full(len(sym), _NONE), np.zeros(len(sym), dtype=np.int64)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        key = sym[inner] << 32 | sym[inner + 1]
-        at = np.minimum(np.searchsorted(m.pair, key), len(m.pair) - 1)
-        hit = m.pair[at] == key
-        rank[inner[hit]], made[inner[hit]] = m.rank[at[hit]], m.made[at[hit]]
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        length = np.diff(np.concatenate([first, [len(sym)]]))
-        best = np.minimum.reduceat(rank, first)
-        over = best == _NONE
-        total[word[first[over]]] = length[over]
-        best = np.repeat(best, length)
-        go = np.flatnonzero((rank == best) & (rank < _NONE))
-        # In a row of overlapping places (x x x) every other one merges, from the left.
-        new = np.concatenate([[True], np.diff(go) != 1]) if len(go) else np.empty(0, bool)
-        go = go[(np.arange(len(go)) - np.maximum.accumulate(np.where(new, np.arange(len(go)), 0))) % 2 == 0]
-        sym[go] = made[go]
-        stay = best < _NONE
-        stay[go + 1] = False
-        sym, word = sym[stay], word[stay]
+    short = np.flatnonzero(end - start <= PART)
+    if len(short):
+        _, count, base = last_tokens(m, buf, start[short], end[short])
+        total[short] = count[base[1:] - 1]
+    for i in np.flatnonzero(end - start > PART).tolist():
+        total[i] = _long_count(m, buf, int(start[i]), int(end[i]))
     return total
 
 
+def _long_count(m: Merges, buf: np.ndarray, start: int, end: int) -> int:
+    """Tokens of a long piece, by chunks run in step."""
+    reach = int(m.size.max())
+    first = np.arange(start, end, PART)
+    ahead, stop = np.maximum(first - max(AHEAD, 2 * reach), start), np.minimum(first + PART, end)
+    last, _, base = last_tokens(m, buf, ahead, stop)
+    true = np.full(end - start + 1, -2, dtype=np.int64)
+    for i, (f, a, s) in enumerate(zip(first.tolist(), ahead.tolist(), stop.tolist())):
+        got = last[base[i] : base[i + 1]]
+        known = slice(max(f - reach, start) - start, f - start + 1)
+        if i and not np.array_equal(got[known.start + start - a : f - a + 1], true[known]):
+            # The chunk began in another state: again, from the state that the one before ended in.
+            a = known.start + start
+            got, _, _ = last_tokens(m, buf, np.array([a]), np.array([s]), [true[known]])
+        true[f - start + (i > 0) : s - start + 1] = got[f - a + (i > 0) :]
+    n, at = 0, end - start
+    while at:
+        at -= int(m.size[true[at]])
+        n += 1
+    return n
+
+
 class Counter:
     """Token counts of lists of texts."""
 
     def __init__(self, merges: Merges):
-        self.m, self.arcs = merges, {}
+        self.m, self.kept = merges, {}
 
     def count(self, texts: list[bytes | None]) -> np.ndarray:
         owner, parts, extra = [], [], np.zeros(len(texts), dtype=np.int64)
@@ -212,18 +335,27 @@ class Counter:
         np.cumsum(TABLE[buf] * powers(_INV, len(buf)), out=scan[1:])
         h = mix((scan[end] - scan[start]) * powers(BASE, len(buf))[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
         each, kinds = pd.factorize(h)
-        keys = kinds.tolist()
-        known = np.fromiter((self.arcs.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        example = np.empty(len(kinds), dtype=np.int64)
+        example[each[::-1]] = np.arange(len(each))[::-1]
+        # Pieces of equal hashes have equal bytes, or count for themselves.
+        like = example[each]
+        size = end - start
+        alike = size == size[like]
+        flat = np.repeat(np.flatnonzero(alike), size[alike])
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(size[alike]) - size[alike], size[alike])
+        alike[flat[buf[start[flat] + step] != buf[start[like[flat]] + step]]] = False
+        keys = [joined[a:b] for a, b in zip(start[example].tolist(), end[example].tolist())]
+        known = np.fromiter((self.kept.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(known < 0)
         if len(new):
-            example = np.empty(len(keys), dtype=np.int64)
-            example[each[::-1]] = np.arange(len(each))[::-1]
-            at = example[new]
-            known[new] = merge_counts(self.m, buf, start[at], end[at])
-            if len(self.arcs) + len(new) > ARCS:
-                self.arcs.clear()
-            self.arcs.update(zip([keys[i] for i in new.tolist()], known[new].tolist()))
-        return np.bincount(where, weights=known[each], minlength=len(texts)).astype(np.int64) + extra
+            known[new] = piece_counts(self.m, buf, start[example[new]], end[example[new]])
+            if len(self.kept) + len(new) > KEPT:
+                self.kept.clear()
+            self.kept.update((keys[i], n) for i, n in zip(new.tolist(), known[new].tolist()) if len(keys[i]) <= 64)
+        tokens = known[each]
+        if not alike.all():
+            tokens[~alike] = piece_counts(self.m, buf, start[~alike], end[~alike])
+        return np.bincount(where, weights=tokens, minlength=len(texts)).astype(np.int64) + extra
 
 
 def _count(merges: Merges, limit: int):
