@@ -384,12 +384,13 @@ class _Sort:
         size = {r["dest"]: r["n"] for r in runs.where("dest >= 0").groupBy("dest").agg(F.sum("n").alias("n")).collect()}
         # Strings that are equal can't be cut apart: a range that holds nearly all of what was cut is merged as it is.
         large = [d for d, k in size.items() if len(size) > 1 and k > 8 * self.p.range]
-        known, merge = [runs.where("dest < 0").select("blob")], self.merge
+        known, merge = [self.scratch.save(runs.where("dest < 0").select("blob"), "known")], self.merge
         ranges = runs.where((F.col("dest") >= 0) & ~F.col("dest").isin(large)) if large else runs.where("dest >= 0")
         out = [self.scratch.save(ranges.select("dest", "blob").groupBy("dest").applyInArrow(lambda table: merge(table), self.schema), "merged")]
         for d in large:
             more = self.run(runs.where(F.col("dest") == d), _coded, size[d])
             known, out = known + more[0], out + more[1]
+        self.scratch.drop(runs)
         return known, out
 
 
@@ -417,16 +418,16 @@ def _cut(texts: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch | None = None, params: SortParams = SortParams()) -> DataFrame:
-    """(rid, e1, e2): runs of first places of repeated windows, for texts that have any; rid is xxhash64(doc_id, text)."""
-    scratch = scratch or Scratch(docs.sparkSession)
+def repeated_spans(docs: DataFrame, scratch: Scratch, params: SortParams = SortParams()) -> tuple[DataFrame, DataFrame]:
+    """(rid, e1, e2): runs of first places of repeated windows, for texts that have any, and (rid, z): those texts and some more, compressed; rid is xxhash64(doc_id, text)."""
     one = F.count_if(F.lit(True))
     rows = docs.where("octet_length(text) > 0").select(F.xxhash64("doc_id", "text").alias("rid"), "text")
     found = scratch.save(rows.mapInArrow(_anchor_rows, "h long, rid long, p int, e1 int, e2 int"), "anchors")
     again = scratch.save(found.groupBy("h").agg(one.alias("n")).where("n > 1").select("h"), "again")  # saved, so that the adaptive skew join may split a hot string
-    refs = found.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("p", "e1", "e2")).alias("refs"))
-    text = scratch.save(rows.mapInArrow(_packed, "rid long, z binary").join(refs, "rid").dropDuplicates(["rid"]), "texts")
+    refs = scratch.save(found.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("p", "e1", "e2")).alias("refs")), "refs")
     scratch.drop(found, again)
+    text = scratch.save(rows.mapInArrow(_packed, "rid long, z binary").join(refs, "rid").dropDuplicates(["rid"]), "texts")
+    scratch.drop(refs)
     n = text.agg(F.sum(F.size("refs")).alias("n")).first()["n"] or 0
     # A sample for the splitters comes from as many texts as hold about 16 times its size.
     share = min(1.0, 16 * params.sample / params.range)
@@ -439,7 +440,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch | None = None, params: Sort
     if m:
         known, merged = _Sort(scratch, params, WINDOW + 1, _equal, ids).run(asked, _windows, m)
         out += [_all(known).mapInArrow(_decided, ids), *merged]
-    return _all(out)
+    return _all(out), text.select("rid", "z")
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False, scratch: Scratch | None = None, params: SortParams = SortParams()) -> DataFrame:
@@ -447,14 +448,15 @@ def remove_repeats(docs: DataFrame, texts: bool = False, scratch: Scratch | None
 
     docs needs doc_id and text; other columns are not read. A null or empty text has 0 bytes
     and nothing removed. Rows that repeat count as places of their own, so long texts of
-    repeated rows go whole; a null doc_id is a row like others; an empty table gives none. Texts shorter than WINDOW
-    bytes keep all. Removal works on bytes and may cut a character: kept is binary.
+    repeated rows go whole; a null doc_id is a row like others. Texts shorter than WINDOW
+    bytes keep all. An empty table gives none. Removal works on bytes and may cut a
+    character: kept is binary.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    spans = repeated_spans(rows, scratch, params).groupBy("rid").agg(F.collect_list(F.struct("e1", "e2")).alias("spans"))
-    packed = rows.where("octet_length(text) > 0").select(F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(_packed, "rid long, z binary")
-    cut = packed.join(spans, "rid").dropDuplicates(["rid"]).mapInArrow(_cut(texts), "rid long, removed long, spans long, sha string, kept binary")
+    spans, packed = repeated_spans(rows, scratch, params)
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("e1", "e2")).alias("spans"))
+    cut = packed.join(spans, "rid").mapInArrow(_cut(texts), "rid long, removed long, spans long, sha string, kept binary")
     if not texts:
         cut = cut.drop("kept")
     text = F.coalesce("text", F.lit(""))
