@@ -4,25 +4,35 @@ table cells aligned in columns.
 A tokenizer feeds a stack of open elements that closes what HTML lets authors leave open
 (p, li, dt, dd, option, table parts) and ignores end tags that match nothing. Elements that
 a browser without scripts doesn't show (head, script, style, template, closed details,
-hidden attributes, display:none) give no text; nor do the options that a select does not
-show: the last one marked selected is shown, else the first that is not disabled, and all
-of a list box (multiple, or a size above 1).
+hidden attributes, display:none) give no text; nor does what is visibility:hidden, but
+children of it that are visible again do. Of a select's options only the shown one gives
+text: the last one marked selected, else the first that is not disabled, and all of a list
+box (multiple, or a size above 1).
+
+Text and elements that stand in a table but in no cell or caption are placed before it, as
+browsers do. Cells take as many columns and rows as they say (bounds of the standard: 1000
+and the rows there are); a column is as wide as its widest cell, in columns of a terminal
+(wide East Asian characters take two, combining ones none).
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]++|(?=>)|\Z))?|=)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|(?![\"'])([^\s>]++)))?")
 _SELECT = re.compile(r"</?select[\s/>]", re.I)
 _GAP = re.compile(r"[ \t\n\f\r]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "iframe", "noembed", "noframes", "xmp", "textarea", "title"}
 UNSEEN = {"head", "script", "style", "template", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "meta", "link"}
@@ -39,13 +49,10 @@ IMPLIED = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}),
-    "td": ({"td", "th", "caption"}, {"table", "tr"}),
-    "th": ({"td", "th", "caption"}, {"table", "tr"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+_GROUPS = {"thead", "tbody", "tfoot"}
+#: Where parts of tables may stand: what is open above the nearest of these ends.
+TABLE_PART = {"td": {"tr", *_GROUPS, "table"}, "th": {"tr", *_GROUPS, "table"}, "tr": {*_GROUPS, "table"}, "caption": {"table"}} | dict.fromkeys(("thead", "tbody", "tfoot", "colgroup"), {"table"})
 SCOPE = {"table", "td", "th", "caption", "html", "template", "button", "object"}
 
 
@@ -82,6 +89,17 @@ class Flow:
             self.gap = max(self.gap, 2 if space else 1)
 
 
+def _columns(s: str) -> int:
+    """Columns of a terminal that a string takes."""
+    return len(s) if s.isascii() else sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in s)
+
+
+def _number(s: str | None, other: int, most: int) -> int:
+    """The whole number that an attribute begins with, up to a bound."""
+    m = re.match(r"\s*([0-9]+)", s or "")
+    return min(int(m[1][:20]), most) if m else other
+
+
 def _shown(options: str) -> int:
     """The number of the option that a closed select shows; -1 if there is none."""
     first = last = -1
@@ -94,20 +112,23 @@ def _shown(options: str) -> int:
 
 class Page:
     def __init__(self):
-        self.flow, self.stack = Flow(), []  # stack: [tag, hidden, extra]
+        self.flow, self.stack = Flow(), []  # stack: (tag, hidden, extra, invisible before)
         self.hidden, self.pre = 0, 0
+        self.invisible = False
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements, by tag
         self.blocks = self.items = self.rows = 0
 
     def pop(self) -> None:
-        tag, unseen, extra = self.stack.pop()
+        tag, unseen, extra, self.invisible = self.stack.pop()
+        self.at[tag].pop()
         self.hidden -= unseen
-        if self.hidden:
+        if self.hidden or unseen:
             return
         if tag == "pre":
             self.pre -= 1
         if tag in ("td", "th") and extra:
             self.flow.end()
-            extra["cells"].append(self.flow.lines)
+            extra["cells"].append((self.flow.lines, *extra["span"]))
             self.flow = extra["outer"]
         elif tag == "tr" and extra:
             extra["rows"].append(extra["cells"])
@@ -125,43 +146,83 @@ class Page:
             if tag == "li":
                 self.flow.lead = ""
 
-    def _table(self, rows: list[list[list[str]]]) -> None:
-        width: list[int] = []
+    def _table(self, rows: list[list[tuple[list[str], int, int]]]) -> None:
+        """Cells (lines, columns, rows) on a grid; cells of one column make the widths, wider ones stretch their last column."""
+        self.flow.block(False)
+        grid: list[list[tuple[int, list[str]]]] = []
+        busy: list[tuple[int, int, int]] = []  # (from, to, rows left) of cells from above, by place
+        width: dict[int, int] = {}
+        wide: list[tuple[int, int, int]] = []
         for cells in rows:
-            for i, lines in enumerate(cells):
-                w = max(map(len, lines), default=0)
-                if i < len(width):
-                    width[i] = max(width[i], w)
+            at, line, more, b = 0, [], [], 0
+            for lines, columns, deep in cells:
+                while b < len(busy) and busy[b][0] <= at:
+                    at, b = max(at, busy[b][1]), b + 1
+                line.append((at, lines))
+                need = max(map(_columns, lines), default=0)
+                if columns == 1:
+                    width[at] = max(width.get(at, 0), need)
                 else:
-                    width.append(w)
-        for cells in rows:
-            for k in range(max(map(len, cells), default=0)):
-                self.flow.line = ["  ".join((lines[k] if k < len(lines) else "").ljust(width[i]) for i, lines in enumerate(cells))]
+                    wide.append((at, at + columns, need))
+                if deep > 1:
+                    more.append((at, at + columns, deep))
+                at += columns
+            busy = sorted((x, y, n - 1) for x, y, n in busy + more if n > 1)
+            grid.append(line)
+        for at, stop, need in wide:
+            if not any(c in width for c in (at, stop - 1)):
+                width[at] = 0
+        known = sorted(width)
+        for at, stop, need in wide:
+            own = known[bisect_left(known, at) : bisect_left(known, stop)]
+            if own:
+                width[own[-1]] += max(0, need - sum(width[c] + 2 for c in own) + 2)
+        begin, x = [], 0
+        for c in known:
+            begin.append(x)
+            x += width[c] + 2
+        for line in grid:
+            for k in range(max((len(lines) for _, lines in line), default=0)):
+                text, done = [], 0
+                for at, lines in line:
+                    if k < len(lines) and lines[k]:
+                        c = bisect_right(known, at) - 1
+                        x = max(begin[c] if c >= 0 else 0, done + 2 if done else 0)
+                        text.append(" " * (x - done) + lines[k])
+                        done = x + _columns(lines[k])
+                self.flow.line = ["".join(text)]
                 self.flow.end(keep=True)
                 self.flow.gap = 1
 
-    def close(self, tags: set[str], stop: set[str]) -> None:
-        """End open elements down to the outermost of `tags` above the first of `stop`."""
-        at = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in stop:
-                break
-            if self.stack[i][0] in tags:
-                at = i
-        while at is not None and len(self.stack) > at:
+    def down_to(self, size: int) -> None:
+        while len(self.stack) > size:
             self.pop()
 
+    def last(self, tags: set[str] | tuple[str, ...]) -> int:
+        """The place of the innermost open element of some tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
+    def close(self, tags: set[str], stop: set[str]) -> None:
+        """End open elements down to the outermost of `tags` above the innermost of `stop`."""
+        floor = self.last(stop)
+        above = [self.at[t][i] for t in tags if (i := bisect_right(self.at[t], floor)) < len(self.at[t])]
+        if above:
+            self.down_to(min(above))
+
     def open(self, tag: str, attrs: str, rest: str = "") -> None:
         if tag in CLOSES_P:
             self.close({"p"}, SCOPE)
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
+        if tag in TABLE_PART and self.at["table"]:
+            self.down_to(self.last(TABLE_PART[tag]) + 1)
         got = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip(" /\n\t") else {}
         inside = self.stack[-1][0] if self.stack else ""
-        drawn = tag in UNSEEN_DRAWN and any(e[0] in ("svg", "math") for e in self.stack)
-        unseen = int(tag in UNSEEN or drawn or "hidden" in got or bool(_HIDDEN.search(got.get("style", ""))) or (tag == "dialog" and "open" not in got) or (inside == "details" and tag != "summary" and self.stack[-1][2] == "shut"))
+        drawn = tag in UNSEEN_DRAWN and bool(self.at["svg"] or self.at["math"])
+        style = got.get("style", "")
+        unseen = int(tag in UNSEEN or drawn or "hidden" in got or bool(_NONE.search(style)) or (tag == "dialog" and "open" not in got) or (inside == "details" and tag != "summary" and self.stack[-1][2] == "shut"))
         if tag in VOID:
-            if not self.hidden and not unseen:
+            if not self.hidden and not unseen and not self.invisible:
                 if tag == "br":
                     self.flow.end(keep=True)
                 elif tag == "hr":
@@ -169,7 +230,7 @@ class Page:
             return
         if drawn and attrs.rstrip().endswith("/"):
             return
-        box = next((e[2] for e in reversed(self.stack) if e[0] == "select"), None) if tag in ("option", "optgroup") else None
+        box = self.stack[self.at["select"][-1]][2] if tag in ("option", "optgroup") and self.at["select"] else None
         extra = None
         if tag == "option" and box:
             unseen |= box["shown"] not in (None, box["n"])
@@ -177,28 +238,29 @@ class Page:
         if box and box["shown"] is not None:
             extra = "inline"
         if tag == "select":
-            extra = {"shown": None if "multiple" in got or (got.get("size", "").isdigit() and int(got["size"]) > 1) else _shown(rest), "n": 0}
+            extra = {"shown": None if "multiple" in got or (got.get("size", "").isdigit() and _number(got["size"], 1, 1000) > 1) else _shown(rest), "n": 0}
         if not self.hidden and not unseen:
             if tag == "table":
                 self.flow.block(True)
                 extra = {"flow": self.flow, "rows": []}
             elif tag in ("tr", "td", "th"):
-                table = next((e for e in reversed(self.stack) if e[0] == "table"), None)
+                table = self.stack[self.at["table"][-1]] if self.at["table"] else None
                 if tag == "tr" and table and table[2]:
                     extra = {"rows": table[2]["rows"], "cells": []}
                 elif tag != "tr" and table and table[2]:
                     if inside != "tr":
                         self.open("tr", "")
-                    extra = {"cells": self.stack[-1][2]["cells"] if self.stack[-1][2] else [], "outer": self.flow}
+                    extra = {"cells": self.stack[-1][2]["cells"] if self.stack[-1][2] else [], "outer": self.flow, "span": (_number(got.get("colspan"), 1, 1000) or 1, _number(got.get("rowspan"), 1, 65_534) or 65_534)}
                     self.flow = Flow()
             if tag in BLOCK and not extra:
                 self.flow.block(tag in SPACED)
                 self.blocks += 1
             if tag in ("ul", "ol", "menu", "dir", "blockquote", "dd"):
                 self.flow.indent += 3 if tag == "ol" else 2
-                extra = {"n": int(got["start"]) if got.get("start", "").isdigit() else 1} if tag == "ol" else extra
+                extra = {"n": _number(got.get("start"), 1, 10**9)} if tag == "ol" else extra
             elif tag == "li":
-                box = next((e for e in reversed(self.stack) if e[0] in ("ul", "ol", "menu", "dir")), None)
+                at = self.last(("ul", "ol", "menu", "dir"))
+                box = self.stack[at] if at >= 0 else None
                 self.flow.lead = "- "
                 if box and box[0] == "ol" and box[2]:
                     self.flow.lead = f"{box[2]['n']}. "
@@ -208,29 +270,27 @@ class Page:
                 self.pre += 1
             elif tag == "details":
                 extra = None if "open" in got else "shut"
-        self.stack.append((tag, unseen, extra))
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, unseen, extra, self.invisible))
         self.hidden += unseen
+        if seen := _VISIBILITY.search(style):
+            self.invisible = seen[1].lower() != "visible"
 
     def shut(self, tag: str) -> None:
         if tag == "br":
             self.open("br", "")
-        elif any(e[0] == tag for e in self.stack):
-            stop = {"table"} if tag not in ("table", "body", "html") else set()
-            self.close({tag}, stop) if tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "table", "body", "html") else self._nearest(tag)
-
-    def _nearest(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if self.stack[i][0] in ("td", "th", "table") and tag != self.stack[i][0]:
-                return
+        elif self.at[tag]:
+            here = self.at[tag][-1]
+            table = tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption")
+            # What stands in a cell ends nothing outside it, and a part of a table nothing of the table around.
+            wall = -1 if tag in ("table", "body", "html") else self.last(("table",) if table else ("td", "th", "caption", "table"))
+            if here > wall:
+                self.down_to(here)
 
     def text(self, s: str) -> None:
-        if not s or self.hidden or (self.stack and (self.stack[-1][2] == "shut" or self.stack[-1][0] in ("select", "optgroup"))):
+        if not s or self.hidden or self.invisible or (self.stack and (self.stack[-1][2] == "shut" or self.stack[-1][0] in ("select", "optgroup"))):
             return
-        if self.stack and self.stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot") and self.stack[-1][2] and not s.strip():
+        if self.stack and self.stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot", "colgroup") and not s.strip():
             return
         s = unescape(s) if "&" in s else s
         if self.pre:
