@@ -191,7 +191,7 @@ def cut_run(rows: list[tuple[bytes, int, bytes]], splitters: list[bytes], need:
 
 
 def _runs(strings, splitters: list[bytes], need: int, most: int):
-    """strings: from a batch, (string, kind, id) one after the other. Rows with dest -1 hold the ids that a run decides."""
+    """strings: from a batch, (string, kind, id) one after the other. Rows with a negative dest, one of many, hold the ids that a run decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, int, bytes]] = []
@@ -199,7 +199,7 @@ def _runs(strings, splitters: list[bytes], need: int, most: int):
         def flush() -> pa.RecordBatch:
             known, parts = cut_run(rows, splitters, need)
             rows.clear()
-            parts += [(-1, known, 0)] if known else []
+            parts += [(-1 - zlib.crc32(known) % 997, known, 0)] if known else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.int32()))], ["dest", "blob", "n"])
 
         for batch in batches:
@@ -274,6 +274,8 @@ def _merge(table: pa.Table) -> pa.Table:
     """Repeated runs of windows (s null), and of cut groups the contexts whose windows are to be sorted."""
     out: list[tuple] = []
     group: list[tuple[bytes, int, int, bytes]] = []
+    if (known := _known(table)) is not None:
+        return pa.table({c: pa.array(np.ascontiguousarray(known[c])) for c in _NAMES[:4]} | {"s": pa.nulls(len(known), pa.binary())})
 
     def decide() -> None:
         if len(group) > 1:
@@ -312,6 +314,8 @@ def _merge(table: pa.Table) -> pa.Table:
 def _equal(table: pa.Table) -> pa.Table:
     """The ids of merged strings that equal a neighbour."""
     out, last = [], None
+    if (known := _known(table)) is not None:
+        return _spans(known.tobytes())
     for s, share, kind, key in LoserTree([decode(b) for b in table.column("blob").to_pylist()]):
         same = last is not None and share == len(s)
         if same:
@@ -325,10 +329,9 @@ def _spans(ids: bytes) -> pa.Table:
     return pa.table({k: pa.array(np.ascontiguousarray(rows[k])) for k in ("rid", "e1", "e2")})
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            yield from _spans(blob).to_batches()
+def _known(table: pa.Table) -> np.ndarray | None:
+    """The ids that runs decided, if that is what the table holds."""
+    return np.frombuffer(b"".join(table.column("blob").to_pylist()), dtype=_ID) if table.column("dest")[0].as_py() < 0 else None
 
 
 def _coded(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, bytes]]:
@@ -374,24 +377,25 @@ class _Sort:
     merge: Callable[[pa.Table], pa.Table]
     schema: str
 
-    def run(self, source: DataFrame, strings, n: int, picked: DataFrame | None = None, share: float = 1.0) -> tuple[list[DataFrame], list[DataFrame]]:
-        """What runs decide (blobs of ids), and the results of the ranges, each in parts to be put together; n: strings of source."""
+    def run(self, source: DataFrame, strings, n: int, picked: DataFrame | None = None, share: float = 1.0) -> list[DataFrame]:
+        """The results of the ranges and what runs decide, in parts to be put together; n: strings of source."""
         parts = min(self.p.most, -(-n // self.p.range))
         sample = (source if picked is None else picked).mapInArrow(_sampled(strings, max(1.0, n * share / (self.p.sample * parts))), "s binary").collect() if parts > 1 else []
-        splitters = _splitters([bytes(r["s"]) for r in sample], parts)
-        made = source.mapInArrow(_runs(strings, splitters, self.need, self.p.run), "dest int, blob binary, n int")
-        runs = self.scratch.save(made, "runs", "dest" if parts == self.p.most else None)
+        splitters, merge = _splitters([bytes(r["s"]) for r in sample], parts), self.merge
+        runs = source.mapInArrow(_runs(strings, splitters, self.need, self.p.run), "dest int, blob binary, n int")
+        merged = lambda df: self.scratch.save(df.select("dest", "blob").groupBy("dest").applyInArrow(lambda table: merge(table), self.schema), "merged")
+        if parts < self.p.most:
+            return [merged(runs)]
+        # As many ranges as one exchange has: those that hold far more strings than a range should are cut again.
+        runs = self.scratch.save(runs, "runs", "dest")
         size = {r["dest"]: r["n"] for r in runs.where("dest >= 0").groupBy("dest").agg(F.sum("n").alias("n")).collect()}
-        # Strings that are equal can't be cut apart: a range that holds nearly all of what was cut is merged as it is.
+        # Strings that are equal can't be cut apart: a range that holds all there is is merged as it is.
         large = [d for d, k in size.items() if len(size) > 1 and k > 8 * self.p.range]
-        known, merge = [self.scratch.save(runs.where("dest < 0").select("blob"), "known")], self.merge
-        ranges = runs.where((F.col("dest") >= 0) & ~F.col("dest").isin(large)) if large else runs.where("dest >= 0")
-        out = [self.scratch.save(ranges.select("dest", "blob").groupBy("dest").applyInArrow(lambda table: merge(table), self.schema), "merged")]
+        out = [merged(runs.where(~F.col("dest").isin(large)) if large else runs)]
         for d in large:
-            more = self.run(runs.where(F.col("dest") == d), _coded, size[d])
-            known, out = known + more[0], out + more[1]
+            out += self.run(runs.where(F.col("dest") == d), _coded, size[d])
         self.scratch.drop(runs)
-        return known, out
+        return out
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -432,14 +436,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, params: SortParams = SortP
     # A sample for the splitters comes from as many texts as hold about 16 times its size.
     share = min(1.0, 16 * params.sample / params.range)
     picked = text.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(1_000_000)) < 1_000_000 * share)
-    known, merged = _Sort(scratch, params, K, _merge, _FOUND).run(text, _contexts, n, picked, share)
-    ids, found = "rid long, e1 int, e2 int", scratch.save(_all(merged), "found") if len(merged) > 1 else merged[0]
-    out = [_all(known).mapInArrow(_decided, ids), found.where("s is null").select("rid", "e1", "e2")]
-    asked = found.where("s is not null")
+    found = _Sort(scratch, params, K, _merge, _FOUND).run(text, _contexts, n, picked, share)
+    found = scratch.save(_all(found), "found") if len(found) > 1 else found[0]
+    out, asked = [found.where("s is null").select("rid", "e1", "e2")], found.where("s is not null")
     m = asked.agg(F.sum(F.col("e2") - F.col("e1") + 1).alias("n")).first()["n"] or 0
     if m:
-        known, merged = _Sort(scratch, params, WINDOW + 1, _equal, ids).run(asked, _windows, m)
-        out += [_all(known).mapInArrow(_decided, ids), *merged]
+        out += _Sort(scratch, params, WINDOW + 1, _equal, "rid long, e1 int, e2 int").run(asked, _windows, m)
     return _all(out), text.select("rid", "z")
 
 
