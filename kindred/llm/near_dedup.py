@@ -10,10 +10,11 @@ chunk with each single symbol left out (m1 chunks: all allowed errors enumerated
 
 A key's members are not paired with each other. First each is compared with one leader of
 each of its keys, and confirmed links contract, so a large group of copies costs about its
-size. Then keys whose members are still in several components are joined to families; the
-members outside a family's main component are compared with all others in blocks of
-bounded size, by signature and then by full sets, and only a spanning forest of the links
-leaves a block. So no link between components is lost and no list of pairs is written.
+size. Then, for each key whose members are still in several components, the members outside
+its main component are compared with its others in blocks of bounded size: first by
+signatures alone, then, with the texts of those that have a partner left in their block, by
+full sets; only a spanning forest of the links leaves a block. So no link between components
+is lost and no list of pairs is written.
 
 At the default 24 of 64, a pair with similarity exactly 0.8 exceeds the signature distance
 with a probability of about 0.0003, one with 0.85 of 0.000001.
@@ -39,7 +40,7 @@ from kindred.plans.scratch import Scratch
 _U32 = np.uint32
 #: A Python worker keeps so many bytes of shingle sets that it may need again.
 _HELD_BYTES = 64 << 20
-#: Documents of one side of a block of the second step.
+#: Members of one side of a block of a key, about.
 BLOCK = 500
 
 
@@ -148,30 +149,86 @@ def _confirm(p: NearParams):
     return run
 
 
-def _block(p: NearParams, out: pa.Schema):
-    def run(table: pa.Table) -> pa.Table:
-        rows = {c: table.column(c).to_pylist() for c in ("side", "rep", "c", "sig", "z")}
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype="<u2").reshape(len(rows["sig"]), -1)
-        size, sets = np.array(table.column("n").to_pylist()), _Sets(p)
-        up: dict = {}
-
-        def top(c):
-            while up.get(c, c) != c:
-                up[c] = up.get(up[c], up[c])
-                c = up[c]
-            return c
-
-        side = np.array(rows["side"])
-        inner, found = np.flatnonzero(side == 0), []
-        outer = np.flatnonzero(side == 1)
-        for i in inner:
-            low = (p.den * np.minimum(size[outer], size[i]) >= p.num * np.maximum(size[outer], size[i])) & ((sig[outer] != sig[i]).sum(axis=1) <= p.max_distance)
-            for j in outer[low]:
-                a, b = top(rows["c"][i]), top(rows["c"][j])
-                if a != b and sets.linked(rows["z"][i], rows["z"][j]):
-                    up[max(a, b)] = min(a, b)
-                    found.append((min(rows["rep"][i], rows["rep"][j]), max(rows["rep"][i], rows["rep"][j])))
-        return pa.Table.from_arrays([pa.array([x[0] for x in found], out.field(0).type), pa.array([x[1] for x in found], out.field(1).type)], schema=out)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks of rows sorted by (key, i, j), one after the other."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.column_stack([np.array(batch.column(c)) for c in ("key", "i", "j")])
+        if left and (np.array([left[-1].column(c)[-1].as_py() for c in ("key", "i", "j")]) != at[0]).any():
+            yield pa.Table.from_batches(left)
+            left = []
+        cut = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            left.append(batch.slice(lo, hi - lo))
+            if hi < len(at):
+                yield pa.Table.from_batches(left)
+                left = []
+    if left:
+        yield pa.Table.from_batches(left)
+
+
+class _Block:
+    """side 0: members outside the key's main component; side 1: all members."""
+
+    def __init__(self, table: pa.Table, p: NearParams):
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(table.num_rows, -1)
+        self.n, self.p = np.array(table.column("n")), p
+        self.c = table.column("c").to_pylist()
+        group = {c: k for k, c in enumerate(dict.fromkeys(self.c))}
+        self.group = np.array([group[c] for c in self.c])
+        side = np.array(table.column("side"))
+        self.inner, self.outer = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def near(self, i: int) -> np.ndarray:
+        """The outer members that may be linked with i and are in another component."""
+        o = self.outer[self.group[self.outer] != self.group[i]]
+        o = o[self.p.den * np.minimum(self.n[o], self.n[i]) >= self.p.num * np.maximum(self.n[o], self.n[i])]
+        return o[(self.sig[o] != self.sig[i]).sum(axis=1) <= self.p.max_distance]
+
+
+def _screened(p: NearParams):
+    """The members that have a near partner in their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            block, hit = _Block(table, p), np.zeros(table.num_rows, dtype=bool)
+            for i in block.inner:
+                near = block.near(i)
+                if len(near):
+                    hit[i] = True
+                    hit[near] = True
+            if hit.any():
+                yield from table.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
+def _linked(p: NearParams, out: pa.Schema):
+    """A spanning forest of the links between a block's components, as pairs of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(p)
+        for table in _blocks(batches):
+            block, found = _Block(table, p), []
+            rep, z = table.column("rep").to_pylist(), table.column("z").to_pylist()
+            up: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while up.get(c, c) != c:  # noqa: B023
+                    up[c] = up.get(up[c], up[c])  # noqa: B023
+                    c = up[c]  # noqa: B023
+                return c
+
+            for i in block.inner.tolist():
+                for j in block.near(i).tolist():
+                    a, b = top(int(block.group[i])), top(int(block.group[j]))
+                    if a != b and sets.linked(z[i], z[j]):
+                        up[max(a, b)] = min(a, b)
+                        found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], out.field(k).type) for k in (0, 1)], schema=out)
 
     return run
 
@@ -230,20 +287,18 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), scratch:
     links = scratch.save(links.distinct(), "links")
     label = connected_components(links, "a", "b", scratch)
 
-    placed = active.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("rep").alias("first")).where("c0 <> c1")
-    placed = scratch.save(placed.join(mixed, "key").select("rep", "c", "first").distinct(), "placed")
-    family = connected_components(placed, "rep", "first", scratch)
-    members = placed.select("rep", "c").distinct().join(family.select(F.col("node").alias("rep"), F.col("component").alias("f")), "rep")
-    parts = members.groupBy("f", "c").agg(F.count_if(F.lit(True)).alias("n"))
-    parts = parts.groupBy("f").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most")).select("f", F.col("most.c").alias("main"), F.ceil(F.col("all") / BLOCK).alias("outer_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("inner_blocks"))
-    members = members.join(parts, "f").where("inner_blocks > 0")
-    both = members.withColumn("side", F.explode(F.when(F.col("c") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    own = F.pmod(F.xxhash64("rep", "side"), F.when(F.col("side") == 0, F.col("inner_blocks")).otherwise(F.col("outer_blocks")))
-    both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("outer_blocks")).otherwise(F.col("inner_blocks")) - 1)))
-    both = both.select("f", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "rep", "c")
-    body = reps.join(packed.select(F.col("doc_id").alias("rep"), "z"), "rep")
-    made = both.join(body, "rep").groupBy("f", "i", "j").applyInArrow(_block(p, _pair_schema(links)), f"a {kind}, b {kind}")
+    placed = scratch.save(active.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+    parts = placed.groupBy("key", "c").agg(F.count_if(F.lit(True)).alias("n"))
+    parts = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most")).where(F.col("all") > F.col("most.n"))
+    parts = scratch.save(parts.select("key", F.col("most.c").alias("main"), F.ceil(F.col("all") / BLOCK).alias("outer_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("inner_blocks")), "parts")
+    both = placed.join(parts, "key").withColumn("side", F.explode(F.when(F.col("c") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    mine, theirs = F.when(F.col("side") == 0, F.col("inner_blocks")).otherwise(F.col("outer_blocks")), F.when(F.col("side") == 0, F.col("outer_blocks")).otherwise(F.col("inner_blocks"))
+    both = both.withColumn("own", F.pmod(F.xxhash64("rep", "side"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)))
+    first, second = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    both = both.select("key", first.alias("i"), second.alias("j"), "side", "rep", "c").join(reps, "rep").select("key", "i", "j", "side", "rep", "c", "sig", "n")
+    in_blocks = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = scratch.save(in_blocks(both).mapInArrow(_screened(p), both.schema), "screened")
+    made = in_blocks(near.join(packed.select(F.col("doc_id").alias("rep"), "z"), "rep")).select("key", "i", "j", "side", "rep", "c", "sig", "n", "z").mapInArrow(_linked(p, _pair_schema(links)), f"a {kind}, b {kind}")
     links = links.union(scratch.save(made.distinct(), "links"))
     label = connected_components(copies.union(links), "a", "b", scratch)
     out = sketch.join(label, F.col("doc_id") == F.col("node"), "left")
