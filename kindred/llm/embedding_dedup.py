@@ -2,7 +2,10 @@
 
 Unit vectors are filed in the inverted list of their nearest coarse centroid, with the codes
 of their residual in each of SUBSPACES subspaces and the length of what the codes leave out.
-Each vector also visits its nearest `probes` lists. In a list, distances from a visitor to
+Each vector also visits its nearest `probes` lists. Where the sample has too few vectors for
+as many centroids as the table needs, residuals have centroids of their own, the same for all
+lists, and each list is parted by them (a vector visits the nearest `fine_probes` parts of
+each list), so that lists keep their size as the table grows. In a list, distances from a visitor to
 coded members are sums of table entries (asymmetric: the visitor is not coded). A member is
 reranked by its exact cosine in double precision unless its table distance exceeds the
 threshold's distance by more than what its own code leaves out: by the triangle inequality
@@ -29,13 +32,14 @@ from kindred.plans.scratch import Scratch
 
 @dataclass(frozen=True)
 class PQParams:
-    """sample: vectors that the index is fitted on, at most; list_size: members of a list, about; probes: lists that each vector visits; block: rows of a block."""
+    """sample: vectors that the index is fitted on, at most; list_size: members of a list, about; most_lists: coarse centroids, at most; probes: lists that each vector visits; fine_probes: parts of each that it visits; block: rows of a block."""
 
     cosine: float = 0.95
     sample: int = 16_384
     list_size: int = 256
     most_lists: int = 4096
     probes: int = 12
+    fine_probes: int = 4
     subspaces: int = 8
     codewords: int = 32
     block: int = 1024
@@ -44,6 +48,7 @@ class PQParams:
 @dataclass(frozen=True)
 class Index:
     coarse: np.ndarray  # lists x dim
+    fine: np.ndarray  # parts of a list x dim, about its centroid
     codebook: np.ndarray  # subspaces x codewords x dim / subspaces
 
 
@@ -66,15 +71,18 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def fit_index(vectors: np.ndarray, total: int, p: PQParams) -> Index:
-    """Centroids and codebooks from a sample of unit vectors; the number of lists follows the number of all vectors."""
+    """Centroids and codebooks from a sample of unit vectors; the number of lists and of their parts follows the number of all vectors."""
     rng, dim = np.random.default_rng(11), vectors.shape[1]
     lists = int(max(1, min(p.most_lists, total // p.list_size, len(vectors) // 4 or 1)))
     coarse = _kmeans(vectors, lists, rng)
     rest = vectors - coarse[_nearest(vectors, coarse)]
+    pieces = int(max(1, min(total // (p.list_size * lists), len(vectors) // 4))) if lists == p.most_lists else 1
+    fine = _kmeans(rest, pieces, rng) if pieces > 1 else np.zeros((1, dim))
+    rest = rest - fine[_nearest(rest, fine)]
     parts = p.subspaces if dim % p.subspaces == 0 else 1
     sub = rest.reshape(len(rest), parts, dim // parts)
     words = min(p.codewords, len(vectors))
-    return Index(coarse, np.stack([_kmeans(np.ascontiguousarray(sub[:, j]), words, rng) for j in range(parts)]))
+    return Index(coarse, fine, np.stack([_kmeans(np.ascontiguousarray(sub[:, j]), words, rng) for j in range(parts)]))
 
 
 def _codes(rest: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +100,22 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for v in batch.column("embedding").to_pylist():
             x = np.array([np.nan if c is None else c for c in v], dtype="<f8") if v else np.zeros(0)
-            n = float(np.sqrt((x * x).sum())) if len(x) and np.isfinite(x).all() else 0.0
-            if n == float("inf") or 0 < n < 1e-150:
-                x = x / np.abs(x).max()
+            n = 0.0
+            if np.isfinite(x).all() and x.any():
+                # Squares of very large or small components leave the range of doubles.
+                x = x / 2.0 ** np.floor(np.log2(np.abs(x).max()))
                 n = float(np.sqrt((x * x).sum()))
             out.append((x / n).tobytes() if n > 0 else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "u"])
 
 
+def _ranked(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centroids of each row, in order."""
+    far, n = (c * c).sum(axis=1) - 2 * x @ c.T, min(n, len(c))
+    near = np.argpartition(far, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1), axis=1)
+
+
 def _file(index: Index, p: PQParams):
     """One row for each list that a vector visits: l, home, visits, side 0 (a member of the list) or 1 (a visitor only)."""
 
@@ -109,10 +125,12 @@ def _file(index: Index, p: PQParams):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = np.frombuffer(b"".join(part.column("u").to_pylist()), dtype="<f8").reshape(part.num_rows, -1)
-                far = (c * c).sum(axis=1) - 2 * x @ c.T
-                n = min(p.probes, len(c))
-                near = np.argpartition(far, n - 1, axis=1)[:, :n]
-                near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1), axis=1)
+                near = _ranked(x, c, p.probes)
+                if len(index.fine) > 1:
+                    rest = (x[:, None, :] - c[near]).reshape(-1, x.shape[1])
+                    part_of = _ranked(rest, index.fine, p.fine_probes)
+                    near = (np.repeat(near.ravel(), part_of.shape[1]).reshape(part_of.shape) * len(index.fine) + part_of).reshape(len(x), -1)
+                n = near.shape[1]
                 row = np.repeat(np.arange(part.num_rows), n)
                 table = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
@@ -133,13 +151,14 @@ def _match(index: Index, p: PQParams, out: pa.Schema):
         links, up = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
         if len(inner) and len(outer):
             here = int(l[0])
-            code, left = _codes(x[inner] - index.coarse[here], index.codebook)
+            centre = index.coarse[here // len(index.fine)] + index.fine[here % len(index.fine)]
+            code, left = _codes(x[inner] - centre, index.codebook)
             parts, _, width = index.codebook.shape
             reach = np.sqrt(2 - 2 * p.cosine) + left + 1e-9
             # A pair that both lists would find is counted in the lower one; within a list, by the lower id.
             for i in range(0, len(outer), 128):
                 rows = outer[i : i + 128]
-                sub = (x[rows] - index.coarse[here]).reshape(len(rows), parts, width)
+                sub = (x[rows] - centre).reshape(len(rows), parts, width)
                 tables = ((sub[:, :, None, :] - index.codebook[None]) ** 2).sum(axis=3)
                 far = sum(tables[:, j][:, code[:, j]] for j in range(parts))
                 a, b = np.nonzero(np.sqrt(far) <= reach[None])

@@ -78,20 +78,6 @@ def test_repeats(docs, rows):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
-def test_vectors(spark):
-    rng = np.random.default_rng(1)
-    base = rng.standard_normal((40, 16))
-    near = base[rng.integers(0, 40, 160)] + 0.03 * rng.standard_normal((160, 16))
-    vectors = [*base.tolist(), *near.tolist(), base[0].tolist(), [0.0] * 16, None, [None] * 16, [float("nan")] * 16, []]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").withColumn("l", F.lit(1)), embedding_dedup.PQParams(list_size=20)).collect()}
-    x = np.array(vectors[:201])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    true = (x @ x.T >= 0.95).sum(axis=1) - 1
-    found = np.array([got[i].n_links for i in range(201)])
-    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(201, 206))
-
-
 def test_vectors_of_many_lengths(spark):
     """Two like vectors of each of 66 lengths link, and one of a length of its own links with nothing."""
     rng = np.random.default_rng(2)
