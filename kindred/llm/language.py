@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.text import slices
+
 BINS = 1 << 16
 _GAP = re.compile(r"[\W\d_]+")
 _ROWS = 64
@@ -27,10 +29,12 @@ _ROWS = 64
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """per_language: texts of a language to learn from, about (the bound of the fit's sample); landmarks of a language; ridge; sharpness of the score's softmax."""
+    """sample: texts to learn from, about (the bound of the fit's sample), and per_language of each language, at most; landmarks of a language, and most_landmarks in all; ridge; sharpness of the score's softmax."""
 
+    sample: int = 25_600
     per_language: int = 400
     landmarks: int = 32
+    most_landmarks: int = 2048
     ridge: float = 0.5
     sharpness: float = 5.0
 
@@ -72,22 +76,26 @@ def _presence(texts: list[str]) -> np.ndarray:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-        own = [(l, t) for l, t in zip(langs, texts) if has_letter(t)]
-        bits = [np.packbits(_presence([t])[0] > 0).tobytes() for _, t in own]
-        yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in own], pa.string()), pa.array(bits, pa.binary())], ["lang", "bits"])
+        for part, texts in slices(batch):
+            own = [(l, t.decode()) for l, t in zip(part.column("lang").to_pylist(), texts) if t]
+            own = [(l, np.packbits(_presence([t])[0] > 0).tobytes()) for l, t in own if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in own], pa.string()), pa.array([b for _, b in own], pa.binary())], ["lang", "bits"])
 
 
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel | None:
     """A model from the rows of docs whose lang is set and whose crc32(doc_id as text) mod 5 is not 0.
 
-    The fit's sample is per_language rows a language, about, by a hash of doc_id; its size
-    is bounded by that and the number of languages. None if there is nothing to learn from.
+    The fit's sample is params.sample texts at most, about, dealt by a hash of doc_id evenly
+    over all languages; only if there are more languages than that is it a sample of them.
+    The model holds BINS numbers a language. None if there is nothing to learn from.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
     counts = known.groupBy("lang").agg(F.count_if(F.lit(True)).alias("n"))
-    share = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * params.per_language) / F.col("n")
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(counts.orderBy(F.col("n").desc(), "lang").limit(1000)), "lang").where(share)
+    languages = max(1, counts.count())
+    quota, kept = min(params.per_language, max(1, params.sample // languages)), min(1.0, params.sample / languages)
+    counts = counts.where(F.pmod(F.xxhash64(F.lit(13), "lang"), F.lit(1_000_000)) < 1_000_000 * kept) if kept < 1 else counts
+    share = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * quota) / F.col("n")
+    sample = known.select("doc_id", "lang", "text").join(counts, "lang").where(share)
     rows = sample.select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
     if not rows:
         return None
@@ -97,7 +105,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
     rng, marks = np.random.default_rng(3), []
     for label in labels:
         own = [r for r in rows if r[0] == label]
-        marks += [own[i] for i in rng.permutation(len(own))[: params.landmarks]]
+        marks += [own[i] for i in rng.permutation(len(own))[: max(1, min(params.landmarks, params.most_landmarks // len(labels)))]]
+    marks = marks if len(marks) <= params.most_landmarks else [marks[i] for i in sorted(rng.permutation(len(marks))[: params.most_landmarks])]
     landmark = unpack(marks)
     landmark /= np.sqrt(landmark.sum(axis=1, keepdims=True))
     value, vector = np.linalg.eigh((landmark @ landmark.T).astype(np.float64))
@@ -108,9 +117,11 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
         part = unpack(rows[i : i + _ROWS])
         feature.append((part @ landmark.T / np.sqrt(part.sum(axis=1, keepdims=True))) @ root)
     phi = np.concatenate(feature)
-    y = np.array([[1.0 if l == label else -1.0 for label in labels] for l, _ in rows])
+    place = {label: i for i, label in enumerate(labels)}
+    which = np.array([place[l] for l, _ in rows])
+    y = np.where(which[:, None] == np.arange(len(labels)), 1.0, -1.0)
     # Each language weighs the same, whatever its share of the sample.
-    weight = np.array([1.0 / sum(l == label for l, _ in rows) for label in labels])[[labels.index(l) for l, _ in rows]] * len(rows) / len(labels)
+    weight = (1.0 / np.bincount(which))[which] * len(rows) / len(labels)
     mean, centre = np.average(phi, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     x = (phi - mean) * np.sqrt(weight)[:, None]
     w = np.linalg.solve(x.T @ x + params.ridge * np.eye(x.shape[1]), x.T @ ((y - centre) * np.sqrt(weight)[:, None]))
@@ -125,20 +136,21 @@ def held_out(column: str = "doc_id"):
 def _predict(model: LanguageModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
-            for at in range(0, len(some), _ROWS):
-                rows = some[at : at + _ROWS]
-                margin = model.scores(_presence([texts[i] for i in rows])).astype(np.float64)
-                p = np.exp(model.sharpness * (margin - margin.max(axis=1, keepdims=True)))
-                p /= p.sum(axis=1, keepdims=True)
-                for i, best, own in zip(rows, p.argmax(axis=1), p):
-                    pred[i], score[i] = model.labels[best], float(own[best])
             k = batch.schema.get_field_index("text")
-            rest = [c for i, c in enumerate(batch.columns) if i != k]
-            names = [n for i, n in enumerate(batch.schema.names) if i != k]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            names = [*(n for i, n in enumerate(batch.schema.names) if i != k), "lang_pred", "score", "margin"]
+            for part, raw in slices(batch):
+                texts = [t.decode() if t else "" for t in raw]
+                pred, score, lead = ["und"] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
+                some = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+                for at in range(0, len(some), _ROWS):
+                    rows = some[at : at + _ROWS]
+                    margin = model.scores(_presence([texts[i] for i in rows])).astype(np.float64)
+                    p = np.exp(model.sharpness * (margin - margin.max(axis=1, keepdims=True)))
+                    p /= p.sum(axis=1, keepdims=True)
+                    for i, best, own, raw_ in zip(rows, p.argmax(axis=1), p, margin):
+                        pred[i], score[i], lead[i] = model.labels[best], float(own[best]), float(raw_[best])
+                rest = [c for i, c in enumerate(part.columns) if i != k]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], names)
 
     return run
 
@@ -151,14 +163,18 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double, margin double").drop("margin")
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with columns lang_pred and score; columns of these names are replaced."""
+    """docs with columns lang_pred, score and margin; columns of these names are replaced.
+
+    margin: the best language's regression value. It was fitted to 1 for texts of the language
+    and to -1 for others, whatever the number of languages; -1 where nothing is predicted.
+    """
     if model is None:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    own = docs.drop("lang_pred", "score").withColumn("kept_text", F.col("text"))
+        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).withColumn("margin", F.lit(-1.0))
+    own = docs.drop("lang_pred", "score", "margin").withColumn("kept_text", F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    out = own.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double").withColumnRenamed("kept_text", "text")
-    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
+    out = own.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, margin double").withColumnRenamed("kept_text", "text")
+    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "margin")], "lang_pred", "score", "margin")
