@@ -12,7 +12,7 @@ A key's members are not paired with each other. First each is compared with one
 each of its keys, and confirmed links contract, so a large group of copies costs about its
 size. Then, for each key whose members are still in several components, the members outside
 its main component are compared with its others in blocks of bounded size: first by
-signatures alone, then, with the texts of those that have a partner left in their block, by
+signatures alone (a pair only in the first key that both have), then, with the texts of those that have a partner left in their block, by
 full sets; only a spanning forest of the links leaves a block. So no link between components
 is lost and no list of pairs is written.
 
@@ -178,14 +178,24 @@ class _Block:
         self.c = table.column("c").to_pylist()
         group = {c: k for k, c in enumerate(dict.fromkeys(self.c))}
         self.group = np.array([group[c] for c in self.c])
+        self.turn = table.column("turn")[0].as_py()
         side = np.array(table.column("side"))
         self.inner, self.outer = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
 
     def near(self, i: int) -> np.ndarray:
-        """The outer members that may be linked with i and are in another component."""
+        """The outer members that may be linked with i, are in another component, and whose first key in common with i is the block's."""
         o = self.outer[self.group[self.outer] != self.group[i]]
         o = o[self.p.den * np.minimum(self.n[o], self.n[i]) >= self.p.num * np.maximum(self.n[o], self.n[i])]
-        return o[(self.sig[o] != self.sig[i]).sum(axis=1) <= self.p.max_distance]
+        differ = self.sig[o] != self.sig[i]
+        few = differ.sum(axis=1) <= self.p.max_distance
+        o, differ, base = o[few], differ[few], 0
+        first = np.full(len(o), -1)
+        for at, n, errors in chunks(self.p.symbols, self.p.max_distance):
+            part = differ[:, at : at + n]
+            ok = (first < 0) & (part.sum(axis=1) <= errors)
+            first[ok] = base + (part[ok].argmax(axis=1) if errors else 0)
+            base += n if errors else 1
+        return o[first == self.turn]
 
 
 def _screened(p: NearParams):
@@ -245,7 +255,7 @@ def _keys(reps: DataFrame, p: NearParams) -> DataFrame:
             each.append(F.xxhash64(F.lit(c), cut(at, n)))
         else:
             each += [F.xxhash64(F.lit(c), F.lit(j), cut(at, j), cut(at + j + 1, n - j - 1)) for j in range(n)]
-    return reps.select("rep", F.explode(F.array(*each)).alias("key"))
+    return reps.select("rep", F.posexplode(F.array(*each)).alias("turn", "key"))
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), scratch: Scratch | None = None) -> DataFrame:
@@ -287,7 +297,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), scratch:
     links = scratch.save(links.distinct(), "links")
     label = connected_components(links, "a", "b", scratch)
 
-    placed = scratch.save(active.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+    placed = scratch.save(active.join(label, F.col("rep") == F.col("node"), "left").select("key", "turn", "rep", F.coalesce("component", "rep").alias("c")), "placed")
     parts = placed.groupBy("key", "c").agg(F.count_if(F.lit(True)).alias("n"))
     parts = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most")).where(F.col("all") > F.col("most.n"))
     parts = scratch.save(parts.select("key", F.col("most.c").alias("main"), F.ceil(F.col("all") / BLOCK).alias("outer_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("inner_blocks")), "parts")
@@ -295,10 +305,10 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), scratch:
     mine, theirs = F.when(F.col("side") == 0, F.col("inner_blocks")).otherwise(F.col("outer_blocks")), F.when(F.col("side") == 0, F.col("outer_blocks")).otherwise(F.col("inner_blocks"))
     both = both.withColumn("own", F.pmod(F.xxhash64("rep", "side"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)))
     first, second = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
-    both = both.select("key", first.alias("i"), second.alias("j"), "side", "rep", "c").join(reps, "rep").select("key", "i", "j", "side", "rep", "c", "sig", "n")
+    both = both.select("key", "turn", first.alias("i"), second.alias("j"), "side", "rep", "c").join(reps, "rep").select("key", "turn", "i", "j", "side", "rep", "c", "sig", "n")
     in_blocks = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = scratch.save(in_blocks(both).mapInArrow(_screened(p), both.schema), "screened")
-    made = in_blocks(near.join(packed.select(F.col("doc_id").alias("rep"), "z"), "rep")).select("key", "i", "j", "side", "rep", "c", "sig", "n", "z").mapInArrow(_linked(p, _pair_schema(links)), f"a {kind}, b {kind}")
+    made = in_blocks(near.join(packed.select(F.col("doc_id").alias("rep"), "z"), "rep")).select("key", "turn", "i", "j", "side", "rep", "c", "sig", "n", "z").mapInArrow(_linked(p, _pair_schema(links)), f"a {kind}, b {kind}")
     links = links.union(scratch.save(made.distinct(), "links"))
     label = connected_components(copies.union(links), "a", "b", scratch)
     out = sketch.join(label, F.col("doc_id") == F.col("node"), "left")
