@@ -9,8 +9,9 @@ chunk with each single symbol left out (m1 chunks: all allowed errors enumerated
 (m0 chunks), and any two documents within the distance share a key: none is missed.
 
 A key's members are not paired with each other. First each is compared with one leader of
-each of its keys, and confirmed links contract, so a large group of copies costs about its
-size. Then, for each key whose members are still in several components, the members outside
+each of its keys, the nearest of them by full sets, and confirmed links contract, so a large
+group of copies costs about its size; of the pairs whose ends are then in two components,
+the nearest of any two components is confirmed in turn. Then, for each key whose members are still in several components, the members outside
 its main component are compared with its others in blocks of bounded size: first by
 signatures alone (a pair only in the first key that both have), then, with the texts of those that have a partner left in their block, by
 full sets; only a spanning forest of the links leaves a block. So no link between components
@@ -41,7 +42,7 @@ _U32 = np.uint32
 #: A Python worker keeps so many bytes of shingle sets that it may need again.
 _HELD_BYTES = 64 << 20
 #: Members of one side of a block of a key, about.
-BLOCK = 500
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -296,6 +297,13 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), scratch:
     links = best.join(z("a"), "a").join(z("b"), "b").select("a", "b", "za", "zb").mapInArrow(_confirm(p), f"a {kind}, b {kind}")
     links = scratch.save(links.distinct(), "links")
     label = connected_components(links, "a", "b", scratch)
+    # The other near pairs with a leader, as far as they would join what isn't joined yet: one of any two components.
+    of = lambda s: label.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+    apart = apart.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b")
+    more = apart.join(z("a"), "a").join(z("b"), "b").select("a", "b", "za", "zb").mapInArrow(_confirm(p), f"a {kind}, b {kind}")
+    links = links.union(scratch.save(more, "links"))
+    label = connected_components(links, "a", "b", scratch)
 
     placed = scratch.save(active.join(label, F.col("rep") == F.col("node"), "left").select("key", "turn", "rep", F.coalesce("component", "rep").alias("c")), "placed")
     parts = placed.groupBy("key", "c").agg(F.count_if(F.lit(True)).alias("n"))
