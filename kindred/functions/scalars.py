@@ -7,10 +7,15 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IMAGE = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "webp")
-VIDEO = ("mp4", "mkv", "avi", "mov", "wmv", "webm", "flv", "mpg", "mpeg", "m4v", "ts")
+from kindred.plans.scratch import Scratch
+
+# File endings by kind, and media types for delivery.
+IMAGE = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp")
+VIDEO = ("mp4", "wmv", "avi", "mkv", "flv", "mov", "mpg", "mpeg", "m4v", "asf", "f4v", "webm", "divx", "m2t", "m2ts", "mts", "vob", "ts", "rmvb", "rm", "3gp", "ogv", "xvid", "hevc", "264", "265")
 AUDIO = ("mp3", "flac", "wav", "ogg", "m4a", "aac")
-MIMES = {"mp4": "video/mp4", "mkv": "video/x-matroska", "jpg": "image/jpeg", "mp3": "audio/mpeg", "png": "image/png"}
+MIMES = {"mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "mkv": "video/x-matroska", "avi": "video/x-msvideo", "mov": "video/quicktime", "wmv": "video/x-ms-wmv", "flv": "video/x-flv", "ts": "video/mp2t", "ogv": "video/ogg", "3gp": "video/3gpp", "jpg": "image/jpeg", "png": "image/png", "mp3": "audio/mpeg"}
+#: Words that a user's predicate may not hold anywhere.
+FORBIDDEN = ("DROP", "DELETE", "DEFINE", "REMOVE", "CREATE", "UPDATE", "INSERT")
 
 
 def extension(path: str) -> Column:
@@ -39,15 +44,15 @@ def within_folder(folder: Column, parent: str) -> Column:
     return (folder == parent) | folder.startswith(parent.rstrip("/") + "/")
 
 
-def _glob(pattern: str) -> str:
-    return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+def _glob(pattern: str, any_: str = ".") -> str:
+    return "".join(f"{any_}*" if c == "*" else any_ if c == "?" else re.escape(c) for c in pattern)
 
 
 def glob_hit(path: Column, pattern: str) -> Column:
-    """Without a separator the pattern must match one path segment; with one, the whole path."""
+    """Without a separator the pattern must match one path segment, whose * and ? stand for no separator; with one, the whole path."""
     if "/" in pattern:
         return path.rlike(f"^{_glob(pattern)}$")
-    return path.rlike(f"(^|/){_glob(pattern).replace('.*', '[^/]*').replace('(?<![\\\\])\\.', '[^/]')}(/|$)")
+    return path.rlike(f"(^|/){_glob(pattern, '[^/]')}(/|$)")
 
 
 def glob_like(path: Column, pattern: str) -> Column:
@@ -76,7 +81,10 @@ def rejection() -> Column:
 
 
 def user_filter(df: DataFrame, predicate: str) -> DataFrame:
-    """Rows that a user's SQL predicate holds for. It is parsed as one expression, so it can't hold statements."""
+    """Rows that a user's SQL predicate holds for. It is parsed as one expression, so it can't hold statements; a predicate with a forbidden word (anywhere, also as a part of a name) is refused."""
+    for word in FORBIDDEN:
+        if word in predicate.upper():
+            raise ValueError(f"a predicate may not hold {word}")
     return df.where(F.expr(predicate))
 
 
@@ -124,9 +132,22 @@ def fraction(s: Column) -> Column:
     return F.coalesce(F.try_divide(F.try_element_at(p, F.lit(1)).try_cast("double"), F.nullif(F.try_element_at(p, F.lit(2)).try_cast("double"), F.lit(0.0))), F.lit(-1.0))
 
 
+def byte_range(header: Column, size: Column) -> Column:
+    """struct(start, stop) of the first range of an HTTP Range header (both ends included), clipped to the size; null if there is none or it lies outside."""
+    part = lambda k: F.regexp_extract(header, r"^bytes=\s*(\d*)\s*-\s*(\d*)", k).try_cast("long")
+    start = F.when(part(1).isNull(), F.greatest(size - part(2), F.lit(0))).otherwise(part(1))
+    stop = F.when(part(1).isNull() | part(2).isNull(), size - 1).otherwise(F.least(part(2), size - 1))
+    return F.when(header.rlike(r"^bytes=\s*(\d+\s*-|-\s*[1-9])") & (start <= stop), F.struct(start.alias("start"), stop.alias("stop")))
+
+
+def trim_millis(seconds: Column) -> Column:
+    """Whole seconds of a duration."""
+    return F.floor(seconds)
+
+
 def global_rank(df: DataFrame, by: list[Column], name: str, buckets: int = 64) -> DataFrame:
-    """Rank over all rows without one task for all: rows are dealt by range of the order, counted, and numbered within their part."""
-    part = df.repartitionByRange(buckets, *by).withColumn("part_", F.spark_partition_id())
+    """Rank over all rows without one task for all: rows are dealt by range of the order and saved, so that counts and rows are of the same parts; parts are counted, and rows numbered within their part."""
+    part = Scratch(df.sparkSession).save(df.repartitionByRange(buckets, *by).withColumn("part_", F.spark_partition_id()), "ranges")
     counts = part.groupBy("part_").agg(F.count_if(F.lit(True)).alias("n_"))
     counts = counts.withColumn("base_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
     return part.join(counts, "part_").withColumn(name, F.col("base_") + F.row_number().over(Window.partitionBy("part_").orderBy(*by))).drop("part_", "base_")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.graph import connected_components
+from kindred.plans.scratch import Scratch
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -93,17 +94,26 @@ def split_chains(pairs: DataFrame) -> DataFrame:
     return pairs.join(label, F.col("a") == F.col("node")).select("a", "b", "component").groupBy("component").applyInPandas(_split, "group_id long, member long")
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    group: dict[int, int] = {}
-    for s, c in pdf.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-        g = group.get(s, group.get(c, s))
-        group.setdefault(s, g)
-        group.setdefault(c, g)
-    rows = pd.DataFrame({"group_id": list(group.values()), "member": list(group)})
-    return rows
-
-
 def timeline_groups(matches: DataFrame) -> DataFrame:
-    """(group_id, member): a match goes to the source's group, else the clip's, else a new one; members never move."""
-    label = connected_components(matches, "a", "b")
-    return matches.join(label, F.col("a") == F.col("node")).select("a", "b", "component").groupBy("component").applyInPandas(_merge, "group_id long, member long")
+    """(group_id, member): in the order of (a, b), a match goes to the source's group, else the clip's, else a new one named by the source; members never move.
+
+    A member's group is that of its partner in its first match, if the partner had one by
+    then: a parent. Two for whom the match is the first form a group, whose root is the
+    source. So groups are the trees of parents, and no group is folded in one task.
+    """
+    scratch = Scratch(matches.sparkSession)
+    ends = matches.select(F.col("a").alias("node"), "a", "b").union(matches.select("b", "a", "b"))
+    first = ends.groupBy("node").agg(F.min(F.struct("a", "b")).alias("m"))
+    first = scratch.save(first.withColumn("other", F.when(F.col("node") == F.col("m.a"), F.col("m.b")).otherwise(F.col("m.a"))), "first")
+    theirs = first.select(F.col("node").alias("other"), F.col("m").alias("theirs"))
+    tree = scratch.save(first.join(theirs, "other").select("node", F.when(F.col("theirs") < F.col("m"), F.col("other")).otherwise(F.col("m.a")).alias("parent")), "parents")
+    label = connected_components(tree, "node", "parent", scratch)
+    label = tree.join(label.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "parent", F.coalesce("component", "node").alias("component"))
+    root = label.where("node = parent").select("component", F.col("node").alias("group_id"))
+    return label.join(root, "component").select("group_id", F.col("node").alias("member"))
+
+
+def pair_clusters(pairs: DataFrame) -> DataFrame:
+    """(cluster, member): each pair puts both its files under the lesser of them. Clusters overlap and are no components."""
+    key = F.least("a", "b").alias("cluster")
+    return pairs.select(key, F.col("a").alias("member")).union(pairs.select(key, F.col("b").alias("member"))).distinct()

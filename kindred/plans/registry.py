@@ -12,7 +12,9 @@ from kindred.operators import grouping as G
 from kindred.operators import joins as J
 from kindred.operators import kernels as K
 from kindred.operators import ranking as R
+from kindred.sources import store
 from kindred.sources.catalog import table, view, with_views
+from kindred.sources.probe import media_info
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,6 +52,19 @@ query("SNK6_group_report", "SELECT concat_ws(',', group_id, CAST(item_id AS STRI
 query("SNK7_pair_report", "SELECT p.file_a, p.file_b, a.path AS path_a, b.path AS path_b, p.sim, CASE p.method WHEN 'FrameSimilarity' THEN 'frame' WHEN 'AudioMatch' THEN 'audio' WHEN 'TimelineMatch' THEN 'timeline' END AS label FROM pairs p LEFT JOIN files a ON a.file_id = p.file_a LEFT JOIN files b ON b.file_id = p.file_b", "pairs", "files")(
     lambda p, f: p.join(f.select(F.col("file_id").alias("file_a"), F.col("path").alias("path_a")), "file_a", "left").join(f.select(F.col("file_id").alias("file_b"), F.col("path").alias("path_b")), "file_b", "left").select("file_a", "file_b", "path_a", "path_b", "sim", S.method_label("method").alias("label")))
 
+_CSV = lambda c: f"CASE WHEN regexp_matches({c}, '[\",\\r\\n]') THEN concat('\"', replace({c}, '\"', '\"\"'), '\"') ELSE {c} END"
+_EXT = "lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1))"
+query("SNK6_group_csv", "SELECT concat_ws(',', group_id, printf('%.1f', sim / 10.0), " + _CSV("path") + ", CAST(size_bytes AS STRING), printf('%.3f', CAST(duration AS DOUBLE)), CAST(frame_size AS STRING), " + _EXT + ", printf('%.2f', CAST(fps AS DOUBLE)), CAST(bitrate AS STRING), CAST(audio_rate AS STRING), strftime(to_timestamp(created) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S'), CASE WHEN is_image THEN 'True' ELSE 'False' END, CAST(flags AS STRING), '0') AS line FROM members", "members")(lambda m: store.csv_lines(store.group_report(m)))
+query("SNK7_pair_csv", "SELECT concat_ws(',', printf('%.4f', sim / 1000.0), CASE p.method WHEN 'FrameSimilarity' THEN 'frame' WHEN 'AudioMatch' THEN 'audio' WHEN 'TimelineMatch' THEN 'timeline' END, printf('%.3f', CAST(clip_offset AS DOUBLE)), " + _CSV("a.path") + ", CAST(a.size_bytes AS STRING), printf('%.3f', CAST(a.duration AS DOUBLE)), CAST(a.width AS STRING), CAST(a.height AS STRING), " + _CSV("b.path") + ", CAST(b.size_bytes AS STRING), printf('%.3f', CAST(b.duration AS DOUBLE)), CAST(b.width AS STRING), CAST(b.height AS STRING)) AS line FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b", "pairs", "files")(lambda p, f: store.csv_lines(store.pair_report(p, f)))
+query("SRC8_SNK4_blacklist_round_trip", "SELECT DISTINCT CAST(dense_rank() OVER (ORDER BY entry_id) - 1 AS INT) AS entry_id, path FROM blacklist", "blacklist")(lambda b: store.parse_blacklist(store.blacklist_json(b)))
+query("SRC7_SNK3_results_round_trip", "SELECT item_id, group_id, sim FROM members", "members")(lambda m: store.parse_results(store.results_json(m.select("item_id", "group_id", "sim")), "item_id:bigint, group_id:string, sim:bigint"))
+_PROBE = lambda f: f.select("file_id", F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.lit("video").alias("codec_type"), "width", "height", F.concat(F.col("fps").cast("string"), F.lit("/1")).alias("r_frame_rate"), F.when(F.col("file_id") % 2 == 0, F.col("bit_rate").cast("string")).alias("bit_rate"), F.when(F.col("flags") > 8, "smpte2084").alias("color_transfer"))).alias("streams"), F.struct(F.concat(F.col("duration").cast("string"), F.lit(".75")).alias("duration"), F.lit("777").alias("bit_rate")).alias("format"))).alias("j"))
+query("SRC10_SCL4_media_info", "SELECT file_id, duration, width, height, CAST(fps AS FLOAT) AS frame_rate, CASE WHEN file_id % 2 = 0 THEN bit_rate ELSE 777 END AS bit_rate, CASE WHEN flags > 8 THEN 'HDR10' END AS hdr_format FROM files", "files")(
+    lambda f: _PROBE(f).withColumn("i", media_info("j")).select("file_id", "i.duration", F.element_at("i.streams", 1).alias("s")).select("file_id", "duration", "s.width", "s.height", "s.frame_rate", "s.bit_rate", "s.hdr_format"))
+query("SCL13_byte_range", "SELECT file_id, CASE WHEN lo <= hi THEN lo END AS start, CASE WHEN lo <= hi THEN hi END AS stop FROM (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN greatest(size_bytes - 100, 0) ELSE file_id END AS lo, CASE WHEN file_id % 3 = 1 THEN least(file_id + 50, size_bytes - 1) ELSE size_bytes - 1 END AS hi FROM files) t", "files")(
+    lambda f: f.withColumn("r", S.byte_range(F.when(F.col("file_id") % 3 == 0, F.lit("bytes=-100")).when(F.col("file_id") % 3 == 1, F.concat(F.lit("bytes="), F.col("file_id").cast("string"), F.lit("-"), (F.col("file_id") + 50).cast("string"))).otherwise(F.concat(F.lit("bytes="), F.col("file_id").cast("string"), F.lit("-"))), F.col("size_bytes"))).select("file_id", "r.start", "r.stop"))
+query("DML5_tag_state", "SELECT user_id, event_type AS tag, arg_max(value >= 50, {'ts': ts, 'e': event_id}) AS tagged FROM events GROUP BY user_id, event_type", "@events")(lambda e: e.groupBy("user_id", F.col("event_type").alias("tag")).agg(F.max_by(F.col("value") >= 50, F.struct("ts", "event_id")).alias("tagged")))
+
 # ---- 2.2 filters and projections
 _REASON = "CASE WHEN is_image AND size_bytes < 400 THEN 'images off' WHEN folder = '/lib/src3' OR starts_with(folder, '/lib/src3/') THEN 'excluded folder' WHEN NOT (starts_with(folder, '/lib/src')) THEN 'not included' WHEN (flags & 1) > 0 THEN 'manual' WHEN (flags & 2) > 0 THEN 'too dark' WHEN size_bytes NOT BETWEEN 200 AND 20000 THEN 'size' WHEN path LIKE '%9%.txt' THEN 'name' END"
 query("FLT1_eligibility", f"SELECT file_id, {_REASON} AS reason FROM files", "files")(lambda f: f.select("file_id", S.rejection().alias("reason")))
@@ -119,10 +134,25 @@ def shorter_over_longer(p: DataFrame) -> DataFrame:
     return timelines(p, "clip", "s").join(timelines(p, "source", "l"), F.struct(F.size("s"), "clip") < F.struct(F.size("l"), "source"))
 
 
+def neighbours(p: DataFrame) -> DataFrame:
+    """(clip, s, source, l) of the series of users that follow one another, the shorter as the clip."""
+    both = timelines(p, "u", "x").join(timelines(p, "v", "y"), F.col("u") + 1 == F.col("v"))
+    swap = F.struct(F.size("x"), "u") < F.struct(F.size("y"), "v")
+    one_, two = F.struct(F.col("u").alias("id"), F.col("x").alias("b")), F.struct(F.col("v").alias("id"), F.col("y").alias("b"))
+    return both.select(F.when(swap, one_).otherwise(two).alias("c"), F.when(swap, two).otherwise(one_).alias("d")).select(F.col("c.id").alias("clip"), F.col("c.b").alias("s"), F.col("d.id").alias("source"), F.col("d.b").alias("l"))
+
+
 query("ARR1_JN6_audio_window", f"SELECT clip, source, CAST((best // 100000) AS INT) AS bits, CAST(best % 100000 AS INT) AS pos FROM (SELECT s.user_id AS clip, l.user_id AS source, len(s.b) AS n, list_min(list_transform(range(0, len(l.b) - len(s.b) + 1), lambda o: CAST(list_sum(list_transform(range(1, len(s.b) + 1), lambda k: bit_count(xor(s.b[k], l.b[o + k])))) AS BIGINT) * 100000 + o)) AS best FROM ({_TL}) s JOIN ({_TL}) l ON len(s.b) < len(l.b) OR (len(s.b) = len(l.b) AND s.user_id < l.user_id)) t WHERE (best // 100000) * 100 <= n * 32 * 30", "points")(
     lambda p: shorter_over_longer(p).withColumn("r", K.sliding_hamming("s", "l", 70)).where("r is not null").select("clip", "source", F.col("r.bits").alias("bits"), F.col("r.offset").alias("pos")))
-query("ARR2_JN7_timeline_join", None, "points")(
+# Hits of an alignment as a string of ones and zeros: runs end at two misses in a row; what follows the miss above the budget is cut off.
+_ALIGNED = f"SELECT s.user_id AS clip, l.user_id AS source, len(s.b) AS n, o, array_to_string(list_transform(range(1, len(s.b) + 1), lambda k: CASE WHEN bit_count(xor(s.b[k], l.b[o + k])) <= 9 THEN '1' ELSE '0' END), '') AS h FROM ({_TL}) s JOIN ({_TL}) l ON {{}}, unnest(range(0, len(l.b) - len(s.b) + 1)) AS t(o)"
+_SHORTER = "(len(s.b) < len(l.b) OR (len(s.b) = len(l.b) AND s.user_id < l.user_id))"
+query("ARR2_JN7_timeline_join", f"SELECT clip, source, CAST(match AS INT) AS match, CAST(run AS INT) AS run, CAST(o AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY clip, source ORDER BY match DESC, run DESC, o) AS rn FROM (SELECT clip, source, n, o, len(replace(c, '0', '')) AS match, list_max(list_transform(string_split(c, '00'), lambda x: len(rtrim(x, '0')))) AS run FROM (SELECT *, array_to_string(string_split(h, '0')[1:CAST(ceil(n * 0.300000011920929) AS INT) + 1], '0') AS c FROM ({_ALIGNED.format(_SHORTER)}) x WHERE n >= 2) y) z) w WHERE rn = 1 AND match * 12 >= n * 6", "points")(
     lambda p: shorter_over_longer(p).where("size(s) >= 2").withColumn("r", K.sliding_runs("s", "l", K.hamming_budget(0.85), 1)).where("r.match * 12 >= size(s) * 6").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
+query("ARR3_place_matches", f"SELECT clip, source, CAST(match AS INT) AS match, CAST(run AS INT) AS run, CAST(o AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY clip, source ORDER BY match DESC, o) AS rn FROM (SELECT clip, source, o, len(replace(h, '0', '')) AS match, list_max(list_transform(string_split(h, '00'), lambda x: len(replace(x, '0', '')))) AS run FROM ({_ALIGNED.format('abs(s.user_id - l.user_id) = 1 AND ' + _SHORTER)}) x) z) w WHERE rn = 1", "points")(
+    lambda p: neighbours(p).withColumn("r", K.sliding_matches("s", "l", K.hamming_budget(0.85), 1)).where("r is not null").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
+
+
 query("JN8_average_hash_filter", f"WITH h AS ({_WORD_HASH}) SELECT p.file_a, p.file_b FROM pairs p JOIN h x ON x.doc_id = p.file_a JOIN h y ON y.doc_id = p.file_b WHERE bit_count(xor(x.hash, y.hash)) <= 25", "pairs", "@documents")(
     lambda p, d: p.join(word_hashes(d).select(F.col("id").alias("file_a"), F.col("hash").alias("x")), "file_a").join(word_hashes(d).select(F.col("id").alias("file_b"), F.col("hash").alias("y")), "file_b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 25).select("file_a", "file_b"))
 query("JN9_length_ratio_join", "SELECT a.file_id AS a, b.file_id AS b FROM files a JOIN files b ON a.folder = b.folder AND a.file_id < b.file_id WHERE (greatest(a.duration, b.duration) - least(a.duration, b.duration)) * 100 <= greatest(a.duration, b.duration) * 20", "files")(
@@ -214,7 +244,7 @@ for _n, _c in (("oldest", "created DESC, item_id"), ("newest", "created, item_id
 query("WIN8_invert", "SELECT item_id, NOT checked AS checked FROM members", "members")(lambda m: m.select("item_id", (~F.col("checked")).alias("checked")))
 query("WIN9_clip_assignment", "SELECT clip, source FROM (SELECT file_b AS clip, file_a AS source, row_number() OVER (PARTITION BY file_b % 97 ORDER BY file_a) AS rn FROM pairs) t WHERE rn = 1", "pairs")(lambda p: p.withColumn("rn", F.row_number().over(Window.partitionBy(F.col("file_b") % 97).orderBy("file_a"))).where("rn = 1").select(F.col("file_b").alias("clip"), F.col("file_a").alias("source")))
 query("WIN10_fir", "SELECT user_id, pos, round(y, 6) AS y FROM (SELECT user_id, pos, (value * 0.25 + lag(value, 1) OVER w * 0.5 + lag(value, 2) OVER w + lag(value, 3) OVER w * 0.5 + lag(value, 4) OVER w * 0.25) / 2.5 AS y FROM points WINDOW w AS (PARTITION BY user_id ORDER BY pos)) t WHERE y IS NOT NULL", "points")(lambda p: K.fir(p, "user_id", "pos", "value").select("user_id", L("pos").alias("pos"), F.round("y", 6).alias("y")))
-query("WIN12_thin_samples", None, "points")(lambda p: series(p).withColumn("t", F.array_sort("v")).select("user_id", F.size(K.thin_samples("t", 5.0)).alias("kept")))
+query("WIN12_thin_samples", "SELECT user_id, CAST(len(list_reduce(list_transform(list_sort(v), lambda x: [x]), lambda a, b: CASE WHEN b[1] - a[len(a)] >= 5 THEN list_concat(a, b) ELSE a END)) AS INT) AS kept FROM (" + _SERIES + ") t", "points")(lambda p: series(p).withColumn("t", F.array_sort("v")).select("user_id", F.size(K.thin_samples("t", 5.0)).alias("kept")))
 query("WIN13_difference_to_best", "SELECT item_id, CASE WHEN m = 0 THEN NULL ELSE round((size_bytes - m) * 100.0 / m, 6) END AS pct FROM (SELECT item_id, size_bytes, max(size_bytes) OVER (PARTITION BY group_id) AS m FROM members) t", "members")(lambda m: m.withColumn("m", F.max("size_bytes").over(Window.partitionBy("group_id"))).select("item_id", F.when(F.col("m") != 0, F.round((F.col("size_bytes") - F.col("m")) * 100.0 / F.col("m"), 6)).alias("pct")))
 query("WIN15_last_500", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", "@events")(lambda e: e.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id"))
 query("WIN16_next_group", "SELECT g AS group_id, coalesce(lead(g) OVER (ORDER BY g), min(g) OVER ()) AS next FROM (SELECT DISTINCT group_id AS g FROM members) t", "members")(lambda m: m.select(F.col("group_id").alias("g")).distinct().select(F.col("g").alias("group_id"), F.coalesce(F.lead("g").over(Window.orderBy("g")), F.min("g").over(Window.partitionBy(F.lit(0)))).alias("next")))
@@ -225,6 +255,11 @@ query("ARR6_ORD9_scene_skip", "SELECT user_id, v[least(3, len(v))] AS skip, len(
 query("ARR7_sampling_plan", "SELECT file_id, CAST(n AS INT) AS n, round(CASE WHEN n = 1 THEN duration / 2.0 ELSE duration / CAST(n AS DOUBLE) * (n - 1) END, 6) AS last FROM (SELECT file_id, duration, least(30, greatest(1, ceil(duration / 60.0))) AS n FROM files) t", "files")(lambda f: f.withColumn("s", K.sample_positions(F.col("duration").cast("double"), 60.0, 30)).select("file_id", F.size("s").alias("n"), F.round(F.element_at("s", -1), 6).alias("last")))
 query("ARR8_timeline_strip", "SELECT file_b AS clip, round(clip_offset * 100.0 / 60, 6) AS start_pct, greatest(0.5, least(100.0 - clip_offset * 100.0 / 60, 25.0)) AS width_pct FROM pairs", "pairs")(lambda p: p.select(F.col("file_b").alias("clip"), F.round(F.col("clip_offset") * 100.0 / 60, 6).alias("start_pct"), F.greatest(F.lit(0.5), F.least(100.0 - F.col("clip_offset") * 100.0 / 60, F.lit(25.0))).alias("width_pct")))
 query("ARR9_flip", f"SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: i * f[((i - 1) // 8) * 8 + 8 - (i - 1) % 8])) AS BIGINT) AS digest FROM ({_PIX}) t", "@embeddings")(lambda e: pixels(e).withColumn("g", K.flip("f", 8)).select("vec_id", F.aggregate(F.transform("g", lambda x, i: (i + 1) * x), F.lit(0).cast("long"), lambda s, x: s + x).alias("digest")))
+# A frame whose pixel (r, c) is the vector's value rr + 3rc + 7c, modulo its length; so a cell is the values' product with fixed weights.
+_WEIGHTS = "SELECT cell, list(x ORDER BY k) AS w FROM (SELECT cell, (r * r + 3 * r * c + 7 * c) % 64 AS k, sum(cos((2 * c + 1) * (cell % 8 + 1) * pi() / 64) * cos((2 * r + 1) * (cell // 8 + 1) * pi() / 64)) AS x FROM range(64) t1(cell), range(32) t2(r), range(32) t3(c) GROUP BY 1, 2) t GROUP BY cell"
+_CELLS = f"SELECT vec_id, list(list_dot_product(f::DOUBLE[], w) ORDER BY cell) AS a FROM ({_PIX}) p, ({_WEIGHTS}) q GROUP BY vec_id"
+query("HSH1_perceptual_hash", f"SELECT vec_id, CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN a[i + 1] <= m THEN 0::BIGINT WHEN i = 63 THEN -9223372036854775808 ELSE 1::BIGINT << i::INT END)) AS BIGINT) AS phash FROM (SELECT vec_id, a, (list_sort(a)[32] + list_sort(a)[33]) / 2 AS m FROM ({_CELLS}) u) w", "@embeddings")(
+    lambda e: pixels(e).select("vec_id", K.perceptual_hash(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.element_at("f", ((F.floor(i / 32) * F.floor(i / 32) + 3 * F.floor(i / 32) * (i % 32) + 7 * (i % 32)) % 64 + 1).cast("int")))).alias("phash")))
 _CH = [(i, (i + 1) % 12) for i in range(12)] + [(i, (i + 3) % 12) for i in range(12)] + [(i, (i + 6) % 12) for i in range(8)]
 query("HSH2_chroma_bits", "SELECT vec_id, " + " + ".join(f"(CASE WHEN embedding[{a + 1}] > embedding[{b + 1}] THEN {1 << k} ELSE 0 END)::BIGINT" for k, (a, b) in enumerate(_CH)) + " AS fp FROM embeddings", "@embeddings")(lambda e: e.select("vec_id", K.chroma_bits("embedding").alias("fp")))
 query("HSH3_unit", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS first FROM embeddings", "@embeddings")(lambda e: e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", F.round(F.element_at(K.unit("v"), 1), 6).alias("first")))
@@ -236,7 +271,7 @@ query("HSH8_file_id", "SELECT file_id, substr(sha256(path), 1, 16) AS id FROM fi
 # ---- 2.9 scalars
 query("SCL1_bytes_text", "SELECT file_id, CASE WHEN b = 0 THEN '0 B' WHEN b < 1024 THEN printf('%.1f B', b / 1.0) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS s FROM (SELECT file_id, size_bytes * 64 + 1 AS b FROM files) t", "files")(lambda f: f.select("file_id", S.bytes_text(F.col("size_bytes") * 64 + 1).alias("s")))
 query("SCL2_duration_text", "SELECT file_id, CASE WHEN d >= 86400 THEN printf('%dd, %dh', d // 86400, d % 86400 // 3600) WHEN d >= 3600 THEN printf('%dh, %dm', d // 3600, d % 3600 // 60) WHEN d >= 60 THEN printf('%dm, %ds', d // 60, d % 60) ELSE printf('%ds', d) END AS s FROM (SELECT file_id, duration * 7 AS d FROM files) t", "files")(lambda f: f.select("file_id", S.duration_text(F.col("duration") * 7).alias("s")))
-query("SCL3_SCL4_megabytes", "SELECT file_id, (bit_rate * 1000) // 1048576 AS mb FROM files", "files")(lambda f: f.select("file_id", F.floor(F.col("bit_rate") * 1000 / 1048576).alias("mb")))
+query("SCL3_megabytes", "SELECT file_id, (bit_rate * 1000) // 1048576 AS mb FROM files", "files")(lambda f: f.select("file_id", F.floor(F.col("bit_rate") * 1000 / 1048576).alias("mb")))
 query("SCL5_relocate_prefix", "SELECT file_id, CASE WHEN starts_with(path, '/lib/src1/') THEN concat('/new/', substr(path, 11)) ELSE path END AS path FROM files", "files")(lambda f: f.select("file_id", S.relocate(F.col("path"), "/lib/src1", "/new").alias("path")))
 query("SCL6_deconflict", "SELECT item_id, CASE WHEN rn = 1 THEN concat(p, '.x') ELSE concat(p, '_', CAST(rn - 1 AS STRING), '.x') END AS name FROM (SELECT item_id, regexp_replace(path, '[0-9]+$', '') AS p, row_number() OVER (PARTITION BY regexp_replace(path, '[0-9]+$', '') ORDER BY item_id) AS rn FROM members) t", "members")(
     lambda m: m.withColumn("p", F.regexp_replace("path", "[0-9]+$", "")).withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("item_id"))).select("item_id", F.when(F.col("rn") == 1, F.concat("p", F.lit(".x"))).otherwise(F.concat("p", F.lit("_"), (F.col("rn") - 1).cast("string"), F.lit(".x"))).alias("name")))
@@ -264,7 +299,7 @@ query("ORD8_report_order", "SELECT group_id, item_id, sim FROM members ORDER BY
 
 # ---- 2.11 sets
 query("SET1_difference", "SELECT item_id FROM members WHERE NOT checked", "members")(lambda m: m.select("item_id").exceptAll(m.where("checked").select("item_id")))
-query("SET2_union", "SELECT unnest(['jpg', 'png', 'mp4', 'mkv']) AS ext", "files")(lambda f: f.limit(1).select(F.explode(F.array_union(F.array(F.lit("jpg"), F.lit("png")), F.array(F.lit("mp4"), F.lit("mkv")))).alias("ext")))
+query("SET2_union", "SELECT folder FROM files WHERE is_image UNION SELECT folder FROM files WHERE size_bytes > 5000", "files")(lambda f: f.where("is_image").select("folder").union(f.where("size_bytes > 5000").select("folder")).distinct())
 query("SET3_union_phases", "SELECT file_a, file_b, 'x' AS phase FROM pairs WHERE sim >= 900 UNION ALL SELECT file_a, file_b, 'y' AS phase FROM pairs WHERE clip_offset < 10", "pairs")(lambda p: p.where("sim >= 900").select("file_a", "file_b", F.lit("x").alias("phase")).unionByName(p.where("clip_offset < 10").select("file_a", "file_b", F.lit("y").alias("phase"))))
 query("SET4_dedup_path", "SELECT folder, min(file_id) AS file_id FROM files GROUP BY folder", "files")(lambda f: f.groupBy("folder").agg(F.min("file_id").alias("file_id")))
 query("SET6_distinct_methods", "SELECT file_a % 10 AS g, array_to_string(list_sort(list(DISTINCT method)), ',') AS methods FROM pairs GROUP BY 1", "pairs")(lambda p: p.groupBy((F.col("file_a") % 10).alias("g")).agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods")))
@@ -272,8 +307,8 @@ query("SET6_distinct_methods", "SELECT file_a % 10 AS g, array_to_string(list_so
 # ---- 2.12 groups
 _E = "SELECT file_a AS a, file_b AS b FROM pairs WHERE sim >= 800"
 _CC = f"WITH RECURSIVE {{v}}e AS (SELECT a, b FROM ({_E}) x UNION SELECT b, a FROM ({_E}) y), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node"
-ORACLE_SQL["GRP3_GRP8_components"] = with_views(_CC.format(v="").replace("WITH RECURSIVE ", "WITH ", 1))
-QUERIES["GRP3_GRP8_components"] = lambda spark, d: G.clusters(view(spark, d, "pairs").where("sim >= 800").select(F.col("file_a").alias("a"), F.col("file_b").alias("b")))
+ORACLE_SQL["GRP3_components"] = with_views(_CC.format(v="").replace("WITH RECURSIVE ", "WITH ", 1))
+QUERIES["GRP3_components"] = lambda spark, d: G.clusters(view(spark, d, "pairs").where("sim >= 800").select(F.col("file_a").alias("a"), F.col("file_b").alias("b")))
 
 
 def _hashed_pairs(p: DataFrame, d: DataFrame) -> DataFrame:
@@ -283,6 +318,10 @@ def _hashed_pairs(p: DataFrame, d: DataFrame) -> DataFrame:
 
 query("GRP1_constrained_groups", None, "pairs", "@documents")(lambda p, d: G.constrained_groups(_hashed_pairs(p, d), 20))
 query("GRP2_split_chains", None, "pairs")(lambda p: G.split_chains(p.where("sim >= 600").select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))))
+query("GRP8_pair_clusters", "SELECT least(a, b) AS cluster, a AS member FROM (" + _E + ") x UNION SELECT least(a, b), b FROM (" + _E + ") y", "pairs")(lambda p: G.pair_clusters(p.where("sim >= 800").select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))))
+_E7 = _E.replace("800", "700")
+_FIRST = f"SELECT node, min({{'a': a, 'b': b}}) AS m FROM (SELECT a AS node, a, b FROM ({_E7}) x UNION ALL SELECT b, a, b FROM ({_E7}) y) z GROUP BY node"
+ORACLE_SQL["GRP4_timeline_groups"] = with_views(f"WITH f AS ({_FIRST}), t AS (SELECT x.node, CASE WHEN y.m < x.m THEN y.node ELSE x.m.a END AS parent FROM f x JOIN f y ON y.node = CASE WHEN x.node = x.m.a THEN x.m.b ELSE x.m.a END), r AS (SELECT node AS group_id, node AS member FROM t WHERE node = parent UNION ALL SELECT r.group_id, t.node FROM r JOIN t ON t.parent = r.member AND t.node <> t.parent) SELECT group_id, member FROM r")
 query("GRP4_timeline_groups", None, "pairs")(lambda p: G.timeline_groups(p.where("sim >= 700").select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))))
 query("GRP5_drop_singletons", "SELECT folder, file_id FROM (SELECT folder, file_id, count(*) OVER (PARTITION BY folder) AS n FROM files) t WHERE n > 1", "files")(lambda f: f.withColumn("n", F.count_if(F.lit(True)).over(Window.partitionBy("folder"))).where("n > 1").select("folder", "file_id"))
 query("GRP6_drop_hardlinks", "SELECT file_id FROM (SELECT file_id, row_number() OVER (PARTITION BY codec, ino, dev ORDER BY file_id) AS rn FROM files) t WHERE rn = 1", "files")(lambda f: f.withColumn("rn", F.row_number().over(Window.partitionBy("codec", "ino", "dev").orderBy("file_id"))).where("rn = 1").select("file_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
@@ -32,10 +32,86 @@ def parse_results(texts: DataFrame, item: str, column: str = "value") -> DataFra
     return texts.select(F.explode(items).alias("i")).select("i.*")
 
 
+def quarantined(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The rows of texts that hold neither version of a blacklist: to be set aside, not lost."""
+    v1 = F.from_json(column, "version int, groups array<array<string>>")["groups"]
+    return texts.where(F.coalesce(F.when(F.col(column).rlike(r"^\s*\{"), v1).otherwise(F.from_json(column, "array<array<string>>")).isNull(), F.lit(True)))
+
+
+def blacklist_json(entries: DataFrame) -> DataFrame:
+    """(value): one row, version 1 of the blacklist's JSON, from (entry_id, path). A blacklist is one document by its format and small."""
+    groups = entries.groupBy("entry_id").agg(F.array_sort(F.collect_set("path")).alias("p")).agg(F.array_sort(F.collect_list(F.struct("entry_id", "p"))).alias("g"))
+    return groups.select(F.to_json(F.struct(F.lit(1).alias("version"), F.col("g.p").alias("groups"))).alias("value"))
+
+
+def results_json(items: DataFrame, version: int = 1) -> DataFrame:
+    """(value): one row, {version, items}, from the rows of items."""
+    return items.agg(F.collect_list(F.struct("*")).alias("items")).select(F.to_json(F.struct(F.lit(version).alias("version"), "items")).alias("value"))
+
+
+#: The columns of the group report, in their order, and how a member gives them.
+GROUP_COLUMNS = ("GroupId", "Similarity", "Path", "Size", "Duration", "FrameSize", "Format", "Fps", "BitRateKbs", "AudioFormat", "DateCreated", "IsImage", "Flags", "PartialClipOffset")
+PAIR_COLUMNS = ("Similarity", "Method", "ClipOffsetSecs", "PathA", "SizeA", "DurationA", "WidthA", "HeightA", "PathB", "SizeB", "DurationB", "WidthB", "HeightB")
+
+
+def group_report(members: DataFrame) -> DataFrame:
+    """The 14 columns of the group report as text, by group and falling similarity; members need those of the members view."""
+    text = lambda c: F.col(c).cast("string")
+    given = {
+        "GroupId": text("group_id"), "Similarity": F.format_string("%.1f", F.col("sim") / 10.0), "Path": F.col("path"), "Size": text("size_bytes"), "Duration": F.format_string("%.3f", F.col("duration").cast("double")),
+        "FrameSize": text("frame_size"), "Format": S.extension("path"), "Fps": F.format_string("%.2f", F.col("fps").cast("double")), "BitRateKbs": text("bitrate"), "AudioFormat": text("audio_rate"),
+        "DateCreated": F.date_format(F.timestamp_seconds("created"), "yyyy-MM-dd'T'HH:mm:ss"), "IsImage": F.when(F.col("is_image"), "True").otherwise("False"), "Flags": text("flags"), "PartialClipOffset": F.lit("0"),
+    }
+    return members.orderBy("group_id", F.desc("sim"), "item_id").select(*[given[c].alias(c) for c in GROUP_COLUMNS])
+
+
+def pair_report(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The 13 columns of the pair report as text; files that are gone have empty paths and zeros."""
+    side = lambda s: files.select(F.col("file_id").alias(f"file_{s.lower()}"), F.col("path").alias(f"Path{s}"), F.col("size_bytes").cast("string").alias(f"Size{s}"), F.format_string("%.3f", F.col("duration").cast("double")).alias(f"Duration{s}"), F.col("width").cast("string").alias(f"Width{s}"), F.col("height").cast("string").alias(f"Height{s}"))
+    out = pairs.join(side("A"), "file_a", "left").join(side("B"), "file_b", "left")
+    own = [F.format_string("%.4f", F.col("sim") / 1000.0).alias("Similarity"), S.method_label("method").alias("Method"), F.coalesce(F.format_string("%.3f", F.col("clip_offset").cast("double")), F.lit("")).alias("ClipOffsetSecs")]
+    empty = {"Path": "", "Size": "0", "Duration": "0.000", "Width": "0", "Height": "0"}
+    return out.select(*own, *[F.coalesce(c, F.lit(empty[c[:-1]])).alias(c) for c in PAIR_COLUMNS[3:]])
+
+
+def csv_lines(report: DataFrame) -> DataFrame:
+    """(line): a report's rows as CSV, cells quoted where needed."""
+    return report.select(F.concat_ws(",", *[S.csv_quote(F.col(c)) for c in report.columns]).alias("line"))
+
+
+def group_text(members: DataFrame) -> DataFrame:
+    """(group_id, item_id, text): the entry of each member in the text report."""
+    facts = F.when(F.col("is_image"), F.format_string("         %d, %s", "frame_size", S.extension("path"))).otherwise(F.format_string("         %d, %s, %.2f fps, %d kbps, %s", "frame_size", S.extension("path"), F.col("fps").cast("double"), "bitrate", F.date_format(F.timestamp_seconds("duration"), "HH:mm:ss")))
+    best = F.when((F.col("bitrate") == F.max("bitrate").over(Window.partitionBy("group_id"))) | (F.col("frame_size") == F.max("frame_size").over(Window.partitionBy("group_id"))), " [best]").otherwise("")
+    return members.withColumn("best", best).select("group_id", "item_id", F.concat(F.format_string("  %6.1f%%  ", F.col("sim") / 10.0), F.col("path"), F.col("best"), F.lit("\n"), facts).alias("text"))
+
+
+PAIR_JSON = "similarity float, method string, clip_offset_secs double, file_a struct<id:string, path:string, name:string, size_bytes:bigint, duration_secs:double, width:int, height:int>, file_b struct<id:string, path:string, name:string, size_bytes:bigint, duration_secs:double, width:int, height:int>"
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs from files that each hold a JSON array of them."""
+    return spark.read.schema(PAIR_JSON).option("multiLine", True).json(path)
+
+
+def pair_json(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """(value): a JSON object for each pair both of whose files are known, as read_pairs reads it."""
+    file = lambda s: files.select(F.col("file_id").alias(f"file_{s}"), F.struct(F.col("file_id").cast("string").alias("id"), "path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("size_bytes").cast("long").alias("size_bytes"), F.col("duration").cast("double").alias("duration_secs"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).alias(s))
+    both = pairs.join(file("a"), "file_a").join(file("b"), "file_b")
+    return both.select(F.to_json(F.struct((F.col("sim") / 1000.0).cast("float").alias("similarity"), S.method_label("method").alias("method"), F.col("clip_offset").cast("double").alias("clip_offset_secs"), F.col("a").alias("file_a"), F.col("b").alias("file_b"))).alias("value"))
+
+
 def write_report(df: DataFrame, path: str, kind: str) -> None:
-    """csv (quoted where needed), json or parquet; the committer makes the write atomic."""
+    """csv (quoted where needed), json, text or parquet. The new report is written beside the old one and takes its place when it is whole."""
     writer = df.write.mode("overwrite")
-    writer.option("header", True).option("quote", '"').option("escape", '"').csv(path) if kind == "csv" else writer.format(kind).save(path)
+    beside = f"{path}.new"
+    writer.option("header", True).option("quote", '"').option("escape", '"').csv(beside) if kind == "csv" else writer.format(kind).save(beside)
+    jvm = df.sparkSession.sparkContext._jvm
+    to, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    fs = to.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(to, True)
+    if not fs.rename(made, to):
+        raise OSError(f"{beside} is whole but can't take the place of {path}")
 
 
 def synthetic_files(spark: SparkSession, n: int, groups: int = 0, group_size: int = 0, seed: int = 42) -> DataFrame:

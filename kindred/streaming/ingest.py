@@ -9,26 +9,27 @@ from pyspark.sql.types import StructType
 from kindred.operators.joins import upsert
 
 
-def latest(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest version of a catalogue under root, or None."""
+def latest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a catalogue under root (of those before a batch, if one is given), or None."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
     done = sorted(n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
+    done = [n for n in done if before is None or n < f"v{before:09d}"]
     return spark.read.parquet(f"{root}/{done[-1]}") if done else None
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key: str, watch: list[str], checkpoint: str):
     """A query that merges all new Parquet files of source into the catalogue and stops (availableNow).
 
-    Each batch writes version v<batch id>, so a batch that is run again after a failure
-    writes the same version. Within a batch the row with the greatest watched values wins.
+    Each batch reads the newest version before its own and writes version v<batch id>, so a
+    batch that is run again, even after its write succeeded, writes the same version. Within a batch the row with the greatest watched values wins.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy(key).agg(F.max(F.struct(*[c for c in batch.columns if c != key])).alias("r")).select(key, "r.*").select(*batch.columns)
-        old = latest(spark, root)
+        old = latest(spark, root, batch_id)
         out = new if old is None else upsert(old, new, key, watch).drop("action")
         out.write.mode("overwrite").parquet(f"{root}/v{batch_id:09d}")
 
@@ -36,7 +37,15 @@ def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress(spark: SparkSession, source: str, schema: StructType, name: str, checkpoint: str):
-    """Running counts by event_type in a memory table, complete mode."""
+def progress(spark: SparkSession, source: str, schema: StructType, name: str, checkpoint: str, every: str | None = None):
+    """Running counts by event_type in a memory table, complete mode; every (such as "5 minutes"): keeps running and checkpoints that often, else all there is and stop."""
     counts = spark.readStream.schema(schema).parquet(source).groupBy("event_type").agg(F.count_if(F.lit(True)).alias("n"))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def changes(spark: SparkSession, source: str, schema: StructType, key: str, name: str, checkpoint: str):
+    """A feed of keys whose newest row changed, with that row, batch by batch (update mode), in a memory table."""
+    rows = spark.readStream.schema(schema).parquet(source)
+    newest = rows.groupBy(key).agg(F.max(F.struct(*[c for c in rows.columns if c != key])).alias("r"), F.count_if(F.lit(True)).alias("n_seen")).select(key, "r.*", "n_seen")
+    return newest.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

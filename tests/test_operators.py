@@ -1,6 +1,8 @@
 """Hand vectors, models in plain Python, and invariance."""
 
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from kindred.operators import joins as J
 from kindred.operators import kernels as K
 from kindred.operators.graph import connected_components
 from kindred.sources import store
-from kindred.streaming.ingest import ingest, latest
+from kindred.sources.probe import media_info
+from kindred.streaming.ingest import changes, ingest, latest, progress
 
 
 def one(spark, sql, expr):
@@ -46,9 +49,30 @@ def test_hamming_budget():
         K.hamming_budget(1.5)
 
 
-def test_perceptual_hash():
-    assert K.perceptual_hash([128] * 1024) is None
-    assert K.perceptual_hash([i % 251 for i in range(1024)]) is not None
+def plain_hash(frame):
+    """Every cell as a double sum, their median, one bit each."""
+    cells = [sum(frame[32 * y + x] * math.cos((2 * x + 1) * u * math.pi / 64) * math.cos((2 * y + 1) * v * math.pi / 64) for y in range(32) for x in range(32)) for v in range(1, 9) for u in range(1, 9)]
+    low, high = sorted(cells)[31:33]
+    value = sum(1 << i for i, c in enumerate(cells) if c > (low + high) / 2)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_perceptual_hash(spark):
+    rnd = random.Random(5)
+    frames = [[rnd.randrange(256) for _ in range(1024)] for _ in range(6)]
+    rows = [(i, f, bytearray(f)) for i, f in enumerate(frames)] + [(6, None, None), (7, [1, 2], bytearray(b"x"))]
+    got = spark.createDataFrame(rows, "i int, f array<int>, b binary").select("i", K.perceptual_hash("f").alias("x"), K.perceptual_hash("b").alias("y")).orderBy("i").collect()
+    assert [(r.x, r.y) for r in got] == [(plain_hash(f),) * 2 for f in frames] + [(None, None)] * 2
+
+
+def test_sliding_matches(spark):
+    pattern = lambda seed: [sum(((13 * (i + 8 * k) + 97 * seed) % 256) << (8 * k) for k in range(7)) for i in range(50)]
+    long = pattern(1)
+    df = spark.createDataFrame([(long[20:30], long), ([0] * 3, [0, 0]), ([], [1])], "s array<long>, l array<long>")
+    r = [x.r for x in df.select(K.sliding_matches("s", "l", 3, 0).alias("r")).collect()]
+    assert (r[0].match, r[0].run, r[0].offset) == (10, 10, 20) and r[1] is None and r[2] is None
+    gap = spark.sql("select array(0L, 0L, 0L, 0L, 0L) s, array(0L, 0L, -1L, 0L, 0L) l")
+    assert [tuple(gap.select(K.sliding_matches("s", "l", 3, g).alias("r")).first().r) for g in (0, 1)] == [(4, 2, 0), (4, 4, 0)]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
@@ -90,6 +114,115 @@ def test_groups(spark):
     assert {tuple(r) for r in merged.collect()} == {(1, 1), (1, 2), (1, 3), (1, 4)}
 
 
+def edges_of(seed):
+    rnd = random.Random(seed)
+    return sorted({tuple(rnd.sample(range(25), 2)) for _ in range(rnd.randint(1, 30))})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_timeline_groups_match_a_fold(spark, seed):
+    group = {}
+    edges = edges_of(seed)
+    for s, c in edges:
+        g = group[s] if s in group else group[c] if c in group else s
+        group.setdefault(s, g)
+        group.setdefault(c, g)
+    got = G.timeline_groups(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((g, x) for x, g in group.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_constrained_groups_match_a_model(spark, seed):
+    """Sets of members with the hash of the first file; merges keep the first set's."""
+    rnd = random.Random(seed)
+    value = {x: rnd.choice([0, 1, 3, 255, 254]) for x in range(25)}
+    edges = [(a, b) for a, b in edges_of(seed) if a != b]
+    groups = []
+    for a, b in edges:
+        mine = [next((g for g in groups if x in g[1]), None) for x in (a, b)]
+        if mine == [None, None]:
+            groups.append([value[a], {a, b}])
+        elif None not in mine:
+            if mine[0] is not mine[1] and (mine[0][0] ^ mine[1][0]).bit_count() <= 2:
+                mine[0][1] |= mine[1][1]
+                groups = [g for g in groups if g is not mine[1]]
+        else:
+            g, new = (mine[0], b) if mine[1] is None else (mine[1], a)
+            if (g[0] ^ value[new]).bit_count() <= 2:
+                g[1].add(new)
+    got = G.constrained_groups(spark.createDataFrame([(a, b, value[a], value[b]) for a, b in edges], "a long, b long, ha long, hb long"), 2)
+    assert sorted(map(tuple, got.collect())) == sorted((min(m), x) for _, m in groups for x in m)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_chains_match_a_model(spark, seed):
+    edges = edges_of(seed)
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+
+    def reach(start, among):
+        part, todo = [], [start]
+        while todo:
+            x = todo.pop(0)
+            if x not in part:
+                part.append(x)
+                todo += sorted((links[x] & among) - set(part) - set(todo))
+        return part
+
+    def prune(items):
+        gone = []
+        while len(items) > 2:
+            degree = {x: len(links[x] & set(items)) for x in items}
+            worst = min(items, key=lambda x: (degree[x], items.index(x)))
+            if degree[worst] >= len(items) // 2:
+                break
+            items = [x for x in items if x != worst]
+            gone.append(worst)
+        return items, gone
+
+    want, seen = [], set()
+    for x in sorted(links):
+        if x not in seen:
+            whole = sorted(reach(x, set(links)))
+            seen |= set(whole)
+            kept, gone = prune(whole)
+            parts, left = [kept], set(gone)
+            for y in gone:
+                if y in left:
+                    part = reach(y, left)
+                    left -= set(part)
+                    parts.append(prune(part)[0])
+            want += [(min(p), m) for p in parts if len(p) > 1 for m in p]
+    assert sorted(map(tuple, G.split_chains(spark.createDataFrame(edges, "a long, b long")).collect())) == sorted(want)
+
+
+def test_probe(spark):
+    text = '{"streams":[{"index":0,"codec_name":"hevc","codec_type":"video","width":3840,"height":2160,"r_frame_rate":"24000/1001","color_transfer":"smpte2084","side_data_list":[{"side_data_type":"DOVI configuration record"},{"side_data_type":"x"}]},{"index":1,"codec_type":"audio","sample_rate":"48000","channels":6,"r_frame_rate":"0/0"}],"format":{"duration":"3.9","bit_rate":"1000"}}'
+    rows = [(1, text), (2, text.replace('"index":1,', '"index":1,"bit_rate":"64000",').replace('"3.9"', '"-1"')), (3, "nonsense"), (4, None), (5, "{}")]
+    got = {r.i: r.m for r in spark.createDataFrame(rows, "i int, j string").select("i", media_info("j").alias("m")).collect()}
+    one_, two = got[1].streams
+    assert got[1].duration == 3 and (one_.width, one_.bit_rate, one_.hdr_format, one_.side_data) == (3840, 1000, "Dolby Vision", "DOVI configuration record|x")
+    assert abs(one_.frame_rate - 23.976) < 0.001 and (two.sample_rate, two.channels, two.frame_rate, two.bit_rate, two.hdr_format) == (48000, 6, -1.0, None, None)
+    assert got[2].duration is None and [s.bit_rate for s in got[2].streams] == [None, 64000]
+    assert all(got[i].duration is None and got[i].streams == [] for i in (3, 4, 5))
+
+
+def test_globs_and_predicates(spark):
+    hit = lambda path, glob: one(spark, f"'{path}' p", S.glob_hit(F.col("p"), glob))
+    assert hit("/a/dx/b", "d?") and not hit("/a/d/x", "d?x") and hit("/a/d.x/b", "*.x") and not hit("/a/dyx", "d.x") and hit("/a/b", "/a/*")
+    with pytest.raises(ValueError):
+        S.user_filter(spark.range(1), "updated_at > 0")
+    assert [tuple(one(spark, f"'{h}' h", S.byte_range(F.col("h"), F.lit(10))) or ()) for h in ("bytes=0-3", "bytes=4-", "bytes=-3", "bytes=8-99", "bytes=10-", "bytes=5-4", "x", "bytes=-")] == [(0, 3), (4, 9), (7, 9), (8, 9), (), (), (), ()]
+
+
+def test_global_rank(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), (F.col("id") % 10).alias("w")).repartition(7)
+    got = sorted((r["rank"], r.w, r.v) for r in S.global_rank(df, [F.col("w").asc(), F.col("v").desc()], "rank").collect())
+    assert [r[0] for r in got] == list(range(1, 5001)) and [(r[1], -r[2]) for r in got] == sorted((r[1], -r[2]) for r in got)
+
+
 def test_blacklist_json(spark):
     got = store.parse_blacklist(spark.createDataFrame([('{"version":1,"groups":[["a","b"],["c"]]}',), ('[["d"]]',), ("nonsense",)], "value string"))
     assert sorted(map(tuple, got.collect())) == [(0, "a"), (0, "b"), (0, "d"), (1, "c")]
@@ -110,3 +243,50 @@ def test_ingest_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         ingest(spark, src, schema, root, "id", ["size"], f"{tmp_path}/cp").awaitTermination()
     assert sorted(map(tuple, latest(spark, root).collect())) == [(1, 10), (2, 21), (3, 30)]
+
+
+def test_a_batch_that_is_replayed(spark, tmp_path):
+    """A batch whose write succeeded but whose commit was lost writes the same version again."""
+    src, root, cp = (f"{tmp_path}/{n}" for n in ("src", "root", "cp"))
+    schema = spark.createDataFrame([], "id long, size long").schema
+    for rows in ([(1, 10), (2, 20)], [(2, 21), (3, 30)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        ingest(spark, src, schema, root, "id", ["size"], cp).awaitTermination()
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    ingest(spark, src, schema, root, "id", ["size"], cp).awaitTermination()
+    assert sorted(map(tuple, latest(spark, root).collect())) == [(1, 10), (2, 21), (3, 30)]
+
+
+def test_feeds(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, size long, event_type string").schema
+    spark.createDataFrame([(1, 10, "a"), (1, 12, "b"), (2, 5, "a")], schema).write.parquet(f"{tmp_path}/src")
+    changes(spark, f"{tmp_path}/src", schema, "id", "feed", f"{tmp_path}/c1").awaitTermination()
+    assert sorted(map(tuple, spark.table("feed").collect())) == [(1, 12, "b", 2), (2, 5, "a", 1)]
+    progress(spark, f"{tmp_path}/src", schema, "seen", f"{tmp_path}/c2").awaitTermination()
+    assert sorted(map(tuple, spark.table("seen").collect())) == [("a", 2), ("b", 1)]
+    timed = progress(spark, f"{tmp_path}/src", schema, "timed", f"{tmp_path}/c3", every="1 hour")
+    stop = time.time() + 60
+    while spark.table("timed").count() < 2 and time.time() < stop:
+        time.sleep(0.2)
+    timed.stop()
+    assert spark.table("timed").count() == 2
+
+
+def test_stores(spark, tmp_path):
+    texts = spark.createDataFrame([('[["a","b"]]',), ("{broken",), ('{"version":1}',), (None,)], "value string")
+    assert sorted(str(r.value) for r in store.quarantined(texts).collect()) == ["None", '{"version":1}', "{broken"]
+    entries = spark.createDataFrame([(4, "b"), (4, "a"), (9, 'c"d')], "entry_id int, path string")
+    text = store.blacklist_json(entries)
+    assert text.first().value == '{"version":1,"groups":[["a","b"],["c\\"d"]]}'
+    for content in (text, text.select(F.upper("value").alias("value"))):
+        store.write_report(content, f"{tmp_path}/list", "text")
+    assert spark.read.text(f"{tmp_path}/list").first().value.startswith('{"VERSION"') and not (tmp_path / "list.new").exists()
+    files = spark.createDataFrame([(1, "/x/a.mp4", 5, 60, 10, 20), (2, "/x/b.mp4", 6, 61, 10, 20)], "file_id long, path string, size_bytes long, duration long, width int, height int")
+    pairs = spark.createDataFrame([(1, 2, 950, "AudioMatch", 7), (1, 3, 900, "AudioMatch", 7)], "file_a long, file_b long, sim long, method string, clip_offset long")
+    values = [r.value for r in store.pair_json(pairs, files).collect()]
+    (tmp_path / "pairs.json").write_text("[" + ",".join(values) + "]")
+    back = store.read_pairs(spark, f"{tmp_path}/pairs.json").collect()
+    assert len(back) == 1 and back[0].file_a.path == "/x/a.mp4" and back[0].file_b.name == "b.mp4" and abs(back[0].similarity - 0.95) < 1e-6
+    lines = sorted(r.line for r in store.csv_lines(store.pair_report(pairs, files)).collect())
+    assert lines == ["0.9000,audio,7.000,/x/a.mp4,5,60.000,10,20,,0,0.000,0,0", "0.9500,audio,7.000,/x/a.mp4,5,60.000,10,20,/x/b.mp4,6,61.000,10,20"]
