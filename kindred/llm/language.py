@@ -95,7 +95,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
     quota, kept = min(params.per_language, max(1, params.sample // languages)), min(1.0, params.sample / languages)
     counts = counts.where(F.pmod(F.xxhash64(F.lit(13), "lang"), F.lit(1_000_000)) < 1_000_000 * kept) if kept < 1 else counts
     share = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * quota) / F.col("n")
-    sample = known.select("doc_id", "lang", "text").join(counts, "lang").where(share)
+    # The counts are bounded by the sample: one row a language, and about params.sample of them.
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(share)
     rows = sample.select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
     if not rows:
         return None

@@ -95,23 +95,6 @@ def test_token_counts(docs, rows):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == sorted(want)
 
 
-def test_mixing(docs):
-    got = mixing.mix_sources(docs).toPandas()
-    again = mixing.mix_sources(docs.repartition(5)).toPandas()
-    order = ["doc_id", "source", "size", "taken"]
-    assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
-    assert (got.taken <= 3 * got["size"]).all()
-    by = got.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
-    assert abs(by.target.sum() - by["size"].sum()) < 1e-3 or (by.target >= 3 * by["size"] - 1e-6).any()
-    assert (by.target <= 3 * by["size"] + 1e-6).all() and ((by.taken - by.target).abs() <= 2 * by.most + 1).all()
-
-
-def test_html():
-    page = "<title>x</title><p>Hello <b>big</b>\n world<p>A &amp; b<ul><li>one<ol><li>in</ol></ul><div hidden>no</div><table><tr><th>A<th>Bee<tr><td>longer<td>1</table>end<script>'<p>'</script>"
-    assert html_text.render(page)[0] == "Hello big world\n\nA & b\n\n- one\n\n  1. in\n\nA       Bee\nlonger  1\n\nend"
-    assert html_text.render(None)[0] == "" and html_text.render("a < b <")[0] == "a < b <" and html_text.render("</p><td>x</li></table>")[0] == "x"
-
-
 def test_html_drawn_text_and_selects():
     text = lambda page: html_text.render(page)[0]
     assert text("<p>a <svg><title>no</title><defs><text>no</text></defs><desc/><text>one</text><text>two</text></svg> b") == "a one two b"
@@ -128,14 +111,6 @@ def test_pii(docs, rows):
     assert sorted((str(r.doc_id), r.base_sha256) for r in got) == sorted(want)
 
 
-def test_language(docs):
-    got = language.predict(docs, language.fit(docs)).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null").toPandas()
-    assert len(got) > 20 and (got.lang_pred == got.lang).mean() > 0.95
-    odd = {r.doc_id: r for r in language.predict(docs.where("doc_id >= 10000"), language.fit(docs)).collect()}
-    assert odd[10_000].lang_pred == odd[10_001].lang_pred == "und" and odd[10_004].lang_pred != "und"
-    assert language.predict(docs, language.fit(empty(docs))).where("lang_pred <> 'und'").count() == 0
-
-
 def test_leaks(spark, data, docs, rows):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     plain = lambda s: " " + " ".join(re.findall(r"[^\W_]+", s.lower())) + " "
@@ -166,7 +141,3 @@ def test_leaks_of_a_large_benchmark(spark):
     assert not [f for f in found if f[0] >= 10_000]
 
 
-def test_pipeline(spark, data):
-    out = corpus_pipeline.run(spark, data).toPandas()
-    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copy"} and len(out)
-    assert not out.text.str.contains(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+").any()
