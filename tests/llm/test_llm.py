@@ -7,12 +7,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_pii import base
 from tokenizers import Tokenizer
 
-import corpus_pipeline
-from kindred.llm import decontamination, embedding_dedup, html_text, language, mixing, near_dedup, pii, suffix_dedup, tokens
+from kindred.llm import decontamination, embedding_dedup, html_text, near_dedup, pii, suffix_dedup, tokens
 from kindred.llm.text import shingle_set
-from test_pii import base
 
 ODD = [(10_000, None), (10_001, ""), (10_002, " \n\t"), (10_003, "ab" * 700), (10_004, "one two"), (10_005, "one two"), (10_005, "one two"), (10_006, "x" * 450), (10_006, "mail a@b.co"), (None, "one two"), (10_007, "Ünï 'll <|endoftext|> 😀 " * 40)]
 

@@ -68,7 +68,7 @@ def test_group_decides_every_window(seed):
     assert all(len(s) == _FULL for s in strings)
 
 
-@pytest.mark.parametrize("params", [SortParams(), SortParams(run=40, range=30), SortParams(run=25, range=20, most=3)])
+@pytest.mark.parametrize("params", [SortParams(), SortParams(run=400, range=200), SortParams(run=250, range=20, most=3)])
 def test_whole(spark, params):
     """Passages around the least length, in many documents, with like and unlike surroundings; copies; repeats in a text; rows that repeat."""
     rng = np.random.default_rng(5)
