@@ -66,18 +66,18 @@ def tail_folders(folder: str, depth: int) -> Column:
     return F.lower(F.array_join(F.slice(parts, F.greatest(F.size(parts) - depth + 1, F.lit(1)), depth), "/"))
 
 
-def rejection() -> Column:
-    """The first reason, in this order, that keeps a file out of a scan; null if none."""
+def rejection(included: str = "/lib/src", excluded: tuple[str, ...] = ("/lib/src3",), least_image: int = 400, sizes: tuple[int, int] = (200, 20000), names: str = r"9.*\.txt$") -> Column:
+    """The first reason, in this order, that keeps a file out of a scan; null if none.
+
+    included: what folders must start with; excluded: folders that are left out with all below;
+    least_image: images below this size are; sizes: of any file; names: a pattern of paths.
+    """
     size, flags = F.col("size_bytes"), F.col("flags")
-    return (
-        F.when(F.col("is_image") & (size < 400), "images off")
-        .when(within_folder(F.col("folder"), "/lib/src3"), "excluded folder")
-        .when(~F.col("folder").startswith("/lib/src"), "not included")
-        .when(flags.bitwiseAND(1) > 0, "manual")
-        .when(flags.bitwiseAND(2) > 0, "too dark")
-        .when(~size.between(200, 20000), "size")
-        .when(F.col("path").rlike(r"9.*\.txt$"), "name")
-    )
+    out = F.when(F.col("is_image") & (size < least_image), "images off")
+    for folder in excluded:
+        out = out.when(within_folder(F.col("folder"), folder), "excluded folder")
+    out = out.when(~F.col("folder").startswith(included), "not included").when(flags.bitwiseAND(1) > 0, "manual").when(flags.bitwiseAND(2) > 0, "too dark")
+    return out.when(~size.between(*sizes), "size").when(F.col("path").rlike(names), "name")
 
 
 def user_filter(df: DataFrame, predicate: str) -> DataFrame:

@@ -338,3 +338,16 @@ query("DML9_mark_excluded", "SELECT file_id, CASE WHEN file_id = 12 THEN flags |
 query("DML10_DML12_action_plan", "SELECT item_id, CASE WHEN is_image THEN 'move' ELSE 'delete' END AS action, path AS source, CASE WHEN is_image THEN concat('/trash', path) END AS target FROM members WHERE checked", "members")(lambda m: m.where("checked").select("item_id", F.when(F.col("is_image"), "move").otherwise("delete").alias("action"), F.col("path").alias("source"), F.when(F.col("is_image"), F.concat(F.lit("/trash"), "path")).alias("target")))
 query("DML13_blacklist_entries", "SELECT entry_id, array_to_string(list_sort(list(DISTINCT path)), '|') AS paths, count(DISTINCT path) AS n FROM blacklist GROUP BY entry_id", "blacklist")(lambda b: b.groupBy("entry_id").agg(F.array_sort(F.collect_set("path")).alias("p")).select("entry_id", F.array_join("p", "|").alias("paths"), F.size("p").cast("long").alias("n")))
 query("STR1_progress_counts", "SELECT event_type, count(*) AS n, CAST(date_trunc('day', min(ts)) AS DATE) AS first_day FROM events GROUP BY event_type", "@events")(lambda e: e.groupBy("event_type").agg(one().alias("n"), F.to_date(F.min("ts")).alias("first_day")))
+
+_TEN = ("size_bytes", "duration", "frame_size", "fps", "bitrate", "audio_rate", "sim", "created", "flags", "is_image")
+query("FLT21_equal_in_all", f"SELECT group_id, {', '.join(_TEN)}, count(*) AS n FROM members GROUP BY ALL", "members")(lambda m: m.groupBy("group_id", *_TEN).agg(one().alias("n")))
+query("DML2_by_path", "SELECT file_id, path FROM files WHERE path = (SELECT min(path) FROM files)", "files")(lambda f: f.join(f.agg(F.min("path").alias("path")), "path").select("file_id", "path"))
+query("DML2_delete_and_count", "SELECT count(*) AS n FROM files WHERE folder <> '/lib/src2/d1'", "files")(lambda f: f.join(f.where("folder = '/lib/src2/d1'").select("file_id"), "file_id", "left_anti").agg(one().alias("n")))
+query("DML3_add_edges", "SELECT DISTINCT least(a, b) AS file_a, greatest(a, b) AS file_b FROM (SELECT file_a AS a, file_b AS b FROM pairs UNION ALL SELECT file_b + 20, file_a FROM pairs WHERE sim > 900) t", "pairs")(
+    lambda p: p.select("file_a", "file_b").union(p.where("sim > 900").select(F.col("file_b") + 20, "file_a")).select(F.least("file_a", "file_b").alias("file_a"), F.greatest("file_a", "file_b").alias("file_b")).distinct())
+query("DML4_blacklist_changes", "SELECT entry_id, path FROM blacklist WHERE entry_id <> 7 UNION SELECT 1000, folder FROM files WHERE is_image", "blacklist", "files")(
+    lambda b, f: b.select(F.col("entry_id").cast("long").alias("entry_id"), "path").where("entry_id <> 7").union(f.where("is_image").select(F.lit(1000).cast("long"), "folder")).distinct())
+query("DML6_cascade_delete", "SELECT file_a, file_b FROM pairs WHERE file_a NOT IN (SELECT file_id FROM files WHERE folder = '/lib/src2/d1') AND file_b NOT IN (SELECT file_id FROM files WHERE folder = '/lib/src2/d1')", "pairs", "files")(
+    lambda p, f: p.join(g := f.where("folder = '/lib/src2/d1'").select(F.col("file_id").alias("gone")), F.col("file_a") == F.col("gone"), "left_anti").join(g, F.col("file_b") == F.col("gone"), "left_anti").select("file_a", "file_b"))
+query("DML11_not_a_match", "SELECT entry_id, path FROM blacklist UNION ALL SELECT DISTINCT (SELECT max(entry_id) + 1 FROM blacklist), path FROM members WHERE group_id = (SELECT min(group_id) FROM members)", "blacklist", "members")(
+    lambda b, m: b.select("entry_id", "path").union(m.join(m.agg(F.min("group_id").alias("group_id")), "group_id").select("path").distinct().join(b.agg((F.max("entry_id") + 1).alias("entry_id")), F.lit(True)).select("entry_id", "path")))
