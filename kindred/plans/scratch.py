@@ -45,14 +45,17 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def delete(self, path: str) -> None:
+        """Delete a file or folder of this run."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that no pending plan reads any more, and let Spark drop the shuffle files behind them."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
             path = self.paths.pop(id(table), None)
             if path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                self.delete(path)
         self.tidy()
 
     def tidy(self) -> None:
