@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import language, toxicity
+from kindred.llm.clustering import CLUSTER_SQL, cluster_vectors
 from kindred.llm.decontamination import find_leaks
 from kindred.llm.embedding_dedup import near_duplicate_vectors
 from kindred.llm.html_text import extract_text
+from kindred.llm.line_dedup import LINES_SQL, dedup_lines
+from kindred.llm.merkle import MERKLE_SQL, lower_some, manifest
 from kindred.llm.mixing import MIX_SQL, mix_sources
 from kindred.llm.near_dedup import NearParams, near_duplicates
 from kindred.llm.pii import digest, find_pii
@@ -73,6 +76,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents share."""
+    return dedup_lines(_read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and proof of every document, a fifth of the proofs folded over lower-cased text."""
+    docs = _read(spark, sf_dir, "documents")
+    return manifest(docs, lower_some(docs))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components."""
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -84,7 +103,10 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 #: The others are fitted models, graph searches and byte sorts, which SQL can't express: tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": MIX_SQL, "op11_line_dedup": LINES_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_centroid_clustering": CLUSTER_SQL}
