@@ -47,11 +47,11 @@ from kindred.plans.scratch import Scratch
 
 _PAD = 0xFF  # in no UTF-8 text
 _FULL = WINDOW + SIDE
-#: A place of an anchor: its text, where it is, and the first and last window that chose it.
-_ID = np.dtype([("rid", "<i8"), ("p", "<i4"), ("e1", "<i4"), ("e2", "<i4")])
+#: A place of an anchor: its text (by its MD5), where it is, and the first and last window that chose it.
+_ID = np.dtype([("rid", "V16"), ("p", "<i4"), ("e1", "<i4"), ("e2", "<i4")])
 #: What a string of a run is: one that stands for several whose result is known; one to decide on; one of the next range.
 KNOWN, OWN, BEYOND = 0, 1, 2
-_FOUND = "rid long, p int, e1 int, e2 int, s binary"
+_FOUND = "rid binary, p int, e1 int, e2 int, s binary"
 _NAMES = ["rid", "p", "e1", "e2", "s"]
 
 
@@ -71,8 +71,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t or b"" for t in texts]
             start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1].astype(np.int64)
             a = anchors(texts, start, np.frombuffer(b"".join(texts), dtype=np.uint8))
-            rid = np.array(part.column("rid").to_pylist(), dtype=np.int64)[a["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a["h"].view(np.int64), rid, *[a[k].astype(np.int32) for k in ("p", "e1", "e2")])], ["h", "rid", "p", "e1", "e2"])
+            rid = part.column("rid").take(pa.array(a["text"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a["h"].view(np.int64)), rid, *[pa.array(a[k].astype(np.int32)) for k in ("p", "e1", "e2")]], ["h", "rid", "p", "e1", "e2"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _shared(strings: list[bytes]) -> np.ndarray:
 
 
 def front_code(strings: list[bytes], ids: bytes, kinds: list[int]) -> bytes:
-    """Sorted strings of equal length as shared prefix lengths and rests. ids: 20 bytes each."""
+    """Sorted strings of equal length as shared prefix lengths and rests. ids: those of _ID, one each."""
     lcp = _shared(strings).astype("<u2")
     rest = b"".join(s[k:] for s, k in zip(strings, lcp.tolist()))
     return zlib.compress(np.array([len(strings), len(strings[0])], dtype="<u4").tobytes() + lcp.tobytes() + bytes(kinds) + ids + rest, 1)
@@ -230,7 +230,7 @@ def _windows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, bytes]]:
     for rid, p, e1, e2, s in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
         for e in range(e1, e2 + 1):
             n = p - e  # bytes before the anchor
-            yield s[: WINDOW - n] + s[WINDOW : WINDOW + n] + bytes([n]), KNOWN if rid is None else OWN, np.array((rid or 0, p, e, e), dtype=_ID).tobytes()
+            yield s[: WINDOW - n] + s[WINDOW : WINDOW + n] + bytes([n]), KNOWN if rid is None else OWN, np.array((rid or bytes(16), p, e, e), dtype=_ID).tobytes()
 
 
 def repeated(strings: list[bytes], share: list[int]) -> list[list[tuple[int, int]]]:
@@ -275,7 +275,7 @@ def _merge(table: pa.Table) -> pa.Table:
     out: list[tuple] = []
     group: list[tuple[bytes, int, int, bytes]] = []
     if (known := _known(table)) is not None:
-        return pa.table({c: pa.array(np.ascontiguousarray(known[c])) for c in _NAMES[:4]} | {"s": pa.nulls(len(known), pa.binary())})
+        return pa.table([_rids(known), *[pa.array(np.ascontiguousarray(known[c])) for c in _NAMES[1:4]], pa.nulls(len(known), pa.binary())], names=_NAMES)
 
     def decide() -> None:
         if len(group) > 1:
@@ -307,7 +307,7 @@ def _merge(table: pa.Table) -> pa.Table:
         else:
             group.append((s, share, kind, key))
     decide()
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     return pa.table({c: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(zip(_NAMES, kinds))})
 
 
@@ -326,7 +326,11 @@ def _equal(table: pa.Table) -> pa.Table:
 
 def _spans(ids: bytes) -> pa.Table:
     rows = np.frombuffer(ids, dtype=_ID)
-    return pa.table({k: pa.array(np.ascontiguousarray(rows[k])) for k in ("rid", "e1", "e2")})
+    return pa.table([_rids(rows), *[pa.array(np.ascontiguousarray(rows[k])) for k in ("e1", "e2")]], names=["rid", "e1", "e2"])
+
+
+def _rids(rows: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(rows["rid"].tobytes())]).cast(pa.binary())
 
 
 def _known(table: pa.Table) -> np.ndarray | None:
@@ -423,14 +427,18 @@ def _cut(texts: bool):
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, params: SortParams = SortParams()) -> tuple[DataFrame, DataFrame]:
-    """(rid, e1, e2): runs of first places of repeated windows, for texts that have any, and (rid, z): those texts and some more, compressed; rid is xxhash64(doc_id, text)."""
+    """(rid, e1, e2): runs of first places of windows that are repeated, between texts or in one, for texts that have any, and (rid, z): those texts and some more, compressed; rid is the MD5 of the text.
+
+    Equal texts are one here: what repeats because a whole text is there twice is for the caller to see.
+    """
     one = F.count_if(F.lit(True))
-    rows = docs.where("octet_length(text) > 0").select(F.xxhash64("doc_id", "text").alias("rid"), "text")
-    found = scratch.save(rows.mapInArrow(_anchor_rows, "h long, rid long, p int, e1 int, e2 int"), "anchors")
+    rows = docs.where("octet_length(text) > 0").select(F.unhex(F.md5("text")).alias("rid"), "text")
+    found = scratch.save(rows.mapInArrow(_anchor_rows, "h long, rid binary, p int, e1 int, e2 int"), "anchors")
     again = scratch.save(found.groupBy("h").agg(one.alias("n")).where("n > 1").select("h"), "again")  # saved, so that the adaptive skew join may split a hot string
-    refs = scratch.save(found.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("p", "e1", "e2")).alias("refs")), "refs")
+    # A set: all copies of a text have the same places.
+    refs = scratch.save(found.join(again, "h").groupBy("rid").agg(F.collect_set(F.struct("p", "e1", "e2")).alias("refs")), "refs")
     scratch.drop(found, again)
-    text = scratch.save(rows.mapInArrow(_packed, "rid long, z binary").join(refs, "rid").dropDuplicates(["rid"]), "texts")
+    text = scratch.save(rows.mapInArrow(_packed, "rid binary, z binary").dropDuplicates(["rid"]).join(refs, "rid"), "texts")
     scratch.drop(refs)
     n = text.agg(F.sum(F.size("refs")).alias("n")).first()["n"] or 0
     # A sample for the splitters comes from as many texts as hold about 16 times its size.
@@ -441,7 +449,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, params: SortParams = SortP
     out, asked = [found.where("s is null").select("rid", "e1", "e2")], found.where("s is not null")
     m = asked.agg(F.sum(F.col("e2") - F.col("e1") + 1).alias("n")).first()["n"] or 0
     if m:
-        out += _Sort(scratch, params, WINDOW + 1, _equal, "rid long, e1 int, e2 int").run(asked, _windows, m)
+        out += _Sort(scratch, params, WINDOW + 1, _equal, "rid binary, e1 int, e2 int").run(asked, _windows, m)
     return _all(out), text.select("rid", "z")
 
 
@@ -449,20 +457,27 @@ def remove_repeats(docs: DataFrame, texts: bool = False, scratch: Scratch | None
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts=True also kept (the remaining bytes).
 
     docs needs doc_id and text; other columns are not read. A null or empty text has 0 bytes
-    and nothing removed. Rows that repeat count as places of their own, so long texts of
-    repeated rows go whole; a null doc_id is a row like others. Texts shorter than WINDOW
-    bytes keep all. An empty table gives none. Removal works on bytes and may cut a
+    and nothing removed. Rows that repeat count as places of their own, whatever their ids, so
+    a text of WINDOW bytes or more that is there twice goes whole; such texts are sorted once,
+    for their parts in other texts. A null doc_id is a row like others. Texts shorter than
+    WINDOW bytes keep all. An empty table gives none. Removal works on bytes and may cut a
     character: kept is binary.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select("doc_id", "text")
+    rid = F.unhex(F.md5("text"))
+    copied = rows.where(F.octet_length("text") >= WINDOW).groupBy(rid.alias("rid")).agg(F.count_if(F.lit(True)).alias("n")).where("n > 1").select("rid")
+    copied = scratch.save(copied, "copied")
     spans, packed = repeated_spans(rows, scratch, params)
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("e1", "e2")).alias("spans"))
-    cut = packed.join(spans, "rid").mapInArrow(_cut(texts), "rid long, removed long, spans long, sha string, kept binary")
+    spans = spans.join(copied, "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("e1", "e2")).alias("spans"))
+    cut = packed.join(spans, "rid").mapInArrow(_cut(texts), "rid binary, removed long, spans long, sha string, kept binary").withColumn("gone", F.lit(False))
+    nothing = F.lit("")
+    cut = cut.union(copied.select("rid", F.lit(None).cast("long"), F.lit(1).cast("long"), F.sha2(nothing, 256), nothing.cast("binary"), F.lit(True)))
     if not texts:
         cut = cut.drop("kept")
-    text = F.coalesce("text", F.lit(""))
-    base = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("id_"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), *([text.cast("binary").alias("all_")] if texts else []))
+    text = F.coalesce("text", nothing)
+    base = rows.select("doc_id", rid.alias("id_"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), *([text.cast("binary").alias("all_")] if texts else []))
     out = base.join(cut, F.col("id_") == F.col("rid"), "left")
     kept = [F.coalesce("kept", "all_").alias("kept")] if texts else []
-    return out.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), *kept)
+    removed = F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0)))
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), *kept)

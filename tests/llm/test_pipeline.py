@@ -1,5 +1,6 @@
 """Every stage of the pipeline against a plain version on its own input."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -9,7 +10,6 @@ from test_mixing import plain as plain_mix
 from test_pii import base
 
 import corpus_pipeline
-from kindred.llm.text import shingle_set
 
 ODD = [(9001, None, None, None), (9002, "", "en", "src1"), (9003, "12 34 !?", "de", None), (9004, "Это русский текст о погоде и природе, в нём нет ничего общего с другими", None, "src2"), (9005, "the and of to that is in for with on this by", None, "src1"), (9005, "the and of to that is in for with on this by", None, "src1"), (None, "la de que los para del las con una por", "es", "src1")]
 
@@ -39,6 +39,12 @@ def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
+def five(text):
+    """Distinct five-word shingles, from plain strings."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "mixing"]
 
@@ -56,9 +62,11 @@ def test_language(stages):
 
 
 def test_near(stages):
-    """One document of each group of five-word shingles at 0.8, the one with the least id."""
+    """One document of each group of five-word shingles at 0.8, the one with the least id, null last."""
     before, after = stages["near_dedup"]
-    rows = [(r.doc_id, set(shingle_set((r.text or "").encode(), 5).tolist())) for r in before if r.doc_id is not None]
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest())
+    rows = sorted({(order(r), r.text) for r in before})
+    sets = [five(t) for _, t in rows]
     up = {}
 
     def top(x):
@@ -66,13 +74,31 @@ def test_near(stages):
             x = up[x]
         return x
 
-    for i, (a, x) in enumerate(rows):
-        for b, y in rows[:i]:
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
-                p, q = top(a), top(b)
+                p, q = top(i), top(j)
                 up[max(p, q)] = min(p, q)
-    want = {str(a) for a, _ in rows if top(a) == a} | {str(r.doc_id) for r in before if r.doc_id is None}
-    assert sorted(str(r.doc_id) for r in after) == sorted(want) and len(after) < len(before)
+    want = [rows[i] for i in range(len(rows)) if top(i) == i]
+    assert sorted((order(r), r.text) for r in after) == want and len(after) < len(before)
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, data):
+    """An id of two texts, equal texts under ids and none: what is like nothing else stays, and one of each group."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight", "north south east west up down left right")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, b), (None, c), (None, c), (None, "short"), (7, "")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, data)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (None, "short"), (7, "")], key=str)
+
+
+def test_leaks_without_id(spark, data):
+    """A null id, and an id of two texts, of which one leaks."""
+    item = max((r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if r.text), key=len)
+    clean = "birds of the northern coast and how they spend the winter months far from home"
+    rows = [(None, f"before it {item} after it"), (1, item), (1, clean), (None, clean), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    got = corpus_pipeline.drop_leaks(spark, docs, data).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, clean), (None, clean), (2, None)], key=str)
 
 
 def subsequence(a, b):

@@ -93,6 +93,15 @@ def test_whole(spark, params):
     assert all(hashlib.sha256(kept[i]).hexdigest() for i in kept)
 
 
+def test_repeated_rows_cost_no_more_than_others(spark):
+    """20,000 equal rows with null ids, and as many under ids, beside a text that shares a part of theirs."""
+    text = "".join(chr(97 + c) for c in np.random.default_rng(2).integers(0, 26, 3000))
+    df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").union(spark.range(20_000).selectExpr("id", f"'z{text}' as text"))
+    df = df.union(spark.createDataFrame([(-1, "a" * 10 + text[100:700] + "b" * 10)], "doc_id long, text string"))
+    got = suffix_dedup.remove_repeats(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(620, 600, 1, 1), (3000, 3000, 1, 20_000), (3001, 3001, 1, 20_000)]
+
+
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     short = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
