@@ -117,3 +117,13 @@ def pair_clusters(pairs: DataFrame) -> DataFrame:
     """(cluster, member): each pair puts both its files under the lesser of them. Clusters overlap and are no components."""
     key = F.least("a", "b").alias("cluster")
     return pairs.select(key, F.col("a").alias("member")).union(pairs.select(key, F.col("b").alias("member"))).distinct()
+
+
+def clip_groups(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assignments, members) of matches (source_idx, source, clip_idx, clip): a clip goes to its source of the least index, and a source that gets a clip makes a group of itself and its clips; a source whose clips all went elsewhere makes none.
+
+    The least of each clip needs no order over all matches, so it is a partial aggregation.
+    """
+    best = matches.groupBy("clip").agg(F.min(F.struct("source_idx", "source")).alias("m")).select(F.col("m.source").alias("source"), "clip")
+    members = best.select(F.col("source").alias("group_id"), F.col("clip").alias("member")).union(best.select("source", "source")).distinct()
+    return best, members

@@ -12,6 +12,7 @@ from kindred.operators import grouping as G
 from kindred.operators import joins as J
 from kindred.operators import kernels as K
 from kindred.operators import ranking as R
+from kindred.plans.scratch import Scratch
 from kindred.sources import store
 from kindred.sources.catalog import table, view, with_views
 from kindred.sources.probe import media_info
@@ -40,6 +41,30 @@ one = lambda: F.count_if(F.lit(True))
 L = lambda c: F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 BI = "CAST({} AS BIGINT)".format
 
+
+def _through_lines(lines: DataFrame, read, *more: str) -> DataFrame:
+    """What reading gives of lines that were written as text files."""
+    path = f"{Scratch(lines.sparkSession).root}/lines"
+    store.write_lines(lines, path)
+    return read(lines.sparkSession, path, *more)
+
+
+def _next_group(groups: DataFrame) -> DataFrame:
+    """The group after each, the first after the last: by ranks over all groups and a join on the next one."""
+    ranked = Scratch(groups.sparkSession).save(S.global_rank(groups, [F.col("group_id")], "r"), "ranked")
+    last = F.broadcast(ranked.agg(F.max("r").alias("last")))
+    return ranked.crossJoin(last).withColumn("r", F.col("r") % F.col("last") + 1).drop("last").join(ranked.select("r", F.col("group_id").alias("next")), "r").select("group_id", "next")
+
+
+def _clips(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs as matches of the longer file, the source, and the other one; sources by falling length."""
+    side = lambda s: files.select(F.col("file_id").alias(f"file_{s}"), F.col("duration").alias(s))
+    met = pairs.join(side("a"), "file_a").join(side("b"), "file_b")
+    first = F.col("a") >= F.col("b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select(F.struct((-F.greatest("a", "b")).alias("secs"), pick("file_a", "file_b").alias("id")).alias("source_idx"), pick("file_a", "file_b").alias("source"), pick("file_b", "file_a").alias("clip"))
+
+
 # ---- 2.1 sources and sinks
 query("SRC3_SRC4_media_type", "SELECT file_id, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'jpg' THEN 'image' WHEN 'mp4' THEN 'video' WHEN 'mkv' THEN 'video' WHEN 'mp3' THEN 'audio' ELSE 'unknown' END AS media FROM files", "files")(
     lambda f: f.select("file_id", S.extension("path").alias("ext"), S.media_type("path").alias("media")))
@@ -56,8 +81,8 @@ _CSV = lambda c: f"CASE WHEN regexp_matches({c}, '[\",\\r\\n]') THEN concat('\"'
 _EXT = "lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1))"
 query("SNK6_group_csv", "SELECT concat_ws(',', group_id, printf('%.1f', sim / 10.0), " + _CSV("path") + ", CAST(size_bytes AS STRING), printf('%.3f', CAST(duration AS DOUBLE)), CAST(frame_size AS STRING), " + _EXT + ", printf('%.2f', CAST(fps AS DOUBLE)), CAST(bitrate AS STRING), CAST(audio_rate AS STRING), strftime(to_timestamp(created) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S'), CASE WHEN is_image THEN 'True' ELSE 'False' END, CAST(flags AS STRING), '0') AS line FROM members", "members")(lambda m: store.csv_lines(store.group_report(m)))
 query("SNK7_pair_csv", "SELECT concat_ws(',', printf('%.4f', sim / 1000.0), CASE p.method WHEN 'FrameSimilarity' THEN 'frame' WHEN 'AudioMatch' THEN 'audio' WHEN 'TimelineMatch' THEN 'timeline' END, printf('%.3f', CAST(clip_offset AS DOUBLE)), " + _CSV("a.path") + ", CAST(a.size_bytes AS STRING), printf('%.3f', CAST(a.duration AS DOUBLE)), CAST(a.width AS STRING), CAST(a.height AS STRING), " + _CSV("b.path") + ", CAST(b.size_bytes AS STRING), printf('%.3f', CAST(b.duration AS DOUBLE)), CAST(b.width AS STRING), CAST(b.height AS STRING)) AS line FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b", "pairs", "files")(lambda p, f: store.csv_lines(store.pair_report(p, f)))
-query("SRC8_SNK4_blacklist_round_trip", "SELECT DISTINCT CAST(dense_rank() OVER (ORDER BY entry_id) - 1 AS INT) AS entry_id, path FROM blacklist", "blacklist")(lambda b: store.parse_blacklist(store.blacklist_json(b)))
-query("SRC7_SNK3_results_round_trip", "SELECT item_id, group_id, sim FROM members", "members")(lambda m: store.parse_results(store.results_json(m.select("item_id", "group_id", "sim")), "item_id:bigint, group_id:string, sim:bigint"))
+query("SRC8_SNK4_blacklist_round_trip", "SELECT DISTINCT CAST(dense_rank() OVER (ORDER BY entry_id) - 1 AS INT) AS entry_id, path FROM blacklist", "blacklist")(lambda b: _through_lines(store.blacklist_lines(b), store.read_blacklist))
+query("SRC7_SNK3_results_round_trip", "SELECT item_id, group_id, sim FROM members", "members")(lambda m: _through_lines(store.results_lines(m.select("item_id", "group_id", "sim"), ["group_id", "item_id"]), store.read_results, "item_id:bigint, group_id:string, sim:bigint"))
 _PROBE = lambda f: f.select("file_id", F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.lit("video").alias("codec_type"), "width", "height", F.concat(F.col("fps").cast("string"), F.lit("/1")).alias("r_frame_rate"), F.when(F.col("file_id") % 2 == 0, F.col("bit_rate").cast("string")).alias("bit_rate"), F.when(F.col("flags") > 8, "smpte2084").alias("color_transfer"))).alias("streams"), F.struct(F.concat(F.col("duration").cast("string"), F.lit(".75")).alias("duration"), F.lit("777").alias("bit_rate")).alias("format"))).alias("j"))
 query("SRC10_SCL4_media_info", "SELECT file_id, duration, width, height, CAST(fps AS FLOAT) AS frame_rate, CASE WHEN file_id % 2 = 0 THEN bit_rate ELSE 777 END AS bit_rate, CASE WHEN flags > 8 THEN 'HDR10' END AS hdr_format FROM files", "files")(
     lambda f: _PROBE(f).withColumn("i", media_info("j")).select("file_id", "i.duration", F.element_at("i.streams", 1).alias("s")).select("file_id", "duration", "s.width", "s.height", "s.frame_rate", "s.bit_rate", "s.hdr_format"))
@@ -121,7 +146,7 @@ query("JN1_SIM4_similarity_join", f"WITH h AS ({_WORD_HASH}) SELECT x.doc_id AS
 query("JN2_JN3_JN4_duration_band_join", "SELECT a.file_id AS a, b.file_id AS b FROM files a JOIN files b ON a.file_id < b.file_id AND a.codec = b.codec AND a.is_image = b.is_image WHERE NOT a.is_image AND abs(a.duration - b.duration) * 100 <= least(a.duration, b.duration) * 2 AND a.duration > 0 AND b.duration > 0", "files")(
     lambda f: J.band_join(f.where("not is_image"), "file_id", "duration", 2, ["codec", "is_image"]))
 query("JN4_tolerance", "SELECT file_id, CAST(least(greatest(duration * 0.01, 5.0), 10.0) AS DOUBLE) AS tol FROM files", "files")(lambda f: f.select("file_id", J.tolerance(F.col("duration").cast("double"), 1, 5.0, 10.0).alias("tol")))
-query("JN5_JN6_containment_join", "SELECT c.file_id AS clip, s.file_id AS source FROM files c JOIN files s ON c.folder = s.folder WHERE c.duration >= 1 AND s.duration >= 1 AND c.duration * 10 >= s.duration AND c.duration * 100 < s.duration * 95", "files")(lambda f: J.containment_join(f, "file_id", "duration", (1, 10), (95, 100), ["folder"]))
+query("JN5_JN6_containment_join", "SELECT c.file_id AS clip, s.file_id AS source FROM files c JOIN files s ON c.duration < s.duration WHERE c.duration >= 1 AND s.duration >= 1 AND c.duration * 10 >= s.duration AND c.duration * 100 < s.duration * 95", "files")(lambda f: J.containment_join(f, "file_id", "duration", (1, 10), (95, 100)))
 _TL = "SELECT user_id, list(block ORDER BY pos) AS b FROM points GROUP BY user_id"
 timelines = lambda p, user, b: series(p).select(F.col("user_id").alias(user), F.col("b").alias(b))
 
@@ -155,8 +180,8 @@ query("ARR3_place_matches", f"SELECT clip, source, CAST(match AS INT) AS match,
 
 query("JN8_average_hash_filter", f"WITH h AS ({_WORD_HASH}) SELECT p.file_a, p.file_b FROM pairs p JOIN h x ON x.doc_id = p.file_a JOIN h y ON y.doc_id = p.file_b WHERE bit_count(xor(x.hash, y.hash)) <= 25", "pairs", "@documents")(
     lambda p, d: p.join(word_hashes(d).select(F.col("id").alias("file_a"), F.col("hash").alias("x")), "file_a").join(word_hashes(d).select(F.col("id").alias("file_b"), F.col("hash").alias("y")), "file_b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 25).select("file_a", "file_b"))
-query("JN9_length_ratio_join", "SELECT a.file_id AS a, b.file_id AS b FROM files a JOIN files b ON a.folder = b.folder AND a.file_id < b.file_id WHERE (greatest(a.duration, b.duration) - least(a.duration, b.duration)) * 100 <= greatest(a.duration, b.duration) * 20", "files")(
-    lambda f: f.alias("a").join(f.alias("b"), (F.col("a.folder") == F.col("b.folder")) & (F.col("a.file_id") < F.col("b.file_id"))).where("(greatest(a.duration, b.duration) - least(a.duration, b.duration)) * 100 <= greatest(a.duration, b.duration) * 20").select(F.col("a.file_id").alias("a"), F.col("b.file_id").alias("b")))
+query("JN9_length_ratio_join", "SELECT a.file_id AS a, b.file_id AS b FROM files a JOIN files b ON a.file_id < b.file_id WHERE a.duration > 0 AND b.duration > 0 AND (greatest(a.duration, b.duration) - least(a.duration, b.duration)) * 100 <= greatest(a.duration, b.duration) * 20", "files")(
+    lambda f: J.ratio_join(f, "file_id", "duration", 20))
 query("JN10_STR4_rescan_one", f"WITH h AS ({_WORD_HASH}) SELECT x.doc_id AS target, y.doc_id AS other, CASE WHEN bit_count(xor(x.hash, y.hash)) <= 2 THEN 'hash' ELSE 'size' END AS method FROM h x JOIN documents dx ON dx.doc_id = x.doc_id JOIN h y ON y.doc_id <> x.doc_id JOIN documents dy ON dy.doc_id = y.doc_id WHERE x.doc_id = 1 AND (bit_count(xor(x.hash, y.hash)) <= 2 OR dx.n_chars = dy.n_chars)", "@documents")(
     lambda d: _rescan(d, 1))
 
@@ -242,12 +267,15 @@ query("WIN5_delete_identical", "SELECT group_id, item_id FROM (SELECT *, row_num
 for _n, _c in (("oldest", "created DESC, item_id"), ("newest", "created, item_id"), ("smaller", "size_bytes DESC, item_id")):
     query(f"WIN7_WIN8_select_{_n}", f"SELECT group_id, item_id FROM ({_RN.format(_c)}) t WHERE rn > 1", "members")(lambda m, c=_c: R.ranked(m, [F.expr(x).desc() if d else F.expr(x).asc() for x, d in ((y.replace(" DESC", "").strip(), "DESC" in y) for y in c.split(","))]).where("rn > 1").select("group_id", "item_id"))
 query("WIN8_invert", "SELECT item_id, NOT checked AS checked FROM members", "members")(lambda m: m.select("item_id", (~F.col("checked")).alias("checked")))
-query("WIN9_clip_assignment", "SELECT clip, source FROM (SELECT file_b AS clip, file_a AS source, row_number() OVER (PARTITION BY file_b % 97 ORDER BY file_a) AS rn FROM pairs) t WHERE rn = 1", "pairs")(lambda p: p.withColumn("rn", F.row_number().over(Window.partitionBy(F.col("file_b") % 97).orderBy("file_a"))).where("rn = 1").select(F.col("file_b").alias("clip"), F.col("file_a").alias("source")))
+_CLIPS = "SELECT CASE WHEN a.duration >= b.duration THEN a.file_id ELSE b.file_id END AS source, greatest(a.duration, b.duration) AS secs, CASE WHEN a.duration >= b.duration THEN b.file_id ELSE a.file_id END AS clip FROM pairs p JOIN files a ON a.file_id = p.file_a JOIN files b ON b.file_id = p.file_b"
+_BEST_CLIP = f"SELECT clip, source FROM (SELECT clip, source, row_number() OVER (PARTITION BY clip ORDER BY secs DESC, source) AS rn FROM ({_CLIPS}) t) u WHERE rn = 1"
+query("WIN9_clip_assignment", _BEST_CLIP, "pairs", "files")(lambda p, f: G.clip_groups(_clips(p, f))[0].select("clip", "source"))
+query("WIN9_clip_groups", f"SELECT source AS group_id, clip AS member FROM ({_BEST_CLIP}) x UNION SELECT source, source FROM ({_BEST_CLIP}) y", "pairs", "files")(lambda p, f: G.clip_groups(_clips(p, f))[1])
 query("WIN10_fir", "SELECT user_id, pos, round(y, 6) AS y FROM (SELECT user_id, pos, (value * 0.25 + lag(value, 1) OVER w * 0.5 + lag(value, 2) OVER w + lag(value, 3) OVER w * 0.5 + lag(value, 4) OVER w * 0.25) / 2.5 AS y FROM points WINDOW w AS (PARTITION BY user_id ORDER BY pos)) t WHERE y IS NOT NULL", "points")(lambda p: K.fir(p, "user_id", "pos", "value").select("user_id", L("pos").alias("pos"), F.round("y", 6).alias("y")))
 query("WIN12_thin_samples", "SELECT user_id, CAST(len(list_reduce(list_transform(list_sort(v), lambda x: [x]), lambda a, b: CASE WHEN b[1] - a[len(a)] >= 5 THEN list_concat(a, b) ELSE a END)) AS INT) AS kept FROM (" + _SERIES + ") t", "points")(lambda p: series(p).withColumn("t", F.array_sort("v")).select("user_id", F.size(K.thin_samples("t", 5.0)).alias("kept")))
 query("WIN13_difference_to_best", "SELECT item_id, CASE WHEN m = 0 THEN NULL ELSE round((size_bytes - m) * 100.0 / m, 6) END AS pct FROM (SELECT item_id, size_bytes, max(size_bytes) OVER (PARTITION BY group_id) AS m FROM members) t", "members")(lambda m: m.withColumn("m", F.max("size_bytes").over(Window.partitionBy("group_id"))).select("item_id", F.when(F.col("m") != 0, F.round((F.col("size_bytes") - F.col("m")) * 100.0 / F.col("m"), 6)).alias("pct")))
 query("WIN15_last_500", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", "@events")(lambda e: e.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id"))
-query("WIN16_next_group", "SELECT g AS group_id, coalesce(lead(g) OVER (ORDER BY g), min(g) OVER ()) AS next FROM (SELECT DISTINCT group_id AS g FROM members) t", "members")(lambda m: m.select(F.col("group_id").alias("g")).distinct().select(F.col("g").alias("group_id"), F.coalesce(F.lead("g").over(Window.orderBy("g")), F.min("g").over(Window.partitionBy(F.lit(0)))).alias("next")))
+query("WIN16_next_group", "SELECT g AS group_id, coalesce(lead(g) OVER (ORDER BY g), min(g) OVER ()) AS next FROM (SELECT DISTINCT group_id AS g FROM members) t", "members")(lambda m: _next_group(m.select("group_id").distinct()))
 
 # ---- 2.7, 2.8 arrays and hashes
 query("ARR4_ARR5_positions", "SELECT file_id, round(greatest(5.0, duration * 0.1) + (duration - 2 * greatest(5.0, duration * 0.1)) * i / 4.0, 6) AS pos FROM files, (SELECT unnest([1, 2, 3]) AS i) t", "files")(lambda f: f.select("file_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.greatest(F.lit(5.0), F.col("duration") * 0.1) + (F.col("duration") - 2 * F.greatest(F.lit(5.0), F.col("duration") * 0.1)) * i / 4.0)).alias("p")).select("file_id", F.round("p", 6).alias("pos")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
+from kindred.sources.versioned import Files
 
 
 def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = S.IMAGE + S.VIDEO, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -49,6 +50,54 @@ def results_json(items: DataFrame, version: int = 1) -> DataFrame:
     return items.agg(F.collect_list(F.struct("*")).alias("items")).select(F.to_json(F.struct(F.lit(version).alias("version"), "items")).alias("value"))
 
 
+RESULTS_HEAD, BLACKLIST_HEAD, TAIL = '{"version":1,"items":[', '{"version":1,"groups":[', "]}"
+
+
+def _as_lines(elements: DataFrame, order: list[str], head: str) -> DataFrame:
+    """(line, value): the lines of one JSON document with an element (value) a line, numbered in the given order; no task holds the document."""
+    ranked = S.global_rank(elements, [F.col(c) for c in [*order, "value"]], "line_")
+    body = ranked.select(F.col("line_").cast("long").alias("line"), F.concat(F.when(F.col("line_") > 1, ",").otherwise(""), "value").alias("value"))
+    return body.union(elements.sparkSession.createDataFrame([(0, head), (1 << 62, TAIL)], body.schema))
+
+
+def results_lines(items: DataFrame, order: list[str]) -> DataFrame:
+    """{version, items} with an item a line."""
+    return _as_lines(items.select(*order, F.to_json(F.struct(*items.columns)).alias("value")), order, RESULTS_HEAD)
+
+
+def blacklist_lines(entries: DataFrame) -> DataFrame:
+    """{version, groups} of (entry_id, path), with a group a line, in order of entry_id."""
+    groups = entries.groupBy("entry_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    return _as_lines(groups.select("entry_id", F.to_json("paths").alias("value")), ["entry_id"], BLACKLIST_HEAD)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files that are the document when put one after the other."""
+    lines.orderBy("line").select("value").write.mode("overwrite").text(path)
+
+
+def _elements(spark: SparkSession, path: str, head: str) -> tuple[DataFrame, DataFrame]:
+    """(line, value) of the elements of files of lines, in order, and the lines that hold a whole document (of either version)."""
+    text = spark.read.text(path).where("trim(value) <> ''")
+    at = text.select("value", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("turn_"))
+    whole = F.col("value").rlike(r'^\s*\{\s*"version".*\}\s*$') | F.col("value").rlike(r"^\s*\[\s*[\[{].*\]\s*$") | (F.trim("value") == "[]")
+    single = at.where(~whole & (F.col("value") != head) & (F.col("value") != TAIL)).withColumn("value", F.regexp_replace("value", "^,", ""))
+    return S.global_rank(single, [F.col(c) for c in ("file_", "block_", "turn_")], "line").select("line", "value"), text.where(whole)
+
+
+def read_results(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """Items of results files, written a line an item or as one line of either version. An element that can't be read has null fields."""
+    single, whole = _elements(spark, path, RESULTS_HEAD)
+    return single.select(F.from_json("value", f"struct<{item}>").alias("i")).select("i.*").unionByName(parse_results(whole, item))
+
+
+def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
+    """(entry_id, path) of blacklist files, numbered as they stand."""
+    single, whole = _elements(spark, path, BLACKLIST_HEAD)
+    groups = single.select((F.col("line") - 1).cast("int").alias("entry_id"), F.explode(F.from_json("value", "array<string>")).alias("path"))
+    return groups.unionByName(parse_blacklist(whole))
+
+
 #: The columns of the group report, in their order, and how a member gives them.
 GROUP_COLUMNS = ("GroupId", "Similarity", "Path", "Size", "Duration", "FrameSize", "Format", "Fps", "BitRateKbs", "AudioFormat", "DateCreated", "IsImage", "Flags", "PartialClipOffset")
 PAIR_COLUMNS = ("Similarity", "Method", "ClipOffsetSecs", "PathA", "SizeA", "DurationA", "WidthA", "HeightA", "PathB", "SizeB", "DurationB", "WidthB", "HeightB")
@@ -102,16 +151,18 @@ def pair_json(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, kind: str) -> None:
-    """csv (quoted where needed), json, text or parquet. The new report is written beside the old one and takes its place when it is whole."""
-    writer = df.write.mode("overwrite")
-    beside = f"{path}.new"
+    """csv (quoted where needed), json, text or parquet. The new report is written beside the old one; that is moved aside, the new one takes its place, and only then the old one goes. A report that a stop between the two moves left aside is moved back first."""
+    files, name = Files(df.sparkSession, path.rsplit("/", 1)[0]), path.rsplit("/", 1)[1]
+    new, old = f"{name}.new", f"{name}.old"
+    if files.exists(old) and not files.exists(name):
+        files.move(old, name)
+    writer, beside = df.write.mode("overwrite"), f"{files.root}/{new}"
     writer.option("header", True).option("quote", '"').option("escape", '"').csv(beside) if kind == "csv" else writer.format(kind).save(beside)
-    jvm = df.sparkSession.sparkContext._jvm
-    to, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = to.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(to, True)
-    if not fs.rename(made, to):
-        raise OSError(f"{beside} is whole but can't take the place of {path}")
+    files.delete(old)
+    if files.exists(name):
+        files.move(name, old)
+    files.move(new, name)
+    files.delete(old)
 
 
 def synthetic_files(spark: SparkSession, n: int, groups: int = 0, group_size: int = 0, seed: int = 42) -> DataFrame:

@@ -9,7 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import chroma as C
+from kindred.operators import grouping as G
+from kindred.operators import joins as J
 from kindred.operators.gate import visual_gate
+from kindred.operators.retrieval import bm25_index, bm25_top
+from kindred.sources import store
 from kindred.sources.versioned import Finding, VersionedStore
 from kindred.streaming import lifecycle
 from kindred.streaming.compare import LiveCompare, equal_rule, hamming_rule
@@ -267,3 +271,81 @@ def test_visual_gate(spark):
     assert got["c", "s", 2] == (1, pytest.approx(1 - 3 / 256), True)  # 1.0 is as near to 0 as to 2: the earlier one
     far = frames.where("file = 's'").union(spark.createDataFrame([("c", 0.0, [255] * 4)], frames.schema))
     assert [r.passes for r in visual_gate(df.limit(1), far).collect()] == [False]
+
+
+def test_documents_of_lines(spark, tmp_path):
+    """The files put together are one JSON document; what is read is in its order, whichever way it is written."""
+    entries = [(i * 3, f"/p{i}/{j}\"x") for i in range(300) for j in range(1 + i % 3)]
+    df = spark.createDataFrame(entries, "entry_id int, path string").repartition(7)
+    store.write_lines(store.blacklist_lines(df), f"{tmp_path}/list")
+    names = sorted(n for n in os.listdir(f"{tmp_path}/list") if n.startswith("part-"))
+    text = "".join((tmp_path / "list" / n).read_text() for n in names)
+    groups = [sorted(p for i, p in entries if i == g) for g in sorted({i for i, _ in entries})]
+    assert json.loads(text) == {"version": 1, "groups": groups}
+    want = sorted((n, p) for n, g in enumerate(groups) for p in g)
+    assert sorted(map(tuple, store.read_blacklist(spark, f"{tmp_path}/list").collect())) == want
+    (tmp_path / "cut").mkdir()
+    for k in range(4):  # as many tasks would leave it
+        (tmp_path / "cut" / f"part-0000{k}.txt").write_text("\n".join(text.split("\n")[k * 80 : (k + 1) * 80]) + "\n")
+    assert sorted(map(tuple, store.read_blacklist(spark, f"{tmp_path}/cut").collect())) == want
+    for content in (json.dumps({"version": 1, "groups": groups}), json.dumps(groups)):
+        (tmp_path / "one.json").write_text(content)
+        assert sorted(map(tuple, store.read_blacklist(spark, f"{tmp_path}/one.json").collect())) == want
+    items = spark.createDataFrame([(i % 5, i, None if i == 3 else f"n{i}") for i in range(200)] + [(1, 1, "n1")], "g int, i int, name string")
+    store.write_lines(store.results_lines(items, ["g", "i"]), f"{tmp_path}/results")
+    text = "".join((tmp_path / "results" / n).read_text() for n in sorted(os.listdir(f"{tmp_path}/results")) if n.startswith("part-"))
+    assert [(r["g"], r["i"]) for r in json.loads(text)["items"]] == sorted((r.g, r.i) for r in items.collect())
+    assert sorted(map(tuple, store.read_results(spark, f"{tmp_path}/results", "g:int, i:int, name:string").collect()), key=str) == sorted(map(tuple, items.collect()), key=str)
+    store.write_lines(store.results_lines(items.limit(0), ["g"]), f"{tmp_path}/empty")
+    assert store.read_results(spark, f"{tmp_path}/empty", "g:int").count() == 0
+
+
+def test_report_survives_a_stop(spark, tmp_path):
+    """A report that was moved aside when the writer stopped is there again after the next write failed, too."""
+    a, path = spark.createDataFrame([("a",)], "value string"), f"{tmp_path}/report"
+    store.write_report(a, path, "text")
+    os.rename(path, f"{path}.old")
+    with pytest.raises(Exception, match="kind|DATA_SOURCE|find"):
+        store.write_report(a, path, "no-such-kind")
+    assert [r.value for r in spark.read.text(path).collect()] == ["a"]
+    store.write_report(spark.createDataFrame([("b",)], "value string"), path, "text")
+    assert [r.value for r in spark.read.text(path).collect()] == ["b"] and sorted(os.listdir(tmp_path)) == ["report"]
+
+
+def test_clip_groups(spark):
+    """Clips that several sources contend for go to the first one; a source whose clips are all taken is in no group."""
+    matches = [(0, "s0", "c10"), (0, "s0", "c11"), (1, "s1", "c10"), (1, "s1", "c11"), (2, "s2", "c10"), (2, "s2", "c12")]
+    best, members = G.clip_groups(spark.createDataFrame(matches, "source_idx int, source string, clip string"))
+    assert sorted(map(tuple, best.collect())) == [("s0", "c10"), ("s0", "c11"), ("s2", "c12")]
+    assert sorted(map(tuple, members.collect())) == [("s0", "c10"), ("s0", "c11"), ("s0", "s0"), ("s2", "c12"), ("s2", "s2")]
+    assert min(r["count"] for r in members.groupBy("group_id").count().collect()) == 2
+    assert all(x.count() == 0 for x in G.clip_groups(spark.createDataFrame([], "source_idx int, source string, clip string")))
+
+
+def test_ratio_joins_at_their_bounds(spark):
+    """Powers and products that lie on the bounds of buckets, zeros and nulls, against all pairs."""
+    values = [None, 0, 1, 2, 4, 5, 8, 9, 10, 11, 64, 80, 95, 99, 100, 101, 125, 512, 640, 800, 999, 1000, 1001, 1250, 10_000, 8_000, 100_000, 10**9, 8 * 10**8]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v long")
+    pairs = [(i, x, j, y) for i, x in enumerate(values) for j, y in enumerate(values) if i != j and x and y]
+    assert sorted(map(tuple, J.ratio_join(df, "id", "v", 20).collect())) == sorted((i, j) for i, x, j, y in pairs if i < j and abs(x - y) * 100 <= max(x, y) * 20)
+    assert sorted(map(tuple, J.containment_join(df, "id", "v", (1, 10), (95, 100)).collect())) == sorted((i, j) for i, x, j, y in pairs if x * 10 >= y and x * 100 < y * 95)
+
+
+def test_bm25(spark):
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    docs = {i: [rng.choice(words) for _ in range(rng.randrange(1, 30))] for i in range(60)}
+    asked = {"q1": ["w1", "w1", "w2"], "q2": ["w3", "nowhere"], "q3": ["nowhere"], "q4": words[:20]}
+    mean, score = sum(map(len, docs.values())) / len(docs), {}
+    for q, terms in asked.items():
+        for i, d in docs.items():
+            if set(terms) & set(d):
+                df = {t: sum(t in x for x in docs.values()) for t in terms}
+                score[q, i] = round(sum(np.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in terms if t in d), 6)
+    want = []
+    for q in asked:
+        best = sorted((i for p, i in score if p == q), key=lambda i: (-score[q, i], i))[:7]
+        want += [(q, i, n + 1, score[q, i]) for n, i in enumerate(best)]
+    texts = spark.createDataFrame([(i, ", ".join(d).upper()) for i, d in docs.items()] + [(None, "w1"), (99, None), (98, "")], "id int, t string")
+    got = bm25_top(spark.createDataFrame([(q, "; ".join(t)) for q, t in asked.items()], "q string, t string"), "q", "t", bm25_index(texts, "id", "t"), 7)
+    assert sorted((*r[:3], round(r[3], 5)) for r in map(tuple, got.collect())) == sorted((*r[:3], round(float(r[3]), 5)) for r in want)
