@@ -12,6 +12,7 @@ from kindred.operators import grouping as G
 from kindred.operators import joins as J
 from kindred.operators import kernels as K
 from kindred.operators import ranking as R
+from kindred.operators import series as X
 from kindred.plans.scratch import Scratch
 from kindred.sources import store
 from kindred.sources.catalog import table, view, with_views
@@ -151,14 +152,6 @@ _TL = "SELECT user_id, list(block ORDER BY pos) AS b FROM points GROUP BY user_i
 timelines = lambda p, user, b: series(p).select(F.col("user_id").alias(user), F.col("b").alias(b))
 
 
-def shorter_over_longer(p: DataFrame) -> DataFrame:
-    """(clip, s, source, l) of all pairs of whole series, the shorter (of equal ones the lower id) as the clip.
-
-    A share of differing bits implies no equal block or band, so no equi-join finds all of them.
-    """
-    return timelines(p, "clip", "s").join(timelines(p, "source", "l"), F.struct(F.size("s"), "clip") < F.struct(F.size("l"), "source"))
-
-
 def neighbours(p: DataFrame) -> DataFrame:
     """(clip, s, source, l) of the series of users that follow one another, the shorter as the clip."""
     both = timelines(p, "u", "x").join(timelines(p, "v", "y"), F.col("u") + 1 == F.col("v"))
@@ -168,12 +161,12 @@ def neighbours(p: DataFrame) -> DataFrame:
 
 
 query("ARR1_JN6_audio_window", f"SELECT clip, source, CAST((best // 100000) AS INT) AS bits, CAST(best % 100000 AS INT) AS pos FROM (SELECT s.user_id AS clip, l.user_id AS source, len(s.b) AS n, list_min(list_transform(range(0, len(l.b) - len(s.b) + 1), lambda o: CAST(list_sum(list_transform(range(1, len(s.b) + 1), lambda k: bit_count(xor(s.b[k], l.b[o + k])))) AS BIGINT) * 100000 + o)) AS best FROM ({_TL}) s JOIN ({_TL}) l ON len(s.b) < len(l.b) OR (len(s.b) = len(l.b) AND s.user_id < l.user_id)) t WHERE (best // 100000) * 100 <= n * 32 * 30", "points")(
-    lambda p: shorter_over_longer(p).withColumn("r", K.sliding_hamming("s", "l", 70)).where("r is not null").select("clip", "source", F.col("r.bits").alias("bits"), F.col("r.offset").alias("pos")))
+    lambda p: X.all_pairs(timelines(p, "id", "b"), X.hamming_window(70), ["bits", "pos"]))
 # Hits of an alignment as a string of ones and zeros: runs end at two misses in a row; what follows the miss above the budget is cut off.
 _ALIGNED = f"SELECT s.user_id AS clip, l.user_id AS source, len(s.b) AS n, o, array_to_string(list_transform(range(1, len(s.b) + 1), lambda k: CASE WHEN bit_count(xor(s.b[k], l.b[o + k])) <= 9 THEN '1' ELSE '0' END), '') AS h FROM ({_TL}) s JOIN ({_TL}) l ON {{}}, unnest(range(0, len(l.b) - len(s.b) + 1)) AS t(o)"
 _SHORTER = "(len(s.b) < len(l.b) OR (len(s.b) = len(l.b) AND s.user_id < l.user_id))"
 query("ARR2_JN7_timeline_join", f"SELECT clip, source, CAST(match AS INT) AS match, CAST(run AS INT) AS run, CAST(o AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY clip, source ORDER BY match DESC, run DESC, o) AS rn FROM (SELECT clip, source, n, o, len(replace(c, '0', '')) AS match, list_max(list_transform(string_split(c, '00'), lambda x: len(rtrim(x, '0')))) AS run FROM (SELECT *, array_to_string(string_split(h, '0')[1:CAST(ceil(n * 0.300000011920929) AS INT) + 1], '0') AS c FROM ({_ALIGNED.format(_SHORTER)}) x WHERE n >= 2) y) z) w WHERE rn = 1 AND match * 12 >= n * 6", "points")(
-    lambda p: shorter_over_longer(p).where("size(s) >= 2").withColumn("r", K.sliding_runs("s", "l", K.hamming_budget(0.85), 1)).where("r.match * 12 >= size(s) * 6").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
+    lambda p: X.all_pairs(timelines(p, "id", "b").where("size(b) >= 2"), X.tolerant_runs(K.hamming_budget(0.85), 1, (6, 12)), ["match", "run", "pos"]))
 query("ARR3_place_matches", f"SELECT clip, source, CAST(match AS INT) AS match, CAST(run AS INT) AS run, CAST(o AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY clip, source ORDER BY match DESC, o) AS rn FROM (SELECT clip, source, o, len(replace(h, '0', '')) AS match, list_max(list_transform(string_split(h, '00'), lambda x: len(replace(x, '0', '')))) AS run FROM ({_ALIGNED.format('abs(s.user_id - l.user_id) = 1 AND ' + _SHORTER)}) x) z) w WHERE rn = 1", "points")(
     lambda p: neighbours(p).withColumn("r", K.sliding_matches("s", "l", K.hamming_budget(0.85), 1)).where("r is not null").select("clip", "source", "r.match", "r.run", F.col("r.offset").alias("pos")))
 
@@ -224,7 +217,7 @@ query("SCL15_ORD10_hamming_knn", f"SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit
 query("SIM5_flipped", f"SELECT x.vec_id AS a, list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[i]))) AS d, list_sum(list_transform(range(1, 65), lambda i: abs(x.f[i] - y.f[((i - 1) // 8) * 8 + 8 - (i - 1) % 8]))) AS dflip FROM ({_PIX}) x JOIN ({_PIX}) y ON y.vec_id = x.vec_id + 1".replace("AS d,", "::BIGINT AS d,").replace("AS dflip", "::BIGINT AS dflip"), "@embeddings")(
     lambda e: frames(e).select(F.col("x.vec_id").alias("a"), F.col("x.f").alias("p"), F.col("y.f").alias("q")).withColumn("r", K.flip("q", 8)).select("a", L(F.round(K.frame_difference("p", "q") * 64 * 256)).alias("d"), L(F.round(K.frame_difference("p", "r") * 64 * 256)).alias("dflip")))
 query("SIM10_SIM6_prefix_similarity", f"SELECT a, b, round(1 - list_sum(list_transform(range(1, n + 1), lambda k: bit_count(xor(sb[k], lb[k])))) / (n * 32.0), 9) AS sim FROM (SELECT s.user_id AS a, l.user_id AS b, s.b AS sb, l.b AS lb, least(len(s.b), len(l.b)) AS n FROM ({_TL}) s JOIN ({_TL}) l ON s.user_id < l.user_id) t", "points")(
-    lambda p: timelines(p, "a", "s").join(timelines(p, "b", "l"), F.col("a") < F.col("b")).withColumn("n", F.least(F.size("s"), F.size("l"))).select("a", "b", F.round(1 - F.aggregate(F.zip_with(F.slice("s", 1, F.col("n")), F.slice("l", 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda z, x: z + x) / (F.col("n") * 32.0), 9).alias("sim")))
+    lambda p: X.all_pairs(timelines(p, "id", "b"), X.prefix_bits(), ["bits", "n"]).select(F.least("clip", "source").alias("a"), F.greatest("clip", "source").alias("b"), F.round(1 - F.col("bits") / (F.col("n") * 32.0), 9).alias("sim")))
 query("SIM9_match_offset", "SELECT user_id, event_id, try_cast(nullif(regexp_extract(concat('x match at offset ', CAST(value AS STRING), ' y'), 'match at offset ([-0-9.]+)', 1), '') AS DOUBLE) AS off FROM events", "@events")(
     lambda e: e.select("user_id", "event_id", F.regexp_extract(F.concat(F.lit("x match at offset "), F.col("value").cast("string"), F.lit(" y")), "match at offset ([-0-9.]+)", 1).cast("double").alias("off")))
 
