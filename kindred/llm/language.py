@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.text import slices
+from kindred.plans.scratch import Scratch
 
 BINS = 1 << 16
 _GAP = re.compile(r"[\W\d_]+")
@@ -82,40 +83,46 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in own], pa.string()), pa.array([b for _, b in own], pa.binary())], ["lang", "bits"])
 
 
+def _unpacked(rows: list[tuple[str, bytes]]) -> np.ndarray:
+    """Presence of packed texts (label, bits), one a row."""
+    return np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+
+
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel | None:
     """A model from the rows of docs whose lang is set and whose crc32(doc_id as text) mod 5 is not 0.
 
-    The fit's sample is params.sample texts at most, about, dealt by a hash of doc_id evenly
-    over all languages; only if there are more languages than that is it a sample of them.
+    The fit's sample is params.sample texts at most, about, dealt by a hash of doc_id and text
+    evenly over all languages, rows that repeat both counting once; only if there are more
+    languages than that is it a sample of them.
     The model holds BINS numbers a language. None if there is nothing to learn from.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").agg(F.count_if(F.lit(True)).alias("n"))
+    dealt = F.xxhash64(F.lit(11), "doc_id", "text")
+    counts = Scratch(docs.sparkSession).save(known.groupBy("lang").agg(F.approx_count_distinct(dealt, 0.02).alias("n")), "languages")
     languages = max(1, counts.count())
     quota, kept = min(params.per_language, max(1, params.sample // languages)), min(1.0, params.sample / languages)
     counts = counts.where(F.pmod(F.xxhash64(F.lit(13), "lang"), F.lit(1_000_000)) < 1_000_000 * kept) if kept < 1 else counts
-    share = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * quota) / F.col("n")
+    share = F.pmod(dealt, F.lit(1_000_000)) < F.lit(1_000_000 * quota) / F.col("n")
     # The counts are bounded by the sample: one row a language, and about params.sample of them.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(share)
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(share).dropDuplicates(["doc_id", "lang", "text"])
     rows = sample.select("lang", "text").mapInArrow(_packed, "lang string, bits binary").collect()
     if not rows:
         return None
     rows = sorted((r["lang"], bytes(r["bits"])) for r in rows)
     labels = tuple(sorted({l for l, _ in rows}))
-    unpack = lambda some: np.unpackbits(np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
     rng, marks = np.random.default_rng(3), []
     for label in labels:
         own = [r for r in rows if r[0] == label]
         marks += [own[i] for i in rng.permutation(len(own))[: max(1, min(params.landmarks, params.most_landmarks // len(labels)))]]
     marks = marks if len(marks) <= params.most_landmarks else [marks[i] for i in sorted(rng.permutation(len(marks))[: params.most_landmarks])]
-    landmark = unpack(marks)
+    landmark = _unpacked(marks)
     landmark /= np.sqrt(landmark.sum(axis=1, keepdims=True))
     value, vector = np.linalg.eigh((landmark @ landmark.T).astype(np.float64))
     good = value > 1e-6 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
     feature = []
     for i in range(0, len(rows), _ROWS):
-        part = unpack(rows[i : i + _ROWS])
+        part = _unpacked(rows[i : i + _ROWS])
         feature.append((part @ landmark.T / np.sqrt(part.sum(axis=1, keepdims=True))) @ root)
     phi = np.concatenate(feature)
     place = {label: i for i, label in enumerate(labels)}

@@ -58,3 +58,48 @@ def test_odd_rows(spark):
     assert language.fit(df.where("false")) is None and language.fit(df.where("text is null")) is None
     assert language.predict(df, None).where("lang_pred <> 'und' or score <> 0").count() == 0
     assert language.predict(df.where("false"), model).count() == 0
+
+
+def test_sample_is_bounded_when_rows_repeat(spark, monkeypatch):
+    """An id under which a third of all rows stand, equal or not, fills no more of the sample than its language's quota; equal rows count once."""
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    same = spark.range(3000).selectExpr(f"{free[0]}L as doc_id", "'the cat sat on the mat' as text", "'en' as lang")
+    other = spark.range(3000).selectExpr(f"{free[1]}L as doc_id", "concat('der hund lief ', id, ' mal durch den wald') as text", "'de' as lang")
+    few = spark.createDataFrame([(i, f"le chat numero {i} dort sur la table", "fr") for i in free[2:30]], "doc_id long, text string, lang string")
+    taken = []
+    real = language._unpacked
+    monkeypatch.setattr(language, "_unpacked", lambda rows: taken.append(len(rows)) or real(rows))
+    model = language.fit(same.union(other).union(few), language.LanguageParams(per_language=50))
+    assert model.labels == ("de", "en", "fr")
+    assert sum(taken[1:]) < 1 + 28 + 100  # the first are the landmarks
+    asked = few.union(same.limit(1))
+    assert [r.lang_pred for r in language.predict(asked, model).collect()] == ["fr"] * 28 + ["en"]
+
+
+def test_equals_a_plain_kernel_ridge(spark):
+    """With all texts as landmarks: kernels from sets of n-grams, and one dense solve a language in the dual."""
+    rnd = random.Random(8)
+    word = {n: ["".join(rnd.choices(letters, k=rnd.randrange(2, 8))) for _ in range(6)] for n, letters in (("aa", "abcdefg"), ("bb", "fghijkl"), ("cc", "klmnopqé"))}
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, " ".join(rnd.choices(word[n], k=rnd.randrange(2, 7))), n) for i, n in zip(free, ["aa"] * 12 + ["bb"] * 9 + ["cc"] * 5)]
+    p = language.LanguageParams()
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+
+    def sets(text):
+        b = (" " + text + " ").encode()
+        return {b[i : i + n] for n in range(1, 5) for i in range(len(b) - n + 1)}
+
+    kernel = lambda xs, ys: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in ys] for x in xs])
+    own = [sets(t) for _, t, _ in rows]
+    asked = [" ".join(rnd.choices(word["aa"] + word["bb"] + word["cc"], k=5)) for _ in range(20)] + [t for _, t, _ in rows]
+    w = np.array([len(rows) / 3 / sum(n == m for *_, m in rows) for *_, n in rows])
+    w_mean, root = w / w.sum(), np.sqrt(w)
+    k, kx = kernel(own, own), kernel([sets(t) for t in asked], own)
+    centred = k - (w_mean @ k)[None] - (k @ w_mean)[:, None] + w_mean @ k @ w_mean
+    centred_x = kx - (w_mean @ k)[None] - (kx @ w_mean)[:, None] + w_mean @ k @ w_mean
+    want = []
+    for name in model.labels:
+        y = np.array([1.0 if n == name else -1.0 for *_, n in rows])
+        dual = root * np.linalg.solve(root[:, None] * centred * root[None] + p.ridge * np.eye(len(rows)), root * (y - w_mean @ y))
+        want.append(w_mean @ y + centred_x @ dual)
+    assert np.abs(model.scores(language._presence(asked)) - np.array(want).T).max() < 0.02
