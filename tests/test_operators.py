@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,44 +132,71 @@ def test_timeline_groups_match_a_fold(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted((g, x) for x, g in group.items())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_constrained_groups_match_a_model(spark, seed):
-    """Sets of members with the hash of the first file; merges keep the first set's."""
-    rnd = random.Random(seed)
-    value = {x: rnd.choice([0, 1, 3, 255, 254]) for x in range(25)}
-    edges = [(a, b) for a, b in edges_of(seed) if a != b]
-    groups = []
-    for a, b in edges:
-        mine = [next((g for g in groups if x in g[1]), None) for x in (a, b)]
-        if mine == [None, None]:
-            groups.append([value[a], {a, b}])
-        elif None not in mine:
-            if mine[0] is not mine[1] and (mine[0][0] ^ mine[1][0]).bit_count() <= 2:
-                mine[0][1] |= mine[1][1]
-                groups = [g for g in groups if g is not mine[1]]
-        else:
-            g, new = (mine[0], b) if mine[1] is None else (mine[1], a)
-            if (g[0] ^ value[new]).bit_count() <= 2:
-                g[1].add(new)
-    got = G.constrained_groups(spark.createDataFrame([(a, b, value[a], value[b]) for a, b in edges], "a long, b long, ha long, hb long"), 2)
-    assert sorted(map(tuple, got.collect())) == sorted((min(m), x) for _, m in groups for x in m)
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_split_chains_match_a_model(spark, seed):
-    edges = edges_of(seed)
+def test_constrained_groups_match_a_model(spark):
+    """Sets of members with the hash of the first file; merges keep the first set's. 40 graphs side by side, in whole and in small blocks."""
+    rows, want = [], []
+    for seed in range(40):
+        rnd = random.Random(seed)
+        value = {x: rnd.choice([0, 1, 3, 255, 254]) for x in range(25)}
+        groups = []
+        for a, b in edges_of(seed):
+            if a == b:
+                continue
+            rows.append((100 * seed + a, 100 * seed + b, value[a], value[b]))
+            mine = [next((g for g in groups if x in g[1]), None) for x in (a, b)]
+            if mine == [None, None]:
+                groups.append([value[a], {a, b}])
+            elif None not in mine:
+                if mine[0] is not mine[1] and (mine[0][0] ^ mine[1][0]).bit_count() <= 2:
+                    mine[0][1] |= mine[1][1]
+                    groups = [g for g in groups if g is not mine[1]]
+            else:
+                g, new = (mine[0], b) if mine[1] is None else (mine[1], a)
+                if (g[0] ^ value[new]).bit_count() <= 2:
+                    g[1].add(new)
+        want += [(100 * seed + min(m), 100 * seed + x) for _, m in groups for x in m]
+    pairs = spark.createDataFrame(rows, "a long, b long, ha long, hb long")
+    for block in (200_000, 7):
+        assert sorted(map(tuple, G.constrained_groups(pairs, 2, block).collect())) == sorted(want)
+
+
+def test_constrained_groups_of_a_chain(spark):
+    """100,000 pairs, each waiting for the one before it, in five blocks; every 1,000th file is unlike the lead."""
+    n = 100_000
+    hash_of = lambda x: 255 if x % 1000 == 999 else 0
+    group, lead = {0: 0}, {0: hash_of(0)}
+    for a in range(n):
+        g = group.get(a)
+        if g is None:
+            group[a] = group[a + 1] = a
+            lead[a] = hash_of(a)
+        elif (lead[g] ^ hash_of(a + 1)).bit_count() <= 2:
+            group[a + 1] = g
+    pairs = spark.range(n).selectExpr("id as a", "id + 1 as b", "if(id % 1000 = 999, 255L, 0L) as ha", "if((id + 1) % 1000 = 999, 255L, 0L) as hb")
+    got = {r.member: r.group_id for r in G.constrained_groups(pairs, 2, 20_000).collect()}
+    assert got == group
+
+
+def test_constrained_groups_of_odd_rows(spark):
+    kind = "a long, b long, ha long, hb long"
+    assert G.constrained_groups(spark.createDataFrame([], kind), 2).count() == 0
+    rows = [(None, 1, 0, 0), (1, None, 0, 0), (5, 5, 0, 0), (1, 2, None, None), (1, 2, None, None), (2, 3, None, 0), (7, 8, -1, -1), (8, 9, -1, -2), (9, 10, -2, 0)]
+    assert sorted(map(tuple, G.constrained_groups(spark.createDataFrame(rows, kind), 2, 2).collect())) == [(1, 1), (1, 2), (7, 7), (7, 8), (7, 9)]
+
+
+def split_model(edges):
+    """Groups by degrees counted anew each time; what left is gathered in the order in which it left."""
     links = {}
     for a, b in edges:
         links.setdefault(a, set()).add(b)
         links.setdefault(b, set()).add(a)
 
-    def reach(start, among):
+    def reach(start, among, key):
         part, todo = [], [start]
         while todo:
             x = todo.pop(0)
-            if x not in part:
-                part.append(x)
-                todo += sorted((links[x] & among) - set(part) - set(todo))
+            part.append(x)
+            todo += sorted((links[x] & among) - set(part) - set(todo), key=key)
         return part
 
     def prune(items):
@@ -185,17 +213,34 @@ def test_split_chains_match_a_model(spark, seed):
     want, seen = [], set()
     for x in sorted(links):
         if x not in seen:
-            whole = sorted(reach(x, set(links)))
+            whole = sorted(reach(x, set(links), None))
             seen |= set(whole)
             kept, gone = prune(whole)
             parts, left = [kept], set(gone)
             for y in gone:
                 if y in left:
-                    part = reach(y, left)
+                    part = reach(y, left, gone.index)
                     left -= set(part)
                     parts.append(prune(part)[0])
             want += [(min(p), m) for p in parts if len(p) > 1 for m in p]
-    assert sorted(map(tuple, G.split_chains(spark.createDataFrame(edges, "a long, b long")).collect())) == sorted(want)
+    return want
+
+
+def test_split_chains_match_a_model(spark):
+    rows, want = [], []
+    for seed in range(80):
+        rnd = random.Random(seed)
+        edges = sorted({tuple(rnd.sample(range(30), 2)) for _ in range(rnd.randint(1, 60))})
+        rows += [(100 * seed + a, 100 * seed + b) for a, b in edges]
+        want += [(100 * seed + g, 100 * seed + x) for g, x in split_model(edges)]
+    assert sorted(map(tuple, G.split_chains(spark.createDataFrame(rows, "a long, b long")).collect())) == sorted(want)
+
+
+def test_split_chains_of_a_long_chain():
+    """One component of 40,000 links in one task: the last three of a chain stay, and of those that left also."""
+    n = 40_000
+    got = G._split(pd.DataFrame({"a": range(n), "b": range(1, n + 1)}))
+    assert sorted(len(g) for _, g in got.groupby("group_id").member) == [3, 3]
 
 
 def test_probe(spark):
