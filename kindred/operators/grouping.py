@@ -88,7 +88,8 @@ def constrained_groups(pairs: DataFrame, limit: int, block: int = 200_000) -> Da
     once, the pairs that are the first open ones of both their groups, counting what the
     block itself decided before them; the others wait for the next round with the groups
     that came of this one. The first open block always ends in its round, so there are no
-    more rounds than blocks; components within a block take one.
+    more rounds than blocks; components within a block take one. Pairs that fit one block
+    need no components. Merged groups form trees, whose components are the final groups.
 
     block: pairs a task holds (up to twice as many where blocks shrank and were put together).
     Pairs with a null end or of a file with itself are ignored; a null hash is near nothing;
@@ -97,13 +98,16 @@ def constrained_groups(pairs: DataFrame, limit: int, block: int = 200_000) -> Da
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession)
     pairs = pairs.where("a is not null and b is not null and a <> b").select(*[F.col(c).cast("long").alias(c) for c in ("a", "b", "ha", "hb")])
     pairs = scratch.save(pairs, "pairs")
-    label = connected_components(pairs, "a", "b", scratch)
-    by = pairs.join(label, F.col("a") == F.col("node")).select("component", "a", "b", "ha", "hb")
-    ranked = global_rank(by, [F.col("component"), F.col("a"), F.col("b")], "r", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if pairs.count() <= block:
+        ranked = pairs.withColumn("r", F.row_number().over(Window.orderBy("a", "b")))
+    else:
+        label = connected_components(pairs, "a", "b", scratch)
+        by = pairs.join(label, F.col("a") == F.col("node")).select("component", "a", "b", "ha", "hb")
+        ranked = global_rank(by, [F.col("component"), F.col("a"), F.col("b")], "r", int(spark.conf.get("spark.sql.shuffle.partitions")))
     yes = F.lit(True)
     open_ = ranked.select(F.floor((F.col("r") - 1) / block).alias("block"), F.col("r").cast("long").alias("r"), F.col("a").alias("ga"), F.col("b").alias("gb"), F.col("ha").alias("la"), F.col("hb").alias("lb"), yes.alias("sa"), yes.alias("sb"))
     open_ = scratch.save(open_, "open")
-    merged = pairs.select("a", "b").limit(0)
+    merged, rounds = pairs.select("a", "b").limit(0), 0
     while not open_.isEmpty():
         sizes = open_.groupBy("block").agg(F.count_if(F.lit(True)).alias("n"))
         together = sizes.select("block", F.floor((F.sum("n").over(Window.orderBy("block")) - 1) / block).alias("to"))
@@ -117,7 +121,10 @@ def constrained_groups(pairs: DataFrame, limit: int, block: int = 200_000) -> Da
         merged = merged.union(moves.where("ga <> gb").select("ga", "gb"))
         left = scratch.save(_moved(_moved(wait, moves, "a"), moves, "b").where("ga <> gb"), "open")
         scratch.drop(open_)
-        open_ = left
+        open_, rounds = left, rounds + 1
+    if rounds == 1:
+        least = moves.groupBy("gb").agg(F.min("ga").alias("group_id"))
+        return moves.join(least, "gb").select("group_id", F.col("ga").alias("member"))
     forest = connected_components(merged, "a", "b", scratch)
     return forest.select(F.col("component").alias("group_id"), F.col("node").alias("member"))
 

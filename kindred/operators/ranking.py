@@ -58,3 +58,29 @@ def deletions(members: DataFrame, strategy: str) -> DataFrame:
     out = ranked(members, by).withColumn("n", F.count_if(F.lit(True)).over(g)).withColumn("least", F.min("sim").over(g)).where("n > 1")
     out = out.where("least >= 1000") if strategy == "identical_only" else out
     return out.where("rn > 1").drop("rn", "n", "least")
+
+
+#: What makes two members of a group the same, apart from the group.
+IDENTITIES = {
+    "full": ("size_bytes", "duration", "frame_size", "format", "audio_format", "audio_channel", "audio_rate", "bitrate", "fps"),
+    "but_size": ("duration", "frame_size", "format", "audio_format", "audio_channel", "audio_rate", "bitrate", "fps"),
+    "but_quality": (),
+    "only_length": ("duration",),
+}
+
+
+def identical(members: DataFrame, identity: str) -> DataFrame:
+    """Members with n_same, the number of others in their group that are the same by the identity; those without any are left out. Nulls are the same as nulls."""
+    keys = ["group_id", *IDENTITIES[identity]]
+    return members.withColumn("n_same", F.count_if(F.lit(True)).over(Window.partitionBy(*keys)) - 1).where("n_same > 0")
+
+
+def group_order(members: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Members in the order of their group's size, total of sizes, or whether it has a checked one (key: size, total, checked), as column v; groups that tie stay together, by their ids.
+
+    Groups are counted before the join, so a large group is partly counted where its rows lie.
+    """
+    value = {"size": F.count_if(F.lit(True)), "total": F.coalesce(F.sum("size_bytes"), F.lit(0)), "checked": F.coalesce(F.bool_or("checked"), F.lit(False))}[key]
+    by = members.groupBy(F.col("group_id").alias("g_")).agg(value.alias("v"))
+    out = members.join(by, F.col("group_id").eqNullSafe(F.col("g_"))).drop("g_")
+    return out.orderBy(F.col("v").desc() if descending else F.col("v").asc(), "group_id", "item_id")

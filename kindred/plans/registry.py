@@ -373,4 +373,4 @@ query("DML6_cascade_delete", "SELECT file_a, file_b FROM pairs WHERE file_a NOT
 query("DML11_not_a_match", "SELECT entry_id, path FROM blacklist UNION ALL SELECT DISTINCT (SELECT max(entry_id) + 1 FROM blacklist), path FROM members WHERE group_id = (SELECT min(group_id) FROM members)", "blacklist", "members")(
     lambda b, m: b.select("entry_id", "path").union(m.join(m.agg(F.min("group_id").alias("group_id")), "group_id").select("path").distinct().join(b.agg((F.max("entry_id") + 1).alias("entry_id")), F.lit(True)).select("entry_id", "path")))
 
-from kindred.plans import live  # noqa: E402, F401  (registers its queries)
+from kindred.plans import decisions, live  # noqa: E402, F401  (register their queries)
