@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.presets import history, presets
 from kindred.operators import kernels as K
 from kindred.operators import ranking as R
 from kindred.plans.registry import _PIX, L, pixels, query, signs
+from kindred.sources import store
 from kindred.sources.eligibility import ScanSettings, comparable, scan_reasons
 
 SETTINGS = ScanSettings(
@@ -90,3 +92,16 @@ for _key, _value in {"size": "count(*) OVER g", "total": "CAST(sum(size_bytes) O
     for _d in ("asc", "desc"):
         query(f"ORD1_group_{_key}_{_d}", f"SELECT group_id, item_id, {_value} AS v FROM members WINDOW g AS (PARTITION BY group_id) ORDER BY v {_d}, group_id, item_id", "members")(
             lambda m, k=_key, d=_d: R.group_order(m, k, d == "desc").select("group_id", "item_id", "v"))
+
+
+_EXPRESSION = "concat('size_bytes > ', CAST(event_id % 4 AS STRING))"
+_LOG = f"SELECT user_id AS owner, CASE event_type WHEN 'error' THEN 'delete' ELSE 'save' END AS action, concat('p', CAST(event_id % 3 AS STRING)) AS name, {_EXPRESSION} AS expression, event_id FROM {{0}}"
+_log = lambda e: e.selectExpr("user_id as owner", "CASE event_type WHEN 'error' THEN 'delete' ELSE 'save' END AS action", "concat('p', CAST(event_id % 3 AS STRING)) AS name", f"{_EXPRESSION} AS expression", "event_id")
+query("UDF3_presets", f"WITH l AS ({_LOG.format('events')}), d AS (SELECT owner, name, max(event_id) AS gone FROM l WHERE action = 'delete' GROUP BY ALL) SELECT l.owner, l.name, arg_max(expression, event_id) AS expression, min(event_id) AS added FROM l LEFT JOIN d ON d.owner IS NOT DISTINCT FROM l.owner AND d.name = l.name WHERE action = 'save' AND (gone IS NULL OR event_id > gone) GROUP BY l.owner, l.name", "@events")(
+    lambda e: presets(_log(e), ["event_id"]).withColumn("added", F.col("added.event_id")))
+query("UDF3_expression_history", f"SELECT owner, expression, max(event_id) AS used FROM ({_LOG.format('events')}) GROUP BY owner, expression ORDER BY owner NULLS FIRST, used DESC", "@events")(
+    lambda e: history(_log(e), ["event_id"]).withColumn("used", F.col("used.event_id")).orderBy("owner", F.desc("used")))
+
+_LABEL = "CASE p.method WHEN 'FrameSimilarity' THEN 'frame' WHEN 'AudioMatch' THEN 'audio' WHEN 'TimelineMatch' THEN 'timeline' END"
+query("SNK7_pair_text", f"SELECT p.file_a, p.file_b, concat('  [', printf('%.1f', sim / 10.0), '% via ', {_LABEL}, CASE WHEN clip_offset % 5 > 0 THEN concat('  offset ', printf('%.1f', CAST(clip_offset AS DOUBLE)), 's') ELSE '' END, ']', chr(10), '    A: ', coalesce(a.path, '?'), chr(10), '    B: ', coalesce(b.path, '?'), chr(10)) AS text FROM pairs p LEFT JOIN files a ON a.file_id = p.file_a AND a.file_id % 9 <> 0 LEFT JOIN files b ON b.file_id = p.file_b AND b.file_id % 9 <> 0", "pairs", "files")(
+    lambda p, f: store.pair_text(p.withColumn("clip_offset", F.when(F.col("clip_offset") % 5 > 0, F.col("clip_offset"))), f.where("file_id % 9 <> 0")))

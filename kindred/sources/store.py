@@ -123,6 +123,23 @@ def pair_report(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return out.select(*own, *[F.coalesce(c, F.lit(empty[c[:-1]])).alias(c) for c in PAIR_COLUMNS[3:]])
 
 
+def pair_text(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_a, file_b, text): the entry of each pair in the text report, of three lines and an empty one; files that are gone are question marks."""
+    side = lambda s: files.select(F.col("file_id").alias(f"file_{s}"), F.col("path").alias(f"path_{s}"))
+    offset = F.when(F.col("clip_offset").isNotNull(), F.format_string("  offset %.1fs", F.col("clip_offset").cast("double"))).otherwise("")
+    head = F.concat(F.format_string("  [%.1f%% via ", F.col("sim") / 10.0), S.method_label("method"), offset, F.lit("]"))
+    text = F.concat_ws("\n", head, *[F.concat(F.lit(f"    {s.upper()}: "), F.coalesce(f"path_{s}", F.lit("?"))) for s in "ab"], F.lit(""))
+    return pairs.join(side("a"), "file_a", "left").join(side("b"), "file_b", "left").select("file_a", "file_b", text.alias("text"))
+
+
+def pair_text_lines(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """(value): the whole text report, its heading first, then pairs by their ids; without pairs, one line that says so."""
+    n = pairs.agg(F.count_if(F.lit(True)).alias("n"))
+    head = n.select(F.lit(None).cast("long").alias("file_a"), F.lit(None).cast("long").alias("file_b"), F.when(F.col("n") > 0, F.format_string("\n=== %d duplicate pair(s) ===\n", "n")).otherwise("No duplicates found.").alias("text"))
+    entries = pair_text(pairs, files).select(F.col("file_a").cast("long"), F.col("file_b").cast("long"), "text")
+    return head.union(entries).orderBy("file_a", "file_b").select(F.col("text").alias("value"))
+
+
 def csv_lines(report: DataFrame) -> DataFrame:
     """(line): a report's rows as CSV, cells quoted where needed."""
     return report.select(F.concat_ws(",", *[S.csv_quote(F.col(c)) for c in report.columns]).alias("line"))

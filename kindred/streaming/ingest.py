@@ -37,15 +37,17 @@ def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress(spark: SparkSession, source: str, schema: StructType, name: str, checkpoint: str, every: str | None = None):
-    """Running counts by event_type in a memory table, complete mode; every (such as "5 minutes"): keeps running and checkpoints that often, else all there is and stop."""
+def progress(spark: SparkSession, source: str, schema: StructType, root: str, checkpoint: str, every: str | None = None):
+    """Running counts by event_type, a version a batch under root, of which latest reads the newest; every (such as "5 minutes"): keeps running and checkpoints that often, else all there is and stop."""
     counts = spark.readStream.schema(schema).parquet(source).groupBy("event_type").agg(F.count_if(F.lit(True)).alias("n"))
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    write = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{root}/v{batch_id:09d}")
+    writer = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def changes(spark: SparkSession, source: str, schema: StructType, key: str, name: str, checkpoint: str):
-    """A feed of keys whose newest row changed, with that row, batch by batch (update mode), in a memory table."""
+def changes(spark: SparkSession, source: str, schema: StructType, key: str, root: str, checkpoint: str):
+    """A feed of keys whose newest row changed, with that row, as Parquet files under root in a folder a batch (column batch); a batch that runs again writes its own folder anew."""
     rows = spark.readStream.schema(schema).parquet(source)
     newest = rows.groupBy(key).agg(F.max(F.struct(*[c for c in rows.columns if c != key])).alias("r"), F.count_if(F.lit(True)).alias("n_seen")).select(key, "r.*", "n_seen")
-    return newest.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    return newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,9 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions.presets import history, presets
 from kindred.operators import kernels as K
 from kindred.operators import ranking as R
 from kindred.plans import registry
+from kindred.sources import store
 from kindred.sources.eligibility import ScanSettings, comparable, scan_reasons, under
 
 
@@ -116,3 +118,22 @@ def test_sorts_keep_their_order_at_another_size(spark):
         cur = con.execute(registry.ORACLE_SQL[name])
         names = [d[0] for d in cur.description]
         assert [tuple(r) for r in registry.QUERIES[name](spark, folder).select(*names).collect()] == cur.fetchall()
+
+
+def test_presets_and_history(spark):
+    log = [("u", "save", "big", "x > 1", 1), ("u", "save", "old", "x > 2", 2), ("u", "save", "big", "x > 3", 3), ("u", "delete", "old", None, 4), ("u", "save", " ", "x > 4", 5), ("u", "delete", "none", None, 6),
+           ("u", "save", "old", "x > 1", 7), (None, "save", "big", "y", 8), (None, "delete", "big", None, 9), (None, "save", "z", "  ", 10), ("v", "rename", "a", "b", 11)]
+    df = spark.createDataFrame(log, "owner string, action string, name string, expression string, t long")
+    got = [(r.owner, r.name, r.expression, r.added.t) for r in presets(df, ["t"]).orderBy("owner", "added").collect()]
+    assert got == [(None, "z", "  ", 10), ("u", "big", "x > 3", 1), ("u", "old", "x > 1", 7)]
+    used = [(r.owner, r.expression) for r in history(df.where("action = 'save'"), ["t"]).orderBy("owner", F.desc("used")).collect()]
+    assert used == [(None, "y"), ("u", "x > 1"), ("u", "x > 4"), ("u", "x > 3"), ("u", "x > 2")]
+    assert presets(df.limit(0), ["t"]).count() == 0 and history(df.limit(0), ["t"]).count() == 0
+
+
+def test_pair_text(spark):
+    pairs = spark.createDataFrame([(1, 2, 1000, "AudioMatch", 3), (1, 9, 955, "FrameSimilarity", None)], "file_a long, file_b long, sim long, method string, clip_offset long")
+    files = spark.createDataFrame([(1, "/a"), (2, "/b")], "file_id long, path string")
+    lines = [r.value for r in store.pair_text_lines(pairs, files).collect()]
+    assert "\n".join(lines) == "\n=== 2 duplicate pair(s) ===\n\n  [100.0% via audio  offset 3.0s]\n    A: /a\n    B: /b\n\n  [95.5% via frame]\n    A: /a\n    B: ?\n"
+    assert [r.value for r in store.pair_text_lines(pairs.limit(0), files).collect()] == ["No duplicates found."]

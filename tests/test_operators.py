@@ -306,16 +306,22 @@ def test_a_batch_that_is_replayed(spark, tmp_path):
 def test_feeds(spark, tmp_path):
     schema = spark.createDataFrame([], "id long, size long, event_type string").schema
     spark.createDataFrame([(1, 10, "a"), (1, 12, "b"), (2, 5, "a")], schema).write.parquet(f"{tmp_path}/src")
-    changes(spark, f"{tmp_path}/src", schema, "id", "feed", f"{tmp_path}/c1").awaitTermination()
-    assert sorted(map(tuple, spark.table("feed").collect())) == [(1, 12, "b", 2), (2, 5, "a", 1)]
-    progress(spark, f"{tmp_path}/src", schema, "seen", f"{tmp_path}/c2").awaitTermination()
-    assert sorted(map(tuple, spark.table("seen").collect())) == [("a", 2), ("b", 1)]
-    timed = progress(spark, f"{tmp_path}/src", schema, "timed", f"{tmp_path}/c3", every="1 hour")
+    feed, seen, timed = (f"{tmp_path}/{n}" for n in ("feed", "seen", "timed"))
+    changes(spark, f"{tmp_path}/src", schema, "id", feed, f"{tmp_path}/c1").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(feed).drop("batch").collect())) == [(1, 12, "b", 2), (2, 5, "a", 1)]
+    progress(spark, f"{tmp_path}/src", schema, seen, f"{tmp_path}/c2").awaitTermination()
+    assert sorted(map(tuple, latest(spark, seen).collect())) == [("a", 2), ("b", 1)]
+    spark.createDataFrame([(2, 4, "c"), (2, 9, "c")], schema).write.mode("append").parquet(f"{tmp_path}/src")
+    changes(spark, f"{tmp_path}/src", schema, "id", feed, f"{tmp_path}/c1").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(feed).where("batch > 0").drop("batch").collect())) == [(2, 9, "c", 3)]
+    progress(spark, f"{tmp_path}/src", schema, seen, f"{tmp_path}/c2").awaitTermination()
+    assert sorted(map(tuple, latest(spark, seen).collect())) == [("a", 2), ("b", 1), ("c", 2)]
+    running = progress(spark, f"{tmp_path}/src", schema, timed, f"{tmp_path}/c3", every="1 hour")
     stop = time.time() + 60
-    while spark.table("timed").count() < 2 and time.time() < stop:
+    while latest(spark, timed) is None and time.time() < stop:
         time.sleep(0.2)
-    timed.stop()
-    assert spark.table("timed").count() == 2
+    running.stop()
+    assert latest(spark, timed).count() == 3
 
 
 def test_stores(spark, tmp_path):
