@@ -5,6 +5,7 @@ import random
 import time
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,14 @@ def test_perceptual_hash(spark):
     assert [(r.x, r.y) for r in got] == [(plain_hash(f),) * 2 for f in frames] + [(None, None)] * 2
 
 
+def test_perceptual_hash_of_cells_that_lie_close():
+    """Frames whose middle cells single precision would swap."""
+    i = np.arange(1024)
+    place = ((i // 32) * (i // 32) + 3 * (i // 32) * (i % 32) + 7 * (i % 32)) % 64
+    frames = np.random.default_rng(2).integers(108, 149, (300_000, 64))[[64_114, 277_898]][:, place]
+    assert K._hash_frames(frames).tolist() == [plain_hash(f) for f in frames.tolist()]
+
+
 def test_sliding_matches(spark):
     pattern = lambda seed: [sum(((13 * (i + 8 * k) + 97 * seed) % 256) << (8 * k) for k in range(7)) for i in range(50)]
     long = pattern(1)
