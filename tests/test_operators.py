@@ -95,6 +95,12 @@ def test_hamming_join_is_lossless(spark, parts):
     assert [tuple(r) for r in sorted(got.collect())] == sorted(want)
 
 
+def test_hamming_join_broadcasts_nothing(spark):
+    """Tables that explode makes many times larger than Spark's sizes say don't pass through the driver."""
+    rows = spark.range(20_000).select("id", F.xxhash64("id").bitwiseAND((1 << 60) - 1).alias("hash"))
+    assert "Broadcast" not in J.hamming_join(rows, 60, 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_match_union_find(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(None, 3)]
