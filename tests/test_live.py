@@ -88,6 +88,17 @@ def test_live_compare_replayed_and_streamed(spark, tmp_path):
         assert {p for p in got if target in p[:2]} == {p for p in plain_pairs(known) if target in p[:2]}
 
 
+def test_live_compare_joins_no_pairs_while_nothing_comes_again(spark, tmp_path):
+    live, known = LiveCompare(spark, str(tmp_path), rules()), {}
+    for n, batch in enumerate([{i: (i // 2 * 1000 + i, i % 3, "x") for i in range(at, at + 12)} for at in (0, 12)]):
+        known |= batch
+        live.process(frame(spark, batch), n)
+    pairs = live.pairs()
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs(known)
+
+
 def test_store_keeps_a_whole_version_wherever_a_writer_stops(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "s")
     store = VersionedStore(spark, root)
