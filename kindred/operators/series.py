@@ -1,13 +1,16 @@
 """All pairs of series, in blocks: a task holds two blocks of series and slides each of one over all of the other at once.
 
-Series are dealt to blocks by length, so a block is sent once for each other block, not once
-for each other series. Within a task, what the totals of set bits already rule out is not
-looked at; the bounds only rule out what can't be in the result, so it is the same.
+Series are dealt to blocks by length and packed, so a block is sent once for each other block,
+not once for each other series. Where two blocks hold few different values, the scores of all
+alignments of many series are one matrix product of one-hot places; else the totals of set
+bits rule out alignments. Both only rule out what can't be in the result, so it is the same.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,25 @@ from kindred.functions.scalars import global_rank
 from kindred.operators.kernels import MISS_BUDGET
 from kindred.plans.scratch import Scratch
 
-#: kernel(short, longs, lengths) -> (which of the longs, one array a column); longs is padded with zeros.
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+VALUES = 64  # different values of two blocks, at most, for matrix products
+CELLS = 1 << 22  # cells of a matrix held at a time, about
+
+
+@dataclass(frozen=True)
+class Kernel:
+    """score(u, v): of places, small whole numbers; can(total, n): whether the scores of n places may give a result; bound(bits, n): the same by the least number of differing bits; exact(short, window) of n columns: (good, keys, columns), where the least keys of a pair win, then the lower offset. offset: whether the last column is the offset. slide: False if only offset 0 counts, and all pairs have a result."""
+
+    score: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    can: Callable[[np.ndarray, int], np.ndarray]
+    bound: Callable[[np.ndarray, int], np.ndarray]
+    exact: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, tuple, tuple]]
+    offset: bool = True
+    slide: bool = True
 
 
 def _places(n: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, offset) of all alignments of n places, rows in order and offsets rising."""
-    many = lengths - n + 1
+    many = np.maximum(lengths - n + 1, 0)
     row = np.repeat(np.arange(len(lengths)), many)
     return row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
 
@@ -37,10 +52,6 @@ def _least_bits(short: np.ndarray, longs: np.ndarray, row: np.ndarray, offset: n
     return np.abs(total[row, offset + n] - total[row, offset] - int(np.bitwise_count(short).sum()))
 
 
-def _windows(longs: np.ndarray, n: int, row: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(longs, n, axis=1)[row, offset]
-
-
 def _first_of_each(row: np.ndarray, *by: np.ndarray) -> np.ndarray:
     """Places of the least entry of each row, by the given keys."""
     order = np.lexsort([*by[::-1], row])
@@ -50,34 +61,26 @@ def _first_of_each(row: np.ndarray, *by: np.ndarray) -> np.ndarray:
 
 def hamming_window(least_pct: int) -> Kernel:
     """(bits, offset) of the best alignment of 32-bit blocks, the lowest offset of equal ones, where it is least_pct % alike or more."""
+    can = lambda bits, n: bits * 100 <= n * 32 * (100 - least_pct)
 
-    def run(short: np.ndarray, longs: np.ndarray, lengths: np.ndarray):
-        n = len(short)
-        row, offset = _places(n, lengths)
-        can = _least_bits(short, longs, row, offset) * 100 <= n * 32 * (100 - least_pct)
-        row, offset = row[can], offset[can]
-        bits = np.bitwise_count(_windows(longs, n, row, offset) ^ short).sum(axis=1, dtype=np.int64)
-        good = bits * 100 <= n * 32 * (100 - least_pct)
-        row, offset, bits = row[good], offset[good], bits[good]
-        at = _first_of_each(row, bits, offset)
-        return row[at], bits[at], offset[at]
+    def exact(short: np.ndarray, window: np.ndarray):
+        bits = np.bitwise_count(window ^ short).sum(axis=1, dtype=np.int64)
+        return can(bits, short.shape[1]), (bits,), (bits,)
 
-    return run
+    return Kernel(lambda u, v: np.bitwise_count(u ^ v), can, can, exact)
 
 
 def tolerant_runs(bits: int, gap: int, least: tuple[int, int], width: int = 64) -> Kernel:
     """(match, run, offset) of the best alignment with gaps, as kernels.sliding_runs has it, where at least least[0] of least[1] places match."""
+    can = lambda match, n: match * least[1] >= n * least[0]
+    # Places that match differ in `bits` at most, others in `width`: so many at least must miss.
+    bound = lambda total, n: can(n - np.maximum(0, -(-(total - bits * n) // (width - bits))), n)
 
-    def run(short: np.ndarray, longs: np.ndarray, lengths: np.ndarray):
-        n = len(short)
-        row, offset = _places(n, lengths)
-        # Places that match differ in `bits` at most, others in `width`: so many at least must miss.
-        missing = np.maximum(0, -(-(_least_bits(short, longs, row, offset) - bits * n) // (width - bits)))
-        can = (n - missing) * least[1] >= n * least[0]
-        row, offset = row[can], offset[can]
-        hits = np.bitwise_count(_windows(longs, n, row, offset) ^ short) <= bits
+    def exact(short: np.ndarray, window: np.ndarray):
+        n = short.shape[1]
+        hits = np.bitwise_count(window ^ short) <= bits
         budget = int(np.ceil(n * MISS_BUDGET))
-        match, length, bridged, best, miss = np.zeros((5, len(row)), dtype=np.int64)
+        match, length, bridged, best, miss = np.zeros((5, len(short)), dtype=np.int64)
         for k in range(n):
             go, hit = miss <= budget, hits[:, k]
             bridge = ~hit & (bridged < gap)
@@ -86,67 +89,137 @@ def tolerant_runs(bits: int, gap: int, least: tuple[int, int], width: int = 64)
             best = np.where(go & hit, np.maximum(best, length), best)
             match += go & hit
             miss += go & ~hit
-        good = match * least[1] >= n * least[0]
-        row, offset, match, best = row[good], offset[good], match[good], best[good]
-        at = _first_of_each(row, -match, -best, offset)
-        return row[at], match[at], best[at], offset[at]
+        return can(match, n), (-match, -best), (match, best)
 
-    return run
+    return Kernel(lambda u, v: np.bitwise_count(u ^ v) <= bits, can, bound, exact)
 
 
 def prefix_bits() -> Kernel:
     """(bits, n): differing bits over the places both have."""
-
-    def run(short: np.ndarray, longs: np.ndarray, lengths: np.ndarray):
-        n = len(short)
-        return np.arange(len(longs)), np.bitwise_count(longs[:, :n] ^ short).sum(axis=1, dtype=np.int64), np.full(len(longs), n)
-
-    return run
-
-
-def _padded(values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(v) for v in values])
-    grid = np.zeros((len(values), int(lengths.max(initial=0))), dtype=np.int64)
-    for i, v in enumerate(values):
-        grid[i, : len(v)] = v
-    return grid.view(np.uint64), lengths
-
-
-def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int = 128) -> DataFrame:
+    every = lambda total, n: np.ones(np.shape(total), dtype=bool)
+
+    def exact(short: np.ndarray, window: np.ndarray):
+        bits = np.bitwise_count(window ^ short).sum(axis=1, dtype=np.int64)
+        return every(bits, 0), (), (bits, np.full(len(bits), short.shape[1]))
+
+    return Kernel(lambda u, v: np.bitwise_count(u ^ v), every, every, exact, offset=False, slide=False)
+
+
+def _candidates(kernel: Kernel, shorts: np.ndarray, longs: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(short, row, offset) of the alignments that may give a result, all those of a short and a row together; shorts are equally long."""
+    n = shorts.shape[1]
+    values = np.unique(np.concatenate([np.unique(shorts), np.unique(longs)]))
+    if len(values) > VALUES:
+        for a, short in enumerate(shorts):
+            row, offset = _places(n, lengths)
+            can = kernel.bound(_least_bits(short, longs, row, offset), n)
+            yield np.full(int(can.sum()), a), row[can], offset[can]
+        return
+    table = kernel.score(values[:, None], values[None, :]).astype(np.float64)
+    kind = np.float32 if n * table.max() < 1 << 24 else np.float64  # sums stay exact
+    left = table.astype(kind)[np.searchsorted(values, shorts)].reshape(len(shorts), -1)
+    hot = np.eye(len(values), dtype=kind)[np.searchsorted(values, longs)]
+    step = len(values)
+    at = 0
+    while at < len(longs):
+        width = int(lengths[at:].max())
+        take = max(1, CELLS // max(1, (width - n + 1) * max(n * step, len(shorts))))
+        row, offset = _places(n, lengths[at : at + take])
+        # Alignments of one series are at most CELLS cells at a time; longer ones are cut by offsets, whose results meet again in _best.
+        some = max(1, CELLS // max(n * step, len(shorts))) if take == 1 else len(row)
+        flat = hot[at : at + take].reshape(min(take, len(longs) - at), -1)
+        kept = []
+        for low in range(0, len(row), max(some, 1)):
+            r, o = row[low : low + some], offset[low : low + some]
+            windows = np.lib.stride_tricks.sliding_window_view(flat, n * step, axis=1)[r, o * step]
+            a, k = np.nonzero(kernel.can(left @ windows.T, n))
+            kept.append((a, at + r[k], o[k]))
+        if kept:
+            yield tuple(np.concatenate(c) for c in zip(*kept))
+        at += take
+
+
+def _best(kernel: Kernel, shorts: np.ndarray, longs: np.ndarray, lengths: np.ndarray, first: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(short, row, *columns) of the pairs that have a result; first: the place of the first short among longs, if they are of one block, of which only later rows count."""
+    n = shorts.shape[1]
+    if not kernel.slide:
+        start = [0 if first is None else a + first + 1 for a in range(len(shorts))]
+        cols = zip(*(kernel.exact(shorts[a : a + 1], longs[at:, :n])[2] for a, at in enumerate(start)))
+        many = [len(longs) - at for at in start]
+        yield (np.repeat(np.arange(len(shorts)), many), np.concatenate([np.arange(at, len(longs)) for at in start]), *map(np.concatenate, cols))
+        return
+    for a, row, offset in _candidates(kernel, shorts, longs, lengths):
+        if first is not None:
+            later = row > a + first
+            a, row, offset = a[later], row[later], offset[later]
+        done = []
+        for low in range(0, len(a), max(1, CELLS // n)):
+            x, r, o = (c[low : low + max(1, CELLS // n)] for c in (a, row, offset))
+            good, keys, cols = kernel.exact(shorts[x], np.lib.stride_tricks.sliding_window_view(longs, n, axis=1)[r, o])
+            done.append([c[good] for c in (x, r, o, *cols, *keys)])
+        if done:
+            x, r, o, *more = (np.concatenate(c) for c in zip(*done))
+            cols, keys = more[: len(more) - len(keys)], more[len(more) - len(keys) :]
+            if kernel.slide:
+                at = _first_of_each(x * len(longs) + r, *keys, o)
+                x, r, o, cols = x[at], r[at], o[at], [c[at] for c in cols]
+            yield (x, r, *cols, o) if kernel.offset else (x, r, *cols)
+
+
+def _padded(lengths: np.ndarray, z: bytes) -> np.ndarray:
+    """The packed series, a row each, filled up with zeros."""
+    grid = np.zeros((len(lengths), int(lengths.max(initial=0))), dtype=np.int64)
+    grid[np.arange(grid.shape[1]) < lengths[:, None]] = np.frombuffer(zlib.decompress(z), dtype="<i8")
+    return grid.view(np.uint64)
+
+
+def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int | None = None) -> DataFrame:
     """(clip, source, *columns) for each pair of series that the kernel has a result for; clip is the shorter one, of equally long ones that with the lesser id.
 
     series: id, b (an array of 32- or 64-bit blocks as longs). Null or empty arrays are in no
     pair, a null block counts as 0, and a null id is an id. Every pair is looked at, so the
-    work grows with the square of the number of series.
+    work grows with the square of the number of series. block: series of a block; by default
+    so many that what is sent stays small beside the work, and a block bounded.
     """
     spark, scratch = series.sparkSession, Scratch(series.sparkSession)
     kind = series.schema["id"].dataType
+    name = kind.simpleString()
     slim = series.where(F.size("b") > 0).select("id", F.transform("b", lambda x: F.coalesce(x, F.lit(0)).cast("long")).alias("b"), F.size("b").alias("n"))
-    ranked = global_rank(slim, [F.col("n").asc(), F.col("id").asc()], "r")
+    ranked = scratch.save(global_rank(slim, [F.col("n").asc(), F.col("id").asc()], "r"), "ranked")
+    count, longest = ranked.agg(F.count_if(F.lit(True)), F.coalesce(F.max("n"), F.lit(1))).first()
+    block = block or max(1, min(2048, max(128, count // 64), CELLS // longest))
     blocks = ranked.groupBy(F.floor((F.col("r") - 1) / block).alias("i")).agg(F.array_sort(F.collect_list(F.struct("r", "id", "b"))).alias("s"))
-    blocks = scratch.save(blocks.select("i", F.col("s.id").alias("ids"), F.col("s.b").alias("values")), "blocks")
-    many = blocks.count()
-    left = blocks.withColumn("j", F.explode(F.sequence("i", F.lit(many - 1).cast("long")))) if many else blocks.withColumn("j", F.col("i"))
-    right = blocks.select(F.col("i").alias("j"), F.col("ids").alias("ids2"), F.col("values").alias("values2"))
-    tasks = max(1, min(many * (many + 1) // 2, 4 * spark.sparkContext.defaultParallelism))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, ids, values = (batch.column(c).slice(k, 1) for c in ("i", "ids", "values"))
+                rows = values.flatten()
+                lengths = rows.value_lengths()
+                z = zlib.compress(rows.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([i, ids, pa.array([lengths.to_pylist()], pa.list_(pa.int32())), pa.array([z], pa.binary())], ["i", "ids", "n", "z"])
+
+    packed = blocks.select("i", F.col("s.id").alias("ids"), F.col("s.b").alias("values")).mapInArrow(pack, f"i long, ids array<{name}>, n array<int>, z binary")
+    packed = scratch.save(packed, "blocks")
+    many = -(-count // block)
+    left = packed.withColumn("j", F.explode(F.sequence("i", F.lit(max(many - 1, 0)).cast("long"))))
+    right = packed.select(F.col("i").alias("j"), F.col("ids").alias("ids2"), F.col("n").alias("n2"), F.col("z").alias("z2"))
+    every = many * (many + 1) // 2
+    tasks = max(1, min(every, max(4 * spark.sparkContext.defaultParallelism, every // 32)))
     work = left.join(right, "j").repartition(tasks, "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = to_arrow_type(kind)
         for batch in batches:
             for k in range(batch.num_rows):
-                i, j, ids, values, ids2, values2 = [batch.column(c)[k].as_py() for c in ("i", "j", "ids", "values", "ids2", "values2")]
-                longs, lengths = _padded(values2)
-                clip, source, found = [], [], []
-                for a, v in enumerate(values):
-                    start = a + 1 if i == j else 0
-                    if start < len(ids2):
-                        row, *cols = kernel(np.array(v, dtype=np.int64).view(np.uint64), longs[start:], lengths[start:])
-                        clip += [ids[a]] * len(row)
-                        source += [ids2[start + r] for r in row.tolist()]
-                        found.append(np.stack(cols) if len(row) else np.zeros((len(columns), 0), dtype=np.int64))
-                every = np.concatenate(found, axis=1) if found else np.zeros((len(columns), 0), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(clip, id_type), pa.array(source, id_type), *[pa.array(c.astype(np.int32)) for c in every]], ["clip", "source", *columns])
-
-    name = kind.simpleString()
-    return work.select("i", "j", "ids", "values", "ids2", "values2").mapInArrow(run, f"clip {name}, source {name}, " + ", ".join(f"{c} int" for c in columns))
+                i, j, n, z, n2, z2 = (batch.column(c)[k].as_py() for c in ("i", "j", "n", "z", "n2", "z2"))
+                ids, ids2 = batch.column("ids")[k].values, batch.column("ids2")[k].values
+                n, n2 = np.array(n), np.array(n2)
+                shorts, longs = _padded(n, z), _padded(n2, z2)
+                cut = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1], [True]]))  # equally long ones lie together
+                for low, high in zip(cut, cut[1:]):
+                    for at in range(low, high, 128):
+                        for a, row, *cols in _best(kernel, shorts[at : min(at + 128, high), : n[low]], longs, n2, int(at) if i == j else None):
+                            if len(a):
+                                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + at)), ids2.take(pa.array(row)), *[pa.array(c.astype(np.int32)) for c in cols]], ["clip", "source", *columns])
+
+    return work.select("i", "j", "ids", "n", "z", "ids2", "n2", "z2").mapInArrow(run, f"clip {name}, source {name}, " + ", ".join(f"{c} int" for c in columns))
