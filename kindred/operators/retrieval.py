@@ -23,15 +23,19 @@ def _terms(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key_"), F.explode(words).alias("term")).where("term <> ''").groupBy("key_", "term").agg(F.count_if(F.lit(True)).alias("n"))
 
 
-def bm25_index(docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, scratch: Scratch | None = None) -> Index:
+def bm25_index(docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, scratch: Scratch | None = None, queries: DataFrame | None = None) -> Index:
     """Postings with their weights, saved by term; lengths and document counts are sums over the postings.
 
     Rows that share a key are one document; null keys and texts are left out. One row of totals is broadcast.
+    queries: texts in a column of the name of text; only their words' postings are weighed and saved, with
+    lengths and counts over all words as before.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     tf = scratch.save(_terms(docs, key, text), "terms")
     length = tf.groupBy("key_").agg(F.sum("n").alias("len"))
     total = length.agg(F.count_if(F.lit(True)).alias("docs"), F.avg("len").alias("mean"))
+    if queries is not None:
+        tf = tf.join(_terms(queries.select(F.lit(0).alias("q"), text), "q", text).select("term"), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count_if(F.lit(True)).alias("df"))
     met = tf.join(length, "key_").join(df, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -360,3 +360,13 @@ def test_bm25(spark):
     texts = spark.createDataFrame([(i, ", ".join(d).upper()) for i, d in docs.items()] + [(None, "w1"), (99, None), (98, "")], "id int, t string")
     got = bm25_top(spark.createDataFrame([(q, "; ".join(t)) for q, t in asked.items()], "q string, t string"), "q", "t", bm25_index(texts, "id", "t"), 7)
     assert sorted((*r[:3], round(r[3], 5)) for r in map(tuple, got.collect())) == sorted((*r[:3], round(float(r[3]), 5)) for r in want)
+
+
+def test_bm25_of_asked_words_only(spark):
+    """Postings of the queries' words alone, with the weights that they have among all."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(3 + i))) for i in range(20)], "id int, t string")
+    asked = spark.createDataFrame([("a", "w1 w2 W1"), ("b", "w5 nowhere")], "q string, t string")
+    whole, few = bm25_index(docs, "id", "t"), bm25_index(docs, "id", "t", queries=asked)
+    assert sorted(few.postings.collect()) == sorted(whole.postings.where("term in ('w1', 'w2', 'w5')").collect())
+    assert few.postings.count() < whole.postings.count()
+    assert sorted(bm25_top(asked, "q", "t", few).collect()) == sorted(bm25_top(asked, "q", "t", whole).collect())
