@@ -1,7 +1,8 @@
 """All pairs of series, in blocks: a task holds two blocks of series and slides each of one over all of the other at once.
 
-Series are dealt to blocks by length and packed, so a block is sent once for each other block,
-not once for each other series. Where two blocks hold few different values, the scores of all
+Series are dealt to blocks by length and content and packed, so a block is sent once for each
+other block, not once for each other series. Copies within a block are looked at once and
+share what is found. Where two blocks hold few different values, the scores of all
 alignments of many series are one matrix product of one-hot places; else the totals of set
 bits rule out alignments. Both only rule out what can't be in the result, so it is the same.
 """
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,11 +26,12 @@ from kindred.plans.scratch import Scratch
 
 VALUES = 64  # different values of two blocks, at most, for matrix products
 CELLS = 1 << 22  # cells of a matrix held at a time, about
+ROWS = 1 << 20  # pairs handed on at a time
 
 
 @dataclass(frozen=True)
 class Kernel:
-    """score(u, v): of places, small whole numbers; can(total, n): whether the scores of n places may give a result; bound(bits, n): the same by the least number of differing bits; exact(short, window) of n columns: (good, keys, columns), where the least keys of a pair win, then the lower offset. offset: whether the last column is the offset. slide: False if only offset 0 counts, and all pairs have a result."""
+    """score(u, v): of places, small whole numbers; can(total, n): whether the scores of n places may give a result; bound(bits, n): the same by the least number of differing bits; exact(short, window) of n columns: (good, keys, columns), where the least keys of a pair win, then the lower offset. offset: whether the last column is the offset. slide: False if only offset 0 counts, and all pairs have a result. Of equally long series, either may be the short one."""
 
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     can: Callable[[np.ndarray, int], np.ndarray]
@@ -140,17 +143,19 @@ def _candidates(kernel: Kernel, shorts: np.ndarray, longs: np.ndarray, lengths:
 
 
 def _best(kernel: Kernel, shorts: np.ndarray, longs: np.ndarray, lengths: np.ndarray, first: int | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(short, row, *columns) of the pairs that have a result; first: the place of the first short among longs, if they are of one block, of which only later rows count."""
+    """(short, row, *columns) of the pairs that have a result; first: the place of the first short among longs, if they are of one block, of which only the same and later rows count."""
     n = shorts.shape[1]
     if not kernel.slide:
-        start = [0 if first is None else a + first + 1 for a in range(len(shorts))]
-        cols = zip(*(kernel.exact(shorts[a : a + 1], longs[at:, :n])[2] for a, at in enumerate(start)))
-        many = [len(longs) - at for at in start]
-        yield (np.repeat(np.arange(len(shorts)), many), np.concatenate([np.arange(at, len(longs)) for at in start]), *map(np.concatenate, cols))
+        for low in range(0, len(longs), 2048):
+            part = longs[low : low + 2048, :n]
+            start = [0 if first is None else min(len(part), max(0, a + first - low)) for a in range(len(shorts))]
+            cols = zip(*(kernel.exact(shorts[a : a + 1], part[at:])[2] for a, at in enumerate(start)))
+            many = [len(part) - at for at in start]
+            yield (np.repeat(np.arange(len(shorts)), many), np.concatenate([np.arange(low + at, low + len(part)) for at in start]), *map(np.concatenate, cols))
         return
     for a, row, offset in _candidates(kernel, shorts, longs, lengths):
         if first is not None:
-            later = row > a + first
+            later = row >= a + first
             a, row, offset = a[later], row[later], offset[later]
         done = []
         for low in range(0, len(a), max(1, CELLS // n)):
@@ -166,60 +171,108 @@ def _best(kernel: Kernel, shorts: np.ndarray, longs: np.ndarray, lengths: np.nda
             yield (x, r, *cols, o) if kernel.offset else (x, r, *cols)
 
 
-def _padded(lengths: np.ndarray, z: bytes) -> np.ndarray:
-    """The packed series, a row each, filled up with zeros."""
+def _padded(lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Series, a row each, filled up with zeros."""
     grid = np.zeros((len(lengths), int(lengths.max(initial=0))), dtype=np.int64)
-    grid[np.arange(grid.shape[1]) < lengths[:, None]] = np.frombuffer(zlib.decompress(z), dtype="<i8")
-    return grid.view(np.uint64)
+    grid[np.arange(grid.shape[1]) < lengths[:, None]] = flat
+    return grid
+
+
+def _pack(lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
+    """(copies, lengths, values, codes) of sorted series, each run of copies once."""
+    grid = _padded(lengths, flat)
+    new = np.flatnonzero(np.concatenate([[True], (lengths[1:] != lengths[:-1]) | (grid[1:] != grid[:-1]).any(axis=1)]))
+    kept = grid[new][np.arange(grid.shape[1]) < lengths[new, None]]
+    values, codes = np.unique(kept, return_inverse=True)
+    if len(values) > 1 << 16:
+        values, codes = values[:0], kept
+    codes = codes.astype("u1" if 0 < len(values) <= 256 else "<u2" if len(values) else "<i8")
+    return np.diff(np.append(new, len(lengths))), lengths[new], values.astype("<i8").tobytes(), zlib.compress(codes.tobytes(), 1)
+
+
+def _unpacked(lengths: np.ndarray, v: bytes, z: bytes) -> np.ndarray:
+    """The packed series, a row each."""
+    values, codes = np.frombuffer(v, dtype="<i8"), zlib.decompress(z)
+    flat = values[np.frombuffer(codes, dtype="u1" if len(values) <= 256 else "<u2")] if len(values) else np.frombuffer(codes, dtype="<i8")
+    return _padded(lengths, flat).view(np.uint64)
+
+
+def _copies(a: np.ndarray, b: np.ndarray, many: np.ndarray, many2: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, k): each copy of a[k] with each of b[k], by their places in the two blocks, in pieces; same: of one block, whose copies meet each other once."""
+    at, at2 = np.cumsum(many) - many, np.cumsum(many2) - many2
+    ends = np.cumsum(many[a] * many2[b])
+    starts = ends - many[a] * many2[b]
+    for low in range(0, int(ends[-1]) if len(ends) else 0, ROWS):
+        high = min(low + ROWS, int(ends[-1]))
+        first, last = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high, "left")
+        ks = np.arange(first, last)
+        k = np.repeat(ks, np.minimum(ends[ks], high) - np.maximum(starts[ks], low))
+        x, y = np.divmod(np.arange(low, high) - starts[k], many2[b[k]])
+        x, y = at[a[k]] + x, at2[b[k]] + y
+        if same:
+            good = (a[k] != b[k]) | (x < y)
+            x, y, k = x[good], y[good], k[good]
+        yield x, y, k
 
 
 def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int | None = None) -> DataFrame:
     """(clip, source, *columns) for each pair of series that the kernel has a result for; clip is the shorter one, of equally long ones that with the lesser id.
 
     series: id, b (an array of 32- or 64-bit blocks as longs). Null or empty arrays are in no
-    pair, a null block counts as 0, and a null id is an id. Every pair is looked at, so the
-    work grows with the square of the number of series. block: series of a block; by default
-    so many that what is sent stays small beside the work, and a block bounded.
+    pair, a null block counts as 0, and a null id is an id. Every pair of different series is
+    looked at, so the work grows with the square of their number; copies that are dealt to a
+    block count once. ids are of a type that Arrow sorts (numbers, strings, times). block:
+    series of a block; by default so many that what is sent stays small beside the work, and
+    a block bounded.
     """
     spark, scratch = series.sparkSession, Scratch(series.sparkSession)
     kind = series.schema["id"].dataType
     name = kind.simpleString()
     slim = series.where(F.size("b") > 0).select("id", F.transform("b", lambda x: F.coalesce(x, F.lit(0)).cast("long")).alias("b"), F.size("b").alias("n"))
-    ranked = scratch.save(global_rank(slim, [F.col("n").asc(), F.col("id").asc()], "r"), "ranked")
+    ranked = scratch.save(global_rank(slim, [F.col("n").asc(), F.col("b").asc(), F.col("id").asc()], "r"), "ranked")
     count, longest = ranked.agg(F.count_if(F.lit(True)), F.coalesce(F.max("n"), F.lit(1))).first()
-    block = block or max(1, min(2048, max(128, count // 64), CELLS // longest))
+    block = block or max(1, min(8192, max(128, count // 32), CELLS // longest))
     blocks = ranked.groupBy(F.floor((F.col("r") - 1) / block).alias("i")).agg(F.array_sort(F.collect_list(F.struct("r", "id", "b"))).alias("s"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
         for batch in batches:
             for k in range(batch.num_rows):
                 i, ids, values = (batch.column(c).slice(k, 1) for c in ("i", "ids", "values"))
                 rows = values.flatten()
-                lengths = rows.value_lengths()
-                z = zlib.compress(rows.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([i, ids, pa.array([lengths.to_pylist()], pa.list_(pa.int32())), pa.array([z], pa.binary())], ["i", "ids", "n", "z"])
+                many, n, v, z = _pack(rows.value_lengths().to_numpy(zero_copy_only=False), rows.flatten().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([i, ids, pa.array([many], ints), pa.array([n], ints), pa.array([v], pa.binary()), pa.array([z], pa.binary())], ["i", "ids", "many", "n", "v", "z"])
 
-    packed = blocks.select("i", F.col("s.id").alias("ids"), F.col("s.b").alias("values")).mapInArrow(pack, f"i long, ids array<{name}>, n array<int>, z binary")
+    packed = blocks.select("i", F.col("s.id").alias("ids"), F.col("s.b").alias("values")).mapInArrow(pack, f"i long, ids array<{name}>, many array<int>, n array<int>, v binary, z binary")
     packed = scratch.save(packed, "blocks")
-    many = -(-count // block)
-    left = packed.withColumn("j", F.explode(F.sequence("i", F.lit(max(many - 1, 0)).cast("long"))))
-    right = packed.select(F.col("i").alias("j"), F.col("ids").alias("ids2"), F.col("n").alias("n2"), F.col("z").alias("z2"))
-    every = many * (many + 1) // 2
-    tasks = max(1, min(every, max(4 * spark.sparkContext.defaultParallelism, every // 32)))
-    work = left.join(right, "j").repartition(tasks, "i", "j")
+    parts = -(-count // block)
+    packs = ["ids", "many", "n", "v", "z"]
+    every = parts * (parts + 1) // 2
+    tasks = max(1, min(every, max(8 * spark.sparkContext.defaultParallelism, every // 16)))
+    # Both sides go to the task of their pair at once: a join on one block's number would send the other side twice.
+    left = packed.withColumn("j", F.explode(F.sequence("i", F.lit(max(parts - 1, 0)).cast("long")))).repartition(tasks, "i", "j")
+    right = packed.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in packs]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "j"))).repartition(tasks, "i", "j")
+    work = left.hint("merge").join(right, ["i", "j"])
+
+    def pairs(i: int, j: int, ids: pa.Array, many, n, v, z, ids2: pa.Array, many2, n2, v2, z2) -> Iterator[pa.RecordBatch]:
+        many, n, many2, n2 = (np.array(x) for x in (many, n, many2, n2))
+        shorts, longs = _unpacked(n, v, z), _unpacked(n2, v2, z2)
+        both = pa.concat_arrays([ids, ids2])
+        order = pc.rank(both, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1], [True]]))  # equally long ones lie together
+        for low, high in zip(cut, cut[1:]):
+            for at in range(low, high, 128):
+                for a, row, *cols in _best(kernel, shorts[at : min(at + 128, high), : n[low]], longs, n2, int(at) if i == j else None):
+                    for x, y, k in _copies(a + at, row, many, many2, i == j):
+                        y = y + len(ids)
+                        turn = (n2[row[k]] == n[low]) & (order[x] > order[y])
+                        x, y = np.where(turn, y, x), np.where(turn, x, y)
+                        yield pa.RecordBatch.from_arrays([both.take(pa.array(x)), both.take(pa.array(y)), *[pa.array(c[k].astype(np.int32)) for c in cols]], ["clip", "source", *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                i, j, n, z, n2, z2 = (batch.column(c)[k].as_py() for c in ("i", "j", "n", "z", "n2", "z2"))
-                ids, ids2 = batch.column("ids")[k].values, batch.column("ids2")[k].values
-                n, n2 = np.array(n), np.array(n2)
-                shorts, longs = _padded(n, z), _padded(n2, z2)
-                cut = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1], [True]]))  # equally long ones lie together
-                for low, high in zip(cut, cut[1:]):
-                    for at in range(low, high, 128):
-                        for a, row, *cols in _best(kernel, shorts[at : min(at + 128, high), : n[low]], longs, n2, int(at) if i == j else None):
-                            if len(a):
-                                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + at)), ids2.take(pa.array(row)), *[pa.array(c.astype(np.int32)) for c in cols]], ["clip", "source", *columns])
-
-    return work.select("i", "j", "ids", "n", "z", "ids2", "n2", "z2").mapInArrow(run, f"clip {name}, source {name}, " + ", ".join(f"{c} int" for c in columns))
+                side = lambda more: (batch.column("ids" + more)[k].values, *[batch.column(c + more)[k].as_py() for c in packs[1:]])  # noqa: E731, B023
+                yield from pairs(batch.column("i")[k].as_py(), batch.column("j")[k].as_py(), *side(""), *side("2"))
+
+    return work.select("i", "j", *packs, *[f"{c}2" for c in packs]).mapInArrow(run, f"clip {name}, source {name}, " + ", ".join(f"{c} int" for c in columns))

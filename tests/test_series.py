@@ -76,3 +76,32 @@ def test_few_alignments_are_left_to_the_exact_kernel():
     longs = np.array([0, 0xFFFF, 0xFF00FF, 0xF0F0F0F0, 0x0F0F0F0F], dtype=np.uint64)[rnd.integers(0, 5, (200, 70))]
     left = sum(len(a) for a, *_ in X._candidates(X.tolerant_runs(9, 1, (6, 12)), longs[:50, :50].copy(), longs, np.full(200, 70)))
     assert 50 <= left < 0.01 * 50 * 200 * 21
+
+
+@pytest.mark.parametrize("block", [7, None])
+def test_copies(spark, block):
+    """Copies of series, in one block and over several: every pair of them, the lesser id first, as by plain loops; a null id is the least."""
+    rnd = random.Random(8)
+    pool = [[rnd.choice([0, 0xFFFF, 0xFF00FF]) for _ in range(rnd.randrange(1, 6))] for _ in range(12)]
+    ids = rnd.sample(range(-500, 500), 60)
+    series = {i: pool[k % len(pool)] if k % 3 else pool[0] for k, i in enumerate(ids)}
+    df = spark.createDataFrame([*series.items()], "id long, b array<long>")
+    nulled = spark.createDataFrame([(None if i == min(ids) else i, b) for i, b in series.items()], df.schema)
+    for kernel, score, columns in [(X.hamming_window(70), hamming, ["bits", "pos"]), (X.tolerant_runs(9, 1, (6, 12)), runs, ["match", "run", "pos"]), (X.prefix_bits(), prefix, ["bits", "n"])]:
+        want = alignments(kernel, series, score)
+        got = X.all_pairs(df, kernel, columns, block).collect()
+        assert len(got) == len(want) and {tuple(r)[:2]: tuple(r)[2:] for r in got} == want
+        least = {tuple(min(ids) if x is None else x for x in r[:2]): tuple(r)[2:] for r in X.all_pairs(nulled, kernel, columns, block).collect()}
+        assert least == want
+
+
+def test_copies_are_packed_once_and_met_in_pieces(monkeypatch):
+    """A run of copies is one series of a block, and pairs of copies are handed on in bounded pieces."""
+    flat = np.array([5, 6] * 40 + [7, -1] * 2)
+    many, n, v, z = X._pack(np.full(42, 2), flat)
+    assert many.tolist() == [40, 2] and X._unpacked(n, v, z).view(np.int64).tolist() == [[5, 6], [7, -1]]
+    monkeypatch.setattr(X, "ROWS", 50)
+    pieces = list(X._copies(np.array([0, 0, 1]), np.array([0, 1, 1]), many, many, True))
+    assert max(len(x) for x, *_ in pieces) <= 50
+    pairs = [(x, y, k) for p in pieces for x, y, k in zip(*map(np.ndarray.tolist, p))]
+    assert sorted(pairs) == sorted((x, y, 0 if y < 40 else 1 if x < 40 else 2) for x in range(42) for y in range(x + 1, 42))
