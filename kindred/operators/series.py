@@ -215,6 +215,17 @@ def _copies(a: np.ndarray, b: np.ndarray, many: np.ndarray, many2: np.ndarray, s
         yield x, y, k
 
 
+def meet(packed: DataFrame, parts: int) -> DataFrame:
+    """(i, j, and of either block all columns, those of the second with a 2 behind) of each block i of 0 to parts - 1 and itself and each later one."""
+    tasks = parts * (parts + 1) // 2
+    tasks = max(1, min(tasks, max(8 * packed.sparkSession.sparkContext.defaultParallelism, tasks // 16)))
+    # Both sides go to the task of their pair at once: a join on one block's number would send the other side twice.
+    left = packed.withColumn("j", F.explode(F.sequence("i", F.lit(max(parts - 1, 0)).cast("long")))).repartition(tasks, "i", "j")
+    right = packed.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in packed.columns if c != "i"])
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "j"))).repartition(tasks, "i", "j")
+    return left.hint("merge").join(right, ["i", "j"])
+
+
 def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int | None = None) -> DataFrame:
     """(clip, source, *columns) for each pair of series that the kernel has a result for; clip is the shorter one, of equally long ones that with the lesser id.
 
@@ -247,12 +258,6 @@ def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int
     packed = scratch.save(packed, "blocks")
     parts = -(-count // block)
     packs = ["ids", "many", "n", "v", "z"]
-    every = parts * (parts + 1) // 2
-    tasks = max(1, min(every, max(8 * spark.sparkContext.defaultParallelism, every // 16)))
-    # Both sides go to the task of their pair at once: a join on one block's number would send the other side twice.
-    left = packed.withColumn("j", F.explode(F.sequence("i", F.lit(max(parts - 1, 0)).cast("long")))).repartition(tasks, "i", "j")
-    right = packed.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in packs]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "j"))).repartition(tasks, "i", "j")
-    work = left.hint("merge").join(right, ["i", "j"])
 
     def pairs(i: int, j: int, ids: pa.Array, many, n, v, z, ids2: pa.Array, many2, n2, v2, z2) -> Iterator[pa.RecordBatch]:
         many, n, many2, n2 = (np.array(x) for x in (many, n, many2, n2))
@@ -275,4 +280,4 @@ def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int
                 side = lambda more: (batch.column("ids" + more)[k].values, *[batch.column(c + more)[k].as_py() for c in packs[1:]])  # noqa: E731, B023
                 yield from pairs(batch.column("i")[k].as_py(), batch.column("j")[k].as_py(), *side(""), *side("2"))
 
-    return work.select("i", "j", *packs, *[f"{c}2" for c in packs]).mapInArrow(run, f"clip {name}, source {name}, " + ", ".join(f"{c} int" for c in columns))
+    return meet(packed, parts).mapInArrow(run, f"clip {name}, source {name}, " + ", ".join(f"{c} int" for c in columns))
