@@ -370,6 +370,21 @@ def test_clip_groups(spark):
     assert all(x.count() == 0 for x in G.clip_groups(spark.createDataFrame([], "source_idx int, source string, clip string")))
 
 
+def test_joins_in_cells(spark):
+    """One hot key is dealt to many tasks, whose rows are bounded; no pair is lost or made twice, equal rows count as often as they are there, and null keys meet nothing."""
+    few = spark.range(3000).selectExpr("if(id % 10 = 0, id % 7, 1) as k", "id % 1500 as b").union(spark.sql("select cast(null as long), 5"))
+    many = spark.range(40).selectExpr("id % 9 as k", "id as a").union(spark.sql("select cast(null as long), 5"))
+    for cell in (None, 100):
+        met = J._in_cells(many, few, ["k"], cell)
+        want = many.join(few, "k").select("a", "b")
+        assert sorted(map(tuple, met.select("a", "b").collect())) == sorted(map(tuple, want.collect()))
+        parts = [r["count"] for r in met.where("k = 1").groupBy(F.spark_partition_id(), "cell_").count().collect()]
+        assert len(parts) >= (25 if cell else 8) and max(parts) <= 5 * (2 * cell if cell else 512)
+    files = spark.range(2000).selectExpr("id", "1000 + id % 3 as v")
+    for df in (J.ratio_join(files, "id", "v", 20), J.containment_join(files.selectExpr("id", "v * (1 + id % 2) as v"), "id", "v", (1, 10), (95, 100))):
+        assert df.groupBy(F.spark_partition_id()).count().count() > 2
+
+
 def test_ratio_joins_at_their_bounds(spark):
     """Powers and products that lie on the bounds of buckets, zeros and nulls, against all pairs."""
     values = [None, 0, 1, 2, 4, 5, 8, 9, 10, 11, 64, 80, 95, 99, 100, 101, 125, 512, 640, 800, 999, 1000, 1001, 1250, 10_000, 8_000, 100_000, 10**9, 8 * 10**8]
