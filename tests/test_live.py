@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -394,6 +395,26 @@ def test_ratio_joins_at_their_bounds(spark):
     assert sorted(map(tuple, J.containment_join(df, "id", "v", (1, 10), (95, 100)).collect())) == sorted((i, j) for i, x, j, y in pairs if x * 10 >= y and x * 100 < y * 95)
 
 
+def test_containment_takes_little_disk(spark, tmp_path):
+    """What is written of the pairs is a small part of a byte each, as rows that meet the same sources come together."""
+    files = spark.range(12_000).selectExpr("id * 7919 % 100003 as id", "cast(exp(3 + pmod(xxhash64(id), 4001) / 1000) as long) as v")
+    J.containment_join(files, "id", "v", (1, 10), (95, 100)).write.parquet(str(tmp_path / "pairs"))
+    v = np.sort([r.v for r in files.collect()])
+    n = int((np.searchsorted(v, v * 10, "right") - np.searchsorted(v * 95, v * 100, "right")).sum())
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == n > 50_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * n
+
+
+@pytest.mark.parametrize("cell", [None, 60])
+def test_containment_in_cells(spark, cell):
+    """Cells and ranges of every size against all pairs: rows that repeat, null ids, ids that are strings, double values, and a further key that may be null."""
+    df = spark.range(1300).selectExpr("if(id % 50 = 0, null, concat('f', id % 900)) as id", "1 + id * id % 997 / 8D as v", "if(id % 11 = 0, null, id % 2) as k").union(spark.sql("select 'n', cast(null as double), 1")).coalesce(2)
+    got = Counter((r.clip, r.source) for r in J.containment_join(df, "id", "v", (1, 10), (95, 100), ["k"], cell).collect())
+    rows = [r for r in df.collect() if r.k is not None and r.v is not None]
+    assert got == Counter((c.id, s.id) for c in rows for s in rows if c.k == s.k and c.v * 10 >= s.v and c.v * 100 < s.v * 95)
+    assert sum(got.values()) > 100_000
+
+
 def test_bm25(spark):
     rng = random.Random(6)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
