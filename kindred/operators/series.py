@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -27,6 +27,7 @@ from kindred.plans.scratch import Scratch
 VALUES = 64  # different values of two blocks, at most, for matrix products
 CELLS = 1 << 22  # cells of a matrix held at a time, about
 ROWS = 1 << 20  # pairs handed on at a time
+TILE = 504  # series of the second block that meet all copies of some of the first before the next ones do
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,12 @@ def prefix_bits() -> Kernel:
     return Kernel(lambda u, v: np.bitwise_count(u ^ v), every, every, exact, offset=False, slide=False)
 
 
+def alike(bits: Column, places: Column) -> Column:
+    """The share of like bits of 32-bit places, to nine digits, halves up: in whole numbers, which is exact and far cheaper than rounding doubles."""
+    all_ = places.cast("long") * 32
+    return F.call_function("div", (all_ - bits) * 2_000_000_000 + all_, all_ * 2) / 1e9
+
+
 def _candidates(kernel: Kernel, shorts: np.ndarray, longs: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(short, row, offset) of the alignments that may give a result, all those of a short and a row together; shorts are equally long."""
     n = shorts.shape[1]
@@ -215,6 +222,18 @@ def _copies(a: np.ndarray, b: np.ndarray, many: np.ndarray, many2: np.ndarray, s
         yield x, y, k
 
 
+def _grids(start: int, stop: int, by_id: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | slice]]:
+    """(left, right, those that count): places start to stop - 1 of a block, each with TILE places of another at a time, which come in the order of their ids; same: of one block, whose places meet later ones only.
+
+    In this order the ids and results of the pairs repeat themselves at short distance, so what is written compresses well.
+    """
+    for low in range(0, len(by_id), TILE):
+        right = by_id[low : low + TILE]
+        for at in range(start, stop, ROWS // TILE):
+            left = np.arange(at, min(at + ROWS // TILE, stop))
+            yield left, right, (left[:, None] < right).ravel() if same else slice(None)
+
+
 def meet(packed: DataFrame, parts: int) -> DataFrame:
     """(i, j, and of either block all columns, those of the second with a 2 behind) of each block i of 0 to parts - 1 and itself and each later one."""
     tasks = parts * (parts + 1) // 2
@@ -242,7 +261,10 @@ def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int
     slim = series.where(F.size("b") > 0).select("id", F.transform("b", lambda x: F.coalesce(x, F.lit(0)).cast("long")).alias("b"), F.size("b").alias("n"))
     ranked = scratch.save(global_rank(slim, [F.col("n").asc(), F.col("b").asc(), F.col("id").asc()], "r"), "ranked")
     count, longest = ranked.agg(F.count_if(F.lit(True)), F.coalesce(F.max("n"), F.lit(1))).first()
-    block = block or max(1, min(8192, max(128, count // 32), CELLS // longest))
+    if not block:
+        block = max(1, min(8192, max(128, count // (32 if kernel.slide else 16)), CELLS // longest))
+        if not kernel.slide:  # whole tiles, so that what repeats lies alike
+            block -= block % (TILE if block >= TILE else min(block, 8))
     blocks = ranked.groupBy(F.floor((F.col("r") - 1) / block).alias("i")).agg(F.array_sort(F.collect_list(F.struct("r", "id", "b"))).alias("s"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +281,20 @@ def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int
     parts = -(-count // block)
     packs = ["ids", "many", "n", "v", "z"]
 
+    def every(shorts, longs, many, many2, n, n2, at: int, stop: int, both: pa.Array, order: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        """The pairs of equally long series at to stop - 1 with all series of the other block."""
+        found = np.zeros((len(columns), stop - at, len(longs)), dtype=np.int32)
+        for a, row, *cols in _best(kernel, shorts[at:stop, : n[at]], longs, n2, at if same else None):
+            found[:, a, row] = cols
+        kind, kind2 = np.repeat(np.arange(len(many)), many), np.repeat(np.arange(len(many2)), many2)
+        first, end = np.searchsorted(kind, [at, stop])
+        order, order2 = order[: len(kind)], order[len(kind) :]
+        for x, y, good in _grids(first, end, np.argsort(order2), same):
+            turn = (n2[kind2[y]] == n[at]) & (order[x][:, None] > order2[y])
+            left, right = x[:, None], y + len(kind)
+            left, right = np.where(turn, right, left).ravel()[good], np.where(turn, left, right).ravel()[good]
+            yield pa.RecordBatch.from_arrays([both.take(pa.array(left)), both.take(pa.array(right)), *[pa.array(c[:, kind2[y]][kind[x] - at].ravel()[good]) for c in found]], ["clip", "source", *columns])
+
     def pairs(i: int, j: int, ids: pa.Array, many, n, v, z, ids2: pa.Array, many2, n2, v2, z2) -> Iterator[pa.RecordBatch]:
         many, n, many2, n2 = (np.array(x) for x in (many, n, many2, n2))
         shorts, longs = _unpacked(n, v, z), _unpacked(n2, v2, z2)
@@ -267,6 +303,9 @@ def all_pairs(series: DataFrame, kernel: Kernel, columns: list[str], block: int
         cut = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1], [True]]))  # equally long ones lie together
         for low, high in zip(cut, cut[1:]):
             for at in range(low, high, 128):
+                if not kernel.slide:
+                    yield from every(shorts, longs, many, many2, n, n2, int(at), int(min(at + 128, high)), both, order, i == j)
+                    continue
                 for a, row, *cols in _best(kernel, shorts[at : min(at + 128, high), : n[low]], longs, n2, int(at) if i == j else None):
                     for x, y, k in _copies(a + at, row, many, many2, i == j):
                         y = y + len(ids)

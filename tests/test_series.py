@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.operators import series as X
 
@@ -105,3 +106,36 @@ def test_copies_are_packed_once_and_met_in_pieces(monkeypatch):
     assert max(len(x) for x, *_ in pieces) <= 50
     pairs = [(x, y, k) for p in pieces for x, y, k in zip(*map(np.ndarray.tolist, p))]
     assert sorted(pairs) == sorted((x, y, 0 if y < 40 else 1 if x < 40 else 2) for x in range(42) for y in range(x + 1, 42))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_every_pair_in_grids(spark, monkeypatch, kind):
+    """All pairs once, by tiles: blocks of several tiles, copies, null ids and equally long series whose ids are in another order than they lie."""
+    monkeypatch.setattr(X, "TILE", 16)
+    monkeypatch.setattr(X, "ROWS", 64)
+    rnd = random.Random(8)
+    some = [[rnd.getrandbits(32) for _ in range(rnd.randrange(1, 5))] for _ in range(30)]
+    series = {i * 37 % 101: rnd.choice(some) for i in range(101)}
+    df = spark.createDataFrame([(None if i == 5 else i, b) for i, b in series.items()], "id long, b array<long>").selectExpr(f"cast(id as {kind}) as id", "b")
+    rank = lambda i: (i is not None, i)
+    value = lambda i: None if i == 5 else str(i) if kind == "string" else i
+    order = sorted(((len(b), rank(value(i))), value(i), b) for i, b in series.items())
+    want = [(c, s, prefix(x, y, 0)[1]) for k, (_, c, x) in enumerate(order) for _, s, y in order[k + 1 :]]
+    for block in (40, 7, None):
+        got = X.all_pairs(df, X.prefix_bits(), ["bits", "n"], block).collect()
+        assert sorted(map(repr, ((r.clip, r.source, (r.bits, r.n)) for r in got))) == sorted(map(repr, want))
+
+
+def test_every_pair_takes_little_disk(spark, tmp_path):
+    """4,032 series, 16 of each kind: what is written of their pairs is well below a byte each."""
+    df = spark.range(4032).selectExpr("id", "transform(sequence(1, 20 + id % 252 % 5), k -> xxhash64(id % 252, k) & 65535) as b")
+    X.all_pairs(df, X.prefix_bits(), ["bits", "n"]).selectExpr("least(clip, source) as a", "greatest(clip, source) as b", "bits / n as sim").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 4032 * 4031 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4032 * 4031 // 2
+
+
+def test_alike_rounds_halves_up(spark):
+    """All shares of up to 200 places, by exact fractions."""
+    got = spark.range(1, 201).selectExpr("cast(id as int) as n", "explode(sequence(0, cast(id as int) * 32, 7)) as bits").select("n", "bits", X.alike(F.col("bits"), F.col("n")).alias("sim")).collect()
+    assert len(got) > 90_000 and all(r.sim == ((2 * 10**9 * (32 * r.n - r.bits) + 32 * r.n) // (64 * r.n)) / 1e9 for r in got)
+    assert max(abs(r.sim - (1 - r.bits / (r.n * 32.0))) for r in got) <= 5.1e-10
