@@ -405,6 +405,27 @@ def test_containment_takes_little_disk(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * n
 
 
+@pytest.mark.parametrize("cell", [None, 60])
+def test_ratio_join_in_cells(spark, cell):
+    """Cells of every size against all pairs: ids that repeat, null ids, ids that are strings or in the order of the values, values that are null."""
+    rows = spark.range(1300).selectExpr("if(id % 50 = 0, null, concat('f', id % 900)) as id", "1 + id * id % 997 as v").union(spark.sql("select 'n', cast(null as bigint)")).coalesce(2)
+    for df in (rows, spark.range(700).selectExpr("id - 300 as id", "1 + id as v")):
+        got = Counter(map(tuple, J.ratio_join(df, "id", "v", 20, cell).collect()))
+        r = [x for x in df.collect() if x.id is not None and x.v is not None]
+        assert got == Counter((x.id, y.id) for x in r for y in r if x.id < y.id and abs(x.v - y.v) * 100 <= max(x.v, y.v) * 20)
+        assert sum(got.values()) > 40_000
+
+
+def test_ratio_join_takes_little_disk(spark, tmp_path):
+    """What is written of the pairs is a small part of a byte each, as rows that meet the same ones come together."""
+    files = spark.range(24_000).selectExpr("id * 7919 % 100003 as id", "cast(exp(5 + pmod(xxhash64(id), 2001) / 1000) as long) as v")
+    J.ratio_join(files, "id", "v", 20).write.parquet(str(tmp_path / "pairs"))
+    v = np.sort([r.v for r in files.collect()])
+    n = int((np.searchsorted(v * 80, v * 100, "right") - np.arange(1, len(v) + 1)).sum())
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == n > 40_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * n
+
+
 @pytest.mark.parametrize("cell", [None, 60])
 def test_containment_in_cells(spark, cell):
     """Cells and ranges of every size against all pairs: rows that repeat, null ids, ids that are strings, double values, and a further key that may be null."""
