@@ -95,6 +95,22 @@ def test_hamming_join_is_lossless(spark, parts):
     assert [tuple(r) for r in sorted(got.collect())] == sorted(want)
 
 
+@pytest.mark.parametrize("words", [3, 65535])
+def test_text_votes(spark, monkeypatch, words):
+    """Nulls, empty texts, spaces in a row, keys that repeat or are null, letters of several bytes, texts of more words than are counted at a time: as by the votes over rows. Words aren't rows of their own."""
+    monkeypatch.setattr(K, "WORDS", words)
+    texts = [(1, "a b  a"), (2, ""), (3, None), (1, "c é漢 b "), (None, "x"), (None, " y"), (4, "long " * 70_000 + "er er"), (5, "a b c d"), (6, None), (6, "z z\ny")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = df.select("doc_id", F.explode(F.split("text", " ", -1)).alias("w")).select("doc_id", F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("long").alias("h"))
+    want = sorted(map(repr, K.majority_vote(rows, "doc_id", "h", 60).collect()))
+    for parts in (1, 5):
+        got = K.text_votes(df.repartition(parts), "doc_id", "text")
+        assert sorted(map(repr, got.collect())) == want and len(want) == 6
+    assert K.text_votes(df.where("text is null"), "doc_id", "text").count() == 0
+    from kindred.plans.registry import word_hashes
+    assert "Generate" not in word_hashes(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hamming_join_broadcasts_nothing(spark):
     """Tables that explode makes many times larger than Spark's sizes say don't pass through the driver."""
     rows = spark.range(20_000).select("id", F.xxhash64("id").bitwiseAND((1 << 60) - 1).alias("hash"))
